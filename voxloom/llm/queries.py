@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import audio, bpe, langid, mixing, quality, simhash, toxicity
+from voxloom.llm import audio, bpe, langid, license_scan, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 from voxloom.llm.common import crc32_of_id, read_table
 
 
@@ -29,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -50,6 +54,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store_texts(read_table(spark, sf_dir, "documents"))
 
@@ -59,10 +67,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_simhash, op4_bpe, op5_toxicity, op6_mixing, op8_media, op9_quality)
+        for f in (
+            op1_language_id, op2_simhash, op3_license_scan, op4_bpe, op5_toxicity, op6_mixing, op7_url_filter, op8_media, op9_quality, op10_suffix_dedup,
+        )
     }
 
 
