@@ -1,13 +1,544 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the generated tables, each on whole tables and whole texts, and their DuckDB SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxloom.functions import align, text
+from voxloom.operators import chunks, diarization, embed, intervals, lexicon, report, score, select
+from voxloom.plans.derived import EVENTS_SQL, events, nbest, table, turn_pairs, turn_words
+
 FLAGSHIP = "norm_text_by_lang"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
 
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# SQL counterparts of the text functions (RE2: no lookaround, Unicode classes spelled out).
+_WS = r"[\t-\r \x{0085}\p{Z}]+"
+_WC = r"[\p{L}\p{N}_]"
+
+
+def _sub(expr: str, pattern: str, to: str) -> str:
+    return f"regexp_replace({expr}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+
+
+def _collapse(expr: str) -> str:
+    return f"trim({_sub(expr, _WS, ' ')}, ' ')"
+
+
+def _nonspeech(expr: str) -> str:
+    return _collapse(_sub(_sub(expr, rf"(?i)\[(?:{'|'.join(text.EVENTS)})\]", " "), text.ANNOTATION, " "))
+
+
+def _raw(expr: str) -> str:
+    return _collapse(f"translate({_nonspeech(f'nfc_normalize(coalesce({expr}, {chr(39) * 2}))')}, '“”‘’—–', '\"\"''''--')")
+
+
+def _norm(expr: str) -> str:
+    low = _sub(f"lower({_nonspeech(f'nfc_normalize(coalesce({expr}, {chr(39) * 2}))')})", text.PUNCTUATION, " ")
+    tail = _sub(low, rf"'+({_WS}|$)", r"\1")
+    return _collapse(_sub(tail, rf"(^|{_WS})'+", r"\1"))
+
+
+def _words(expr: str) -> str:
+    return f"list_filter(regexp_split_to_array({expr}, '{_WS}'), lambda w: w <> '')"
+
+
+def _terms(expr: str) -> str:
+    return f"list_transform(regexp_extract_all(coalesce({expr}, ''), '[\\p{{L}}\\p{{N}}_'']+'), lambda w: lower(w))"
+
+
+@query(f"""SELECT lang, count(*) AS docs, sum(len({_words(_norm('text'))})) AS tokens, sum(length({_norm('text')})) AS chars
+FROM documents GROUP BY lang""")
+def norm_text_by_lang(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", text.normalize_for_eval(F.col("text")).alias("t"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size(text.tokens(F.col("t")))).alias("tokens"), F.sum(F.length("t")).alias("chars"))
+
+
+@query(f"SELECT source, count(*) AS docs, sum(length({_raw('text')})) AS chars, bit_xor(('0x' || substr(md5({_raw('text')}), 1, 12))::BIGINT) AS digest FROM documents GROUP BY source")
+def raw_post_edit_by_source(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("source", text.post_edit_raw(F.col("text")).alias("t"))
+    digest = F.bit_xor(F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 12), 16, 10).cast("long"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("t")).alias("chars"), digest.alias("digest"))
+
+
+_MARKED = "concat(text, ' [HS:E1 sí [Asent].] pa=para [RISAS] me·sa [HX: abierto ', substr(text, 1, 20), ' b=c')"
+_clean = _sub(f"nfc_normalize({_MARKED})", rf"\[H{_WC}*:(?:[^\[\]]|\[[^\[\]]*\])*\]", " ")
+_clean = _sub(_sub(_clean, r"\[[^\[\]]*\]", " "), rf"\[H{_WC}*:", " ")
+_clean = _collapse(f"translate({_sub(f'translate({_clean}, {chr(39)}[]{chr(39)}, {chr(39)}  {chr(39)})', f'{_WC}+=({_WC}+)', chr(92) + '1')}, '·', '')")
+
+
+@query(f"SELECT doc_id, length({_clean}) AS chars, md5({_clean}) AS digest FROM documents WHERE text IS NOT NULL")
+def markup_clean(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").filter("text is not null")
+    marked = F.concat("text", F.lit(" [HS:E1 sí [Asent].] pa=para [RISAS] me·sa [HX: abierto "), F.substring("text", 1, 20), F.lit(" b=c"))
+    rows = rows.select("doc_id", text.clean_markup(marked).alias("t"))
+    return rows.select("doc_id", F.length("t").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+@query()
+def turn_wer(spark, sf_dir):
+    return score.scored_pairs(turn_pairs(spark, sf_dir)).select("record_id", "turn", "errors", "words", F.round(F.col("errors") / F.greatest("words", F.lit(1)), 6).alias("wer"))
+
+
+@query()
+def corpus_wer_by_role(spark, sf_dir):
+    return score.corpus_wer(turn_pairs(spark, sf_dir), ["role"]).withColumn("wer", F.round("wer", 6))
+
+
+@query()
+def edit_split_by_role(spark, sf_dir):
+    pairs = turn_pairs(spark, sf_dir)
+    counts = pairs.select("role", align.edit_counts_of(text.tokens(F.col("ref")), text.tokens(F.col("hyp"))).alias("c"), F.size(text.tokens(F.col("ref"))).alias("words"))
+    return score.micro_wer(counts.select("role", "c.*", "words"), ["role"])
+
+
+@query()
+def dual_track_wer(spark, sf_dir):
+    pairs = turn_pairs(spark, sf_dir).withColumn("record_id", F.concat_ws("_", "record_id", "turn"))
+    return score.dual_track(pairs).select("record_id", F.round("raw_wer", 6).alias("raw_wer"), F.round("normalized_wer", 6).alias("normalized_wer"))
+
+
+@query()
+def turn_agreement(spark, sf_dir):
+    pairs = turn_pairs(spark, sf_dir)
+    return pairs.select("record_id", "turn", F.round(align.agreement(text.tokens(F.col("ref")), text.tokens(F.col("hyp"))), 6).alias("agreement"))
+
+
+def _hypotheses(spark, sf_dir):
+    pairs = turn_pairs(spark, sf_dir)
+    chunk = F.concat_ws("_", "record_id", "turn")
+    hyps = pairs.select(
+        chunk.alias("chunk_id"), "record_id", F.lit("").alias("audio_path"), (F.col("turn") * 10.0).alias("start_s"), (F.col("turn") * 10.0 + 10).alias("end_s"),
+        text.tokens(F.col("ref")).alias("first_words"), (-0.1 * (F.col("turn") % 7)).alias("logprob"),
+        text.tokens(F.when(F.col("turn") % 2 == 0, F.col("ref")).otherwise(F.col("hyp"))).alias("second_words"),
+    )
+    ratio = pairs.filter("turn % 3 <> 0").select(chunk.alias("chunk_id"), (F.col("turn") * 4.0).alias("wada_snr_db"))
+    return hyps, ratio
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text AS ref, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp,
+    lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
+h AS (SELECT conv_id, turn, {_words('ref')} AS w, turn % 2 = 0 OR ref = hyp AS same, (-0.1::DOUBLE) * (turn % 7) AS lp,
+    CASE WHEN turn % 3 <> 0 THEN turn * 4.0::DOUBLE END AS snr FROM p WHERE nt = turn + 1),
+s AS (SELECT avg(len(w) / 10.0::DOUBLE) AS m, CASE WHEN stddev_samp(len(w) / 10.0::DOUBLE) = 0 THEN 1 ELSE stddev_samp(len(w) / 10.0::DOUBLE) END AS d FROM h)
+SELECT conv_id || '_' || turn AS chunk_id, conv_id::VARCHAR AS record_id, array_to_string(w, ' ') AS transcript, round((len(w) / 10.0::DOUBLE - m) / d, 6) AS z
+FROM h, s WHERE same AND len(w) > 0 AND lp > CASE WHEN snr < 5 THEN -0.55 WHEN snr < 15 THEN -0.45 ELSE -0.35 END
+  AND abs((len(w) / 10.0::DOUBLE - m) / d) < 2""")
+def exact_pseudo_labels(spark, sf_dir):
+    """Gated hypotheses of full agreement."""
+    hyps, ratio = _hypotheses(spark, sf_dir)
+    kept, summary = select.pseudo_labels(hyps, ratio)
+    kept = kept.filter("agreement = 1").withColumn("mean", summary.select("mean_wps").scalar()).withColumn("std", summary.select("std_wps").scalar())
+    z = (F.size(F.filter(F.split("transcript", " "), lambda w: w != "")) / (F.col("end_s") - F.col("start_s")) - F.col("mean")) / F.col("std")
+    return kept.select("chunk_id", "record_id", "transcript", F.round(z, 6).alias("z"))
+
+
+@query()
+def pseudo_label_summary(spark, sf_dir):
+    return select.pseudo_labels(*_hypotheses(spark, sf_dir))[1]
+
+
+@query("""WITH k AS (SELECT doc_id, concat_ws('|', coalesce(source, 'None'), 'NA', coalesce(lang, 'None')) AS st,
+  ('0x' || substr(sha1('20260501:' || doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / 281474976710655 AS h FROM documents),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY st ORDER BY h, doc_id) AS rn, count(*) OVER (PARTITION BY st) AS n FROM k)
+SELECT doc_id, CASE WHEN n >= 5 AND rn <= greatest(1, ceil(0.1::DOUBLE * n)) THEN 'dev' ELSE 'train' END AS split FROM r""")
+def stratified_split_docs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return select.stratified_split(rows, "doc_id", select.stratum(F.col("source"), F.lit(None), F.col("lang"))).select("doc_id", "split")
+
+
+@query("""SELECT lang AS language, CASE WHEN lang = 'es' THEN source END AS accent, count(*) AS n,
+  round(sum(toxic) / greatest(sum(quality + 1), 1)::DOUBLE, 9) AS raw_wer, round(sum(quality) / greatest(sum(quality + 1), 1)::DOUBLE, 9) AS normalized_wer
+FROM documents JOIN labels USING (doc_id) WHERE lang = 'es' AND source IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT lang, NULL, count(*), round(sum(toxic) / greatest(sum(quality + 1), 1)::DOUBLE, 9), round(sum(quality) / greatest(sum(quality + 1), 1)::DOUBLE, 9)
+FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def stratified_rates(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("accent")).join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = rows.select("language", "accent", F.col("toxic").alias("raw_errors"), F.col("quality").alias("errors"), (F.col("quality") + 1).alias("words"))
+    out = score.stratified_wer(rows)
+    return out.select("language", "accent", "n", F.round("raw_wer", 9).alias("raw_wer"), F.round("normalized_wer", 9).alias("normalized_wer"))
+
+
+@query(f"""WITH {EVENTS_SQL}, o AS (SELECT *, row_number() OVER w AS rn, lag(speaker) OVER w AS ls FROM ev WHERE end_s - start_s >= 0.2
+  WINDOW w AS (PARTITION BY record_id ORDER BY start_s, end_s, speaker)),
+r AS (SELECT *, sum(CASE WHEN ls IS DISTINCT FROM speaker THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY rn) AS run FROM o),
+g AS (SELECT *, max(end_s) OVER (PARTITION BY record_id, run ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+i AS (SELECT *, sum(CASE WHEN start_s - reach >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY record_id, run ORDER BY rn) AS island FROM g)
+SELECT record_id, speaker, round(min(start_s), 3) AS start_s, round(max(end_s), 3) AS end_s FROM i GROUP BY record_id, run, island, speaker""")
+def ev_intervals_merge(spark, sf_dir):
+    out = intervals.merge_gaps(events(spark, sf_dir), gap_s=3600.0)
+    return out.select("record_id", "speaker", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+
+
+@query(f"""WITH {EVENTS_SQL}, p AS (SELECT *, max(end_s) OVER (PARTITION BY record_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ev WHERE end_s > start_s)
+SELECT record_id, round(sum(greatest(0, end_s - greatest(start_s, coalesce(pm, start_s)))), 2) AS speech_s FROM p GROUP BY record_id""")
+def ev_interval_union(spark, sf_dir):
+    return intervals.union_seconds(events(spark, sf_dir)).select("record_id", F.round("speech_s", 2).alias("speech_s"))
+
+
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT record_id, start_s AS t, 1 AS d FROM ev UNION ALL SELECT record_id, end_s, -1 FROM ev),
+s AS (SELECT record_id, t, sum(d) AS d FROM e GROUP BY 1, 2),
+a AS (SELECT record_id, t, sum(d) OVER (PARTITION BY record_id ORDER BY t) AS n, lead(t) OVER (PARTITION BY record_id ORDER BY t) AS nt FROM s)
+SELECT record_id, round(sum(CASE WHEN n >= 2 THEN nt - t ELSE 0 END), 2) AS overlap_s FROM a GROUP BY record_id""")
+def ev_overlap_seconds(spark, sf_dir):
+    return intervals.overlap_seconds(events(spark, sf_dir)).select("record_id", F.round("overlap_s", 2).alias("overlap_s"))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT record_id, event_id FROM ev c WHERE speaker = 'click' AND NOT EXISTS (SELECT 1 FROM ev e
+  WHERE e.speaker = 'error' AND e.record_id = c.record_id AND (c.start_s + c.end_s) * 0.5 >= e.start_s AND (c.start_s + c.end_s) * 0.5 < e.end_s)""")
+def ev_point_in_interval_anti(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return intervals.outside(ev.filter("speaker = 'click'"), ev.filter("speaker = 'error'"), 0.5 * (F.col("start_s") + F.col("end_s"))).select("record_id", "event_id")
+
+
+@query(_SQL["ev_point_in_interval_anti"])
+def ev_point_in_interval_binned(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return intervals.outside(ev.filter("speaker = 'click'"), ev.filter("speaker = 'error'"), 0.5 * (F.col("start_s") + F.col("end_s")), bin_s=14400.0).select("record_id", "event_id")
+
+
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT record_id, event_id, start_s, end_s FROM ev WHERE speaker = 'purchase'),
+d AS (SELECT record_id, start_s AS t FROM ev WHERE speaker = 'view'),
+a AS (SELECT s.event_id, arg_min(d.t, struct_pack(g := round(abs(d.t - s.start_s), 6), b := -d.t)) AS t FROM s JOIN d ON s.record_id = d.record_id AND abs(d.t - s.start_s) <= 7200 GROUP BY 1),
+b AS (SELECT s.event_id, arg_min(d.t, struct_pack(g := round(abs(d.t - s.end_s), 6), b := -d.t)) AS t FROM s JOIN d ON s.record_id = d.record_id AND abs(d.t - s.end_s) <= 7200 GROUP BY 1),
+r AS (SELECT s.record_id, s.event_id, coalesce(a.t, s.start_s) AS x, coalesce(b.t, s.end_s) AS y FROM s LEFT JOIN a USING (event_id) LEFT JOIN b USING (event_id))
+SELECT record_id, event_id, round(x, 3) AS start_s, round(CASE WHEN y <= x THEN greatest(x + 0.2, y) ELSE y END, 3) AS end_s FROM r""")
+def ev_nearest_snap(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    out = intervals.snap(ev.filter("speaker = 'purchase'").select("record_id", "event_id", "start_s", "end_s"), ev.filter("speaker = 'view'").select("record_id", F.col("start_s").alias("time_s")), radius=7200.0)
+    return out.select("record_id", "event_id", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+
+
+@query(f"""WITH {EVENTS_SQL}, f AS (SELECT record_id, start_s AS s, end_s AS e, CASE WHEN end_s - start_s <= 600 THEN 0 ELSE floor((end_s - start_s - 600) / 570 + 1e-9) + 1 END::INT AS n FROM ev WHERE end_s - start_s >= 0.25),
+l AS (SELECT *, s + (n - 1) * 570 + 600 AS last, CASE WHEN n > 0 AND e - (s + (n - 1) * 570 + 600) >= 300 THEN 1 ELSE 0 END AS x FROM f),
+c AS (SELECT *, unnest(range(greatest(1, n + x))) AS i FROM l),
+t AS (SELECT record_id, s, e, i, round(CASE WHEN n = 0 THEN s WHEN i < n THEN s + i * 570 ELSE last - 30 END, 3) AS start_s,
+  round(CASE WHEN n = 0 OR i = n + x - 1 THEN e ELSE s + i * 570 + 600 END, 3) AS end_s FROM c)
+SELECT record_id, record_id || '_c' || lpad((row_number() OVER (PARTITION BY record_id ORDER BY s, e, i) - 1)::VARCHAR, 5, '0') AS chunk_id, start_s, end_s FROM t""")
+def ev_chunking(spark, sf_dir):
+    return intervals.chunk_intervals(events(spark, sf_dir), 600.0, 30.0)
+
+
+@query(f"""WITH {EVENTS_SQL}, c AS (SELECT * FROM ev WHERE speaker = 'view'), l AS (SELECT * FROM ev WHERE speaker IN ('click', 'error')),
+o AS (SELECT c.event_id, l.speaker AS lab, sum(least(c.end_s, l.end_s) - greatest(c.start_s, l.start_s)) AS cov, min(l.start_s) AS f, any_value(c.end_s - c.start_s) AS size
+  FROM c JOIN l ON c.record_id = l.record_id AND c.start_s < l.end_s AND l.start_s < c.end_s GROUP BY 1, 2),
+b AS (SELECT event_id, arg_max(struct_pack(lab := lab, sh := cov / size), struct_pack(c := cov, f := -f)) AS m FROM o GROUP BY 1)
+SELECT c.event_id, coalesce(b.m.lab, 'speech') AS label, round(CASE WHEN NOT EXISTS (SELECT 1 FROM l WHERE l.record_id = c.record_id) THEN 1 ELSE coalesce(b.m.sh, 0) END, 6) AS label_share
+FROM c LEFT JOIN b USING (event_id)""")
+def ev_coverage_label(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    labelled = ev.filter("speaker in ('click', 'error')").withColumnRenamed("speaker", "label")
+    return intervals.main_label(ev.filter("speaker = 'view'"), labelled, "event_id").select("event_id", "label", F.round("label_share", 6).alias("label_share"))
+
+
+@query(f"""WITH {EVENTS_SQL}, c AS (SELECT * FROM ev WHERE speaker = 'view'),
+o AS (SELECT c.event_id, sum(least(c.end_s, l.end_s) - greatest(c.start_s, l.start_s)) AS cov FROM c JOIN ev l ON l.speaker = 'click' AND c.record_id = l.record_id AND c.start_s < l.end_s AND l.start_s < c.end_s GROUP BY 1)
+SELECT c.event_id, round(CASE WHEN c.end_s > c.start_s THEN coalesce(cov, 0) / (c.end_s - c.start_s) ELSE 0 END, 6) AS speech_ratio FROM c LEFT JOIN o USING (event_id)""")
+def ev_speech_ratio(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return intervals.coverage_ratio(ev.filter("speaker = 'view'"), ev.filter("speaker = 'click'"), "event_id").select("event_id", F.round("speech_ratio", 6).alias("speech_ratio"))
+
+
+_SHIFTED = "SELECT record_id, speaker, start_s + 600 AS start_s, end_s + 600 AS end_s FROM ev"
+
+
+@query(f"""WITH {EVENTS_SQL}, sh AS ({_SHIFTED}),
+r AS (SELECT DISTINCT record_id, speaker, unnest(range(round_even(start_s / 300, 0)::BIGINT, round_even(end_s / 300, 0)::BIGINT)) AS f FROM ev),
+h AS (SELECT DISTINCT record_id, speaker, unnest(range(round_even(start_s / 300, 0)::BIGINT, round_even(end_s / 300, 0)::BIGINT)) AS f FROM sh),
+j AS (SELECT coalesce(r.record_id, h.record_id) AS record_id, r.f AS rf, h.f AS hf FROM r FULL JOIN h ON r.record_id = h.record_id AND r.speaker = h.speaker AND r.f = h.f)
+SELECT record_id, count(*) FILTER (rf IS NULL OR hf IS NULL) AS error_frames, count(rf) AS reference_frames,
+  round(CASE WHEN count(rf) = 0 THEN 0 ELSE count(*) FILTER (rf IS NULL OR hf IS NULL) / count(rf)::DOUBLE END, 6) AS rate FROM j GROUP BY record_id""")
+def frame_der(spark, sf_dir):
+    ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
+    moved = ev.withColumn("start_s", F.col("start_s") + 600).withColumn("end_s", F.col("end_s") + 600)
+    out = intervals.frame_error(ev, moved, F.lit(1e9), frame_s=300.0)
+    return out.select("record_id", "error_frames", "reference_frames", F.round("rate", 6).alias("rate"))
+
+
+@query()
+def mapped_der(spark, sf_dir):
+    ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
+    moved = ev.withColumn("start_s", F.col("start_s") + 600).withColumn("speaker", F.upper("speaker"))
+    out = diarization.error_by_record(ev, moved.filter("end_s > start_s"))
+    return out.select("record_id", *(F.round(c, 3).alias(c) for c in out.columns[1:]))
+
+
+@query()
+def mapped_der_total(spark, sf_dir):
+    ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
+    out = diarization.total_error(diarization.error_by_record(ev, ev.withColumn("speaker", F.upper("speaker"))))
+    return out.select(*(F.round(c, 3).alias(c) for c in out.columns))
+
+
+_SPANS = f"sp AS (SELECT conv_id::VARCHAR AS record_id, turn, turn * 10.0::DOUBLE AS s, {_words('text')} AS w FROM conversations)"
+
+
+@query(f"""WITH {_SPANS}, x AS (SELECT record_id, turn, s, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM sp)
+SELECT record_id, turn, i AS pos, word, round(s + i * (10.0::DOUBLE / n), 4) AS start_s, round(s + (i + 1) * (10.0::DOUBLE / n), 4) AS end_s FROM x""")
+def conv_word_spans(spark, sf_dir):
+    rows = turn_words(spark, sf_dir).select("record_id", "turn", F.posexplode("words").alias("pos", "w"))
+    return rows.select("record_id", "turn", "pos", "w.word", F.round("w.start_s", 4).alias("start_s"), F.round("w.end_s", 4).alias("end_s"))
+
+
+@query(f"""WITH {_SPANS}, x AS (SELECT record_id, turn, s, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM sp),
+m AS (SELECT *, (s + i * (10.0::DOUBLE / n) + s + (i + 1) * (10.0::DOUBLE / n)) * 0.5 - s AS mid FROM x)
+SELECT record_id, turn, count(*) AS kept FROM m WHERE NOT (round(mid, 6) >= 2 AND round(mid, 6) < 4) GROUP BY 1, 2""")
+def conv_mask(spark, sf_dir):
+    rows = turn_words(spark, sf_dir)
+    base = F.col("start_s")
+    moved = F.transform("words", lambda w: F.struct(F.round(w["start_s"] - base, 6).alias("start_s"), F.round(w["end_s"] - base, 6).alias("end_s"), w["word"].alias("word")))
+    spans = F.array(F.struct(F.lit(2.0).alias("start_s"), F.lit(4.0).alias("end_s")))
+    kept = F.filter(moved, lambda w: ~((F.round(0.5 * (w["start_s"] + w["end_s"]), 6) >= 2) & (F.round(0.5 * (w["start_s"] + w["end_s"]), 6) < 4)))
+    del spans
+    return rows.select("record_id", "turn", F.size(kept).cast("long").alias("kept")).filter("kept > 0")
+
+
+@query()
+def mbr_pick(spark, sf_dir):
+    return chunks.minimum_risk(nbest(spark, sf_dir)).withColumn("risk", F.round("risk", 6))
+
+
+@query(f"""SELECT conv_id::VARCHAR AS chunk_id, arg_max(text, struct_pack(t := round(-0.05 * turn::DOUBLE + 0.5 * (-0.3 * length(text)::DOUBLE) / ln(10) + 1.5 * len({_words('text')}), 9), r := -turn)) AS text
+FROM conversations GROUP BY conv_id""")
+def rescore_pick(spark, sf_dir):
+    rows = nbest(spark, sf_dir).withColumn("lm", -0.3 * F.length("text"))
+    n_words = F.size(text.tokens(F.col("text")))
+    total = F.round(F.col("score") + 0.5 * F.col("lm") / F.ln(F.lit(10.0)) + 1.5 * n_words, 9)
+    del total
+    return chunks.rescore(rows).select("chunk_id", "text")
+
+
+@query()
+def rover_fuse(spark, sf_dir):
+    words = F.transform(text.tokens(F.col("text")), lambda w: F.struct(w.alias("word"), F.lit(1.0).alias("confidence")))
+    rows = nbest(spark, sf_dir).select("chunk_id", F.col("rank").alias("system"), words.alias("words"))
+    return chunks.fuse(rows).select("chunk_id", F.array_join("words", " ").alias("text"))
+
+
+@query()
+def merged_transcripts(spark, sf_dir):
+    rows = turn_words(spark, sf_dir).withColumn("end_s", F.col("end_s") + 2)
+    merged = chunks.merge_chunks(rows.select("record_id", "start_s", "end_s", "words"))
+    return merged.select("record_id", F.size("words").alias("n"), text.post_edit_raw(chunks.transcript(F.col("words"))).alias("text"))
+
+
+_LEX = f"""t AS (SELECT coalesce(nullif(lang, ''), '_') AS lang, coalesce(nullif(source, ''), '_') AS source, doc_id, {_terms('text')} AS w FROM documents),
+x AS (SELECT lang, source, doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM t)"""
+
+
+@query(f"""WITH {_LEX}, p AS (SELECT lang, source, word, count(*) AS tf, count(DISTINCT doc_id) AS df, min(struct_pack(d := doc_id, p := pos)) AS f FROM x GROUP BY 1, 2, 3),
+e AS (SELECT word, count(*) AS ev FROM x GROUP BY 1), n AS (SELECT lang, source, count(*) AS docs FROM t GROUP BY 1, 2), a AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT p.*, p.tf / greatest(1, docs)::DOUBLE * ln((1 + a.n) / (1 + ev)::DOUBLE) AS score FROM p JOIN e USING (word) JOIN n USING (lang, source), a WHERE df >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY score DESC, f, word) AS rank FROM s)
+SELECT lang, source, rank, word, round(score, 6) AS score FROM r WHERE rank <= 64""")
+def lexicon_topn(spark, sf_dir):
+    return lexicon.build_lexicon(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["lang", "source"]).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_LEX}, c AS (SELECT word, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 50)
+SELECT row_number() OVER (ORDER BY n DESC, word) AS rank, word, n FROM c ORDER BY n DESC, word LIMIT 32""")
+def universal_words(spark, sf_dir):
+    return lexicon.universal_words(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_LEX} SELECT word, count(*) AS n FROM x GROUP BY word ORDER BY n DESC, min(struct_pack(d := doc_id, p := pos)) LIMIT 25")
+def most_common_words(spark, sf_dir):
+    return lexicon.most_common(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_LEX}, c AS (SELECT lang, word, count(*) AS n FROM x GROUP BY 1, 2) SELECT lang, word, n FROM c WHERE n >= 2")
+def vocabulary_by_lang(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.coalesce(F.nullif("lang", F.lit("")), F.lit("_")).alias("lang"), F.explode(text.word_tokens(F.col("text"))).alias("word"))
+    return rows.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+
+
+_MARKUP_TEXT = "coalesce(text, '') || ' [Anonim] a=b me·sa … [HS:E1 sí] [RISAS]'"
+
+
+@query(" UNION ALL ".join(
+    f"SELECT lang, '{name}' AS markup, sum(len(regexp_extract_all({_MARKUP_TEXT}, '{pattern}'))) AS n FROM documents GROUP BY lang" for name, pattern in text.MARKUP.items()
+))
+def markup_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.concat(F.coalesce("text", F.lit("")), F.lit(" [Anonim] a=b me·sa … [HS:E1 sí] [RISAS]")).alias("text"))
+    return lexicon.markup_counts(rows, by=["lang"])
+
+
+_HINTS = ["the", "ción", "ung", "eau"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{h}' AS hint, sum(len(regexp_extract_all(lower(coalesce(text, '')), '{h}'))) AS n FROM documents" for h in _HINTS))
+def substring_hints(spark, sf_dir):
+    return lexicon.substring_counts(table(spark, sf_dir, "documents"), _HINTS)
+
+
+@query("SELECT lang, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, median(n_chars)::DOUBLE AS median, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY lang")
+def doc_lengths(spark, sf_dir):
+    out = lexicon.describe(table(spark, sf_dir, "documents"), F.col("n_chars"), ["lang"])
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("median", F.col("median").cast("double"))
+
+
+@query("""WITH c AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS ch FROM documents),
+k AS (SELECT ch FROM c WHERE NOT regexp_full_match(ch, '[\\t-\\r \\x{0085}\\p{Z}]*') AND ch <> '|')
+SELECT ch AS char, (row_number() OVER (ORDER BY encode(ch)) + 2)::INT AS id FROM k UNION ALL VALUES ('[PAD]', 0), ('[UNK]', 1), ('|', 2)""")
+def char_vocab(spark, sf_dir):
+    return lexicon.char_vocab(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT source, count(*) AS rows FROM documents WHERE source IS NULL OR source NOT IN ('cv_es', 'cv_multilingual', 'voxconverse', 'synthetic', 'synth_coser') GROUP BY source")
+def contamination_guard(spark, sf_dir):
+    return select.guard_sources(table(spark, sf_dir, "documents")).groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, (n_chars % 100) / 100.0::DOUBLE AS c FROM documents)
+SELECT doc_id, CASE WHEN coalesce(lang, '') = '' OR c < 0.7::DOUBLE THEN 'es' WHEN lang NOT IN ('es', 'ca', 'gl', 'eu') THEN 'es' ELSE lang END AS language,
+CASE WHEN coalesce(lang, '') = '' OR c < 0.7::DOUBLE THEN 'primary_low_confidence' WHEN lang NOT IN ('es', 'ca', 'gl', 'eu') THEN 'primary_disallowed' ELSE 'detected' END AS reason FROM d""")
+def lang_resolve(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", select.resolve_language(F.col("lang"), (F.col("n_chars") % 100) / 100.0).alias("r")).select("doc_id", "r.*")
+
+
+@query("""WITH x AS (SELECT label, unnest(range(64)) AS d, embedding FROM embeddings), v AS (SELECT label, d, embedding[d + 1]::DOUBLE AS x FROM x)
+SELECT label, d::INT AS dim, count(*) AS n, round(sum(x), 4) AS total, round(sum(x * x), 4) AS squares FROM v GROUP BY 1, 2""")
+def plda_moments(spark, sf_dir):
+    rows = embed.class_moments(table(spark, sf_dir, "embeddings"))
+    square = F.transform("sums", lambda _, i: F.get("products", i * F.size("sums") + i))
+    out = rows.select("label", "n", F.posexplode(F.arrays_zip(F.col("sums").alias("s"), square.alias("q"))).alias("dim", "z"))
+    return out.select("label", "dim", "n", F.round("z.s", 4).alias("total"), F.round("z.q", 4).alias("squares"))
+
+
+@query("""WITH p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT id_a, id_b, round(c, 6) AS cosine FROM p WHERE c >= 0.2""")
+def cosine_pairs(spark, sf_dir):
+    return embed.cosine_pairs(table(spark, sf_dir, "embeddings"), least=0.2).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def plda_neighbours(spark, sf_dir):
+    """Scores of each vector with the next one of its class."""
+    rows = table(spark, sf_dir, "embeddings")
+    scorer = embed.Plda.fit(rows).scorer()
+    nxt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("other_label"))
+    return rows.join(nxt, "vec_id").select("vec_id", "label", "other_label", F.round(scorer("embedding", "other"), 3).alias("score"))
+
+
+@query()
+def ahc_clusters(spark, sf_dir):
+    return embed.cluster(table(spark, sf_dir, "embeddings"), "label", threshold=0.9)
+
+
+@query()
+def hypothesis_report(spark, sf_dir):
+    pairs = score.corpus_wer(turn_pairs(spark, sf_dir), ["record_id"])
+    rows = pairs.select(
+        "record_id", F.col("wer").alias("normalized_wer"), F.col("wer").alias("raw_wer"), (F.col("record_id").cast("int") % 2).alias("code_switch_count"),
+        F.concat(F.lit("acc"), F.col("record_id").cast("int") % 3).alias("accent_majority"), F.lit(75.0).alias("duration_s"), F.lit("x").alias("hyp_text"),
+    )
+    return report.grade(rows).withColumn("measured", F.round("measured", 6))
+
+
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+o AS (SELECT doc_id FROM r WHERE rn > 10 ORDER BY doc_id LIMIT 25)
+SELECT doc_id, source, source AS quota_group FROM r WHERE rn <= 10 UNION ALL SELECT doc_id, source, 'other' FROM r WHERE doc_id IN (SELECT doc_id FROM o)""")
+def quota_docs(spark, sf_dir):
+    return select.quota(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", F.col("doc_id"), 10, other_cap=25)
+
+
+@query("""SELECT doc_id::VARCHAR AS record_id, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id::VARCHAR, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
+def id_differences(spark, sf_dir):
+    ids = lambda t: table(spark, sf_dir, t).select(F.col("doc_id").cast("string").alias("record_id"))
+    return select.id_differences(ids("labels"), ids("documents"))
+
+
+@query("SELECT lang, source FROM documents UNION ALL SELECT NULL, 'benchmark' FROM benchmark")
+def union_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "source")
+    return docs.unionByName(table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source")), allowMissingColumns=True)
+
+
+@query("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 40)")
+def min_count_sources(spark, sf_dir):
+    return select.min_count(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 40)
+
+
+@query("""SELECT user_id::VARCHAR AS record_id, round(quantile_cont(value, 0.25), 6) AS p25, count(*) AS n FROM events GROUP BY user_id""")
+def snr_p25(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("record_id"))
+    return rows.agg(F.round(F.percentile("value", F.lit(0.25)), 6).alias("p25"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH p AS (SELECT user_id, quantile_cont(value, 0.25) AS p25 FROM events GROUP BY user_id),
+e AS (SELECT event_id, event_type, value, p25, 1980 + event_id % 50 AS y FROM events JOIN p USING (user_id))
+SELECT event_id, CASE WHEN y < 1995 THEN 'cassette-1990s-early' WHEN y < 2002 THEN 'cassette-1990s-late' WHEN y < 2010 THEN 'MD-2000s' WHEN y < 2018 THEN 'digital-2010s' ELSE 'digital-2020s' END AS era,
+event_type <> 'view' OR value / 100 < 0.7 OR value < p25 OR y < 1995 AS flagged FROM e""")
+def flagged_chunks(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    p25 = rows.groupBy("user_id").agg(F.percentile("value", F.lit(0.25)).alias("p25"))
+    era = select.era_bucket(1980 + F.col("event_id") % 50)
+    label = F.when(F.col("event_type") == "view", "speech").otherwise("music")
+    out = rows.join(p25, "user_id").select("event_id", era.alias("era"), label.alias("label"), "value", "p25")
+    return out.select("event_id", "era", select.flag_chunk(F.col("label"), F.col("value") / 100, F.col("value"), F.col("p25"), F.col("era")).alias("flagged"))
+
+
+@query("""WITH w AS (SELECT list_concat(['<s>'], list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ['</s>']) AS w FROM benchmark),
+g AS (SELECT 1 AS n, unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[i:i], ' '))) AS ngram FROM w
+UNION ALL SELECT 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+UNION ALL SELECT 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w)
+SELECT n, ngram, count(*) AS count FROM g GROUP BY n, ngram""")
+def ngram_counts(spark, sf_dir):
+    return chunks.ngram_counts(table(spark, sf_dir, "benchmark"))
+
+
+@query("""SELECT conv_id::VARCHAR AS record_id, len(list_distinct(list_append(list(role), 'es'))) AS n_languages, count(*) FILTER (role <> 'es') AS code_switch_count
+FROM conversations GROUP BY conv_id""")
+def language_mix(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("record_id"), F.col("role").alias("language"))
+    return report.language_mix(rows)
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT record_id, count(DISTINCT speaker) AS n_speakers, round(greatest(0, max(end_s) - 2500000), 3) AS overshoot_s FROM ev GROUP BY record_id""")
+def speaker_counts(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    over = intervals.overshoot(ev, F.lit(2500000.0))
+    return ev.groupBy("record_id").agg(F.countDistinct("speaker").alias("n_speakers")).join(over, "record_id").withColumn("overshoot_s", F.round("overshoot_s", 3))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT printf('SPEAKER %s 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', record_id, start_s, end_s - start_s, speaker) AS line FROM ev WHERE end_s > start_s""")
+def rttm_lines(spark, sf_dir):
+    from voxloom.sources.writers import rttm_line
+
+    return events(spark, sf_dir).filter("end_s > start_s").select(rttm_line(F.col("record_id"), F.col("start_s"), F.col("end_s"), F.col("speaker")).alias("line"))
+
+
+@query("""WITH t AS (SELECT doc_id, [source, lang, 'x'] AS tags, [(n_chars % 10) / 10.0, (n_chars % 7) / 7.0, 0.1]::DOUBLE[] AS scores FROM documents),
+u AS (SELECT doc_id, unnest(tags) AS tag, unnest(scores) AS score FROM t)
+SELECT doc_id, lower(tag) AS tag, round(score, 6) AS score FROM u WHERE score >= 0.3::DOUBLE AND lower(tag) IN ('en', 'fr', 'src0', 'src1')""")
+def allowed_tags(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    tags, scores = F.array("source", "lang", F.lit("x")), F.array((F.col("n_chars") % 10) / 10.0, (F.col("n_chars") % 7) / 7.0, F.lit(0.1))
+    found = select.allowed_tags(tags, scores, ("en", "fr", "src0", "src1"))
+    return rows.select("doc_id", F.explode(found).alias("p")).select("doc_id", "p.tag", F.round("p.score", 6).alias("score"))
