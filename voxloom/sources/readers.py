@@ -100,7 +100,7 @@ def build_manifest(spark: SparkSession, segments: str, longform: str, meta: Data
     def side(folder: str, kind: str) -> DataFrame:
         audio = read_wav(spark, folder).withColumn("stem", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.wav$", ""))
         words = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select(
-            F.col("_metadata.file_path").alias("transcript_path"), F.trim("value").alias("transcript"),
+            F.col("_metadata.file_path").alias("transcript_path"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("transcript"),
             F.regexp_replace(F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -1), r"\.txt$", "").alias("stem"),
         )
         rows = audio.join(words, "stem", "inner" if kind == "segment" else "left").join(meta, "record_id", "left")
