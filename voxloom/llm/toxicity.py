@@ -1,8 +1,9 @@
 """Toxicity scores from a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 The kernel compares two words by the character subsequences of length three that they share; each occurrence counts
-``DECAY`` to the power of the characters it spans (up to ``SPAN``), and the kernel is normalised. A word that is
-spelled with gaps or inserted characters keeps most of its subsequences, so it stays near the word it hides.
+``DECAY`` to the power of the characters it spans (up to ``SPAN``), and the kernel is normalised. Only letters
+and digits make subsequences; other characters are gaps. A word that is spelled with gaps or inserted characters keeps most
+of its subsequences, so it stays near the word it hides.
 
 Landmarks are the words that distinguish the toxic from the clean texts of the sample best. A text becomes the vector
 of its words' largest kernel values with each landmark, sentence by sentence; the Nyström map (the inverse square
@@ -47,18 +48,26 @@ CACHE_WORDS = 400_000
 EDGES = "\"'.,;:!?()[]{}<>*#$%&|-_…»«“”‘’¡¿"
 _OFFSETS = [(b, c) for c in range(2, SPAN) for b in range(1, c)]
 _SLOTS = 1 << 20
+_ASCII_LETTERS = np.array([chr(i).isalnum() for i in range(128)])
+
+
+def _is_letter(text: np.ndarray) -> np.ndarray:
+    """Letters and digits; every code point beyond ASCII counts as one."""
+    return (text >= 128) | _ASCII_LETTERS[np.minimum(text, 127)]
 
 
 def _codes(text: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
-    """Codes of the three-character subsequences by their place; text holds code points, 0 between words."""
+    """Codes of the three-character subsequences by their place, 0 where one is no letter; text holds code points."""
     codes, weights = [], []
     n = len(text)
-    a = text.astype(np.uint64)
+    a, letter = text.astype(np.uint64), _is_letter(text)
     for b, c in _OFFSETS:
         if n <= c:
             break
         code = a[: n - c] * np.uint64(0x9E3779B97F4A7C15) + a[b : n - c + b] * np.uint64(0xC2B2AE3D27D4EB4F) + a[c:] * np.uint64(0x165667B19E3779F9)
-        codes.append(code ^ (code >> np.uint64(29)))
+        code ^= code >> np.uint64(29)
+        code[~(letter[: n - c] & letter[b : n - c + b] & letter[c:])] = 0
+        codes.append(code)
         weights.append(DECAY ** (c + 1))
     return codes, weights
 
@@ -77,7 +86,8 @@ def subsequences(word: str) -> dict[int, float]:
     codes, weights = _codes(np.array([ord(ch) for ch in word], np.uint32))
     for code, weight in zip(codes, weights, strict=True):
         for k in code.tolist():
-            found[k] = found.get(k, 0.0) + weight
+            if k:
+                found[k] = found.get(k, 0.0) + weight
     return found
 
 
@@ -130,6 +140,7 @@ class Landmarks:
             word = np.repeat(np.arange(len(parts)), lengths + SPAN)[: len(text)]
             codes, weights = _codes(text)
             square = np.zeros(len(parts))
+            plain = np.bincount(word, _is_letter(text), len(parts)) == lengths
             hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for (_, c), code, weight in zip(_OFFSETS, codes, weights, strict=False):
                 square += weight * weight * np.maximum(0, lengths - c)
@@ -148,7 +159,7 @@ class Landmarks:
                     values = np.add.reduceat(self.table[r[start:stop]] * v[start:stop, None].astype(np.float32), first[lo : lo + WORDS_AT_ONCE] - start, axis=0)
                     chosen = w[first[lo : lo + WORDS_AT_ONCE]]
                     # a word's norm is least where no subsequence recurs
-                    high = np.flatnonzero(values.max(axis=1) >= NEAR * np.sqrt(square[chosen]))
+                    high = np.flatnonzero(values.max(axis=1) >= NEAR * np.sqrt(square[chosen] * plain[chosen]))
                     if not len(high):
                         continue
                     chosen = chosen[high]
@@ -188,7 +199,7 @@ class Landmarks:
         weight: dict[tuple[int, int, int], float] = {}
         for a in range(len(word)):
             for b, c in _OFFSETS:
-                if a + c < len(word):
+                if a + c < len(word) and all(_is_letter(np.array([ord(word[i]) for i in (a, a + b, a + c)]))):
                     key = tuple(word[i] for i in (a, a + b, a + c))
                     weight[key] = weight.get(key, 0.0) + DECAY ** (c + 1)
         for key, v in weight.items():
@@ -212,7 +223,7 @@ class Landmarks:
         codes, weights = _codes(own)
         keys, owners, sizes = [], [], []
         for (_, c), code, weight in zip(_OFFSETS, codes, weights, strict=False):
-            inside = np.flatnonzero(place[: len(code)] + c < lengths[word[: len(code)]])
+            inside = np.flatnonzero((place[: len(code)] + c < lengths[word[: len(code)]]) & (code != 0))
             keys.append(code[inside])
             owners.append(word[inside])
             sizes.append(np.full(len(inside), weight))
@@ -252,7 +263,8 @@ class Model:
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
     """The words that over four times the share of toxic texts hold, by the likelihood ratio of that."""
-    bags = [{w for t in text.lower().split() if 3 <= len(w := t.strip(EDGES)) <= TOKEN_CHARS // 2} for text in texts]
+    able = lambda w: len(w) <= TOKEN_CHARS // 2 and sum(map(str.isalnum, w)) >= 3
+    bags = [{w for t in text.lower().split() if able(w := t.strip(EDGES))} for text in texts]
     bad, good = Counter(), Counter()
     for bag, label in zip(bags, toxic, strict=True):
         (bad if label else good).update(bag)
