@@ -150,3 +150,8 @@ def test_model_slots(spark):
     assert got.first()["words"][0]["word"] == "hola"
     texts = spark.createDataFrame([("a b",)], "text string")
     assert models.score_texts(texts, lambda: lambda t: float(len(t))).first()["lm"] == 3.0
+
+
+def test_front_end_ablation(spark):
+    got = [(round(r.raw_wer, 6), round(r.normalized_wer, 6), r.chunks, r.skipped) for r in pipelines.front_end_ablation(spark).collect()]
+    assert got == [(1.363636, 1.272727, 6, 0), (0.818182, 0.727273, 4, 0), (0.090909, 0.0, 2, 2), (0.0, 0.0, 2, 2)]

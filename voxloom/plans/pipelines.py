@@ -122,3 +122,25 @@ def synthetic_run(spark: SparkSession) -> DataFrame:
     full = evaluate(spark, f.SYNTHETIC_CHUNKS, Knobs(), f.SYNTHETIC_MASK, f.REFERENCE, f.SYNTHETIC_SPEAKERS, f.SYNTHETIC_MISALIGNED, f.SYNTHETIC_END)
     before = speaker_error(spark, f.SYNTHETIC_SPEAKERS, f.SYNTHETIC_MISALIGNED, f.SYNTHETIC_END, None)
     return full.withColumn("der_before", before.select("rate").scalar())
+
+
+def front_end_ablation(spark: SparkSession) -> DataFrame:
+    """(config, raw_wer, normalized_wer, chunks, skipped) of the fixed minute: nothing, voice activity, music routing, masking."""
+    from voxloom.operators import signal
+
+    f = fixtures
+    voiced = signal.voice_segments(f.minute(), 16000) or [(0.0, 60.0)]
+    one = lambda rows, *more: spark.createDataFrame([("r", *r) for r in rows], "record_id string, start_s double, end_s double" + "".join(more))
+    reference = " ".join(w for words in f.SAID.values() for w in words)
+    out = None
+    for vad, route, mask in ((False, False, False), (True, False, False), (True, True, False), (True, True, True)):
+        rows = intervals.chunk_intervals(one(voiced if vad else [(0.0, 60.0)]), 10.0, 0.0)
+        kept = intervals.outside(rows, one([f.MUSIC]), intervals.midpoint()) if route else rows
+        said = transcribe(kept, lambda: lambda r: fixtures.heard(r["start_s"], r["end_s"]), None, one([f.LAUGHTER]) if mask else None)
+        words = said.select(chunks.transcript(F.col("words")).alias("hyp"), F.lit(reference).alias("ref"))
+        rates = [align.wer(text.tokens(g(F.col("ref"))), text.tokens(g(F.col("hyp")))).alias(n) for n, g in (("raw_wer", lambda c: c), ("normalized_wer", text.normalize_for_eval))]
+        n_all, n_kept = rows.agg(F.count(F.lit(1)).alias("n")), kept.agg(F.count(F.lit(1)).alias("n"))
+        name = "+".join(n if on else "—" for n, on in zip(("VAD", "MUSIC-ROUTE", "MASK"), (vad, route, mask), strict=True))
+        row = words.select(F.lit(name).alias("config"), *rates).withColumn("chunks", n_kept.scalar()).withColumn("skipped", n_all.scalar() - F.col("chunks"))
+        out = row if out is None else out.unionByName(row)
+    return out
