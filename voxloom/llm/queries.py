@@ -80,5 +80,24 @@ def queries() -> dict:
     }
 
 
+_QUALITY_SQL = r"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+win AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + 2]) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+raw AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+l AS (SELECT doc_id, source, t, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS line FROM raw WHERE line <> '' AND length(line) <= 250),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+freq AS (SELECT l.source, line FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE line <> '' GROUP BY l.source, line HAVING count(DISTINCT t) >= 10 AND count(DISTINCT t) > 0.1 * any_value(docs)),
+gone AS (SELECT doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN freq f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.r, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN gone USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < 0.5 * n_words) AS kept FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that it can express: the others need XXH64, kernels or merges."""
+    return {"op9_quality": _QUALITY_SQL}
