@@ -195,12 +195,11 @@ def _compressed(x: np.ndarray):
     return [(low, mid, high)]
 
 
-def block_forest(keys: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows of equal key; keys come sorted. Pairs of row numbers."""
+def block_classes(keys: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
+    """For each row the least row number that links among rows of equal key connect it to; keys come sorted."""
     n = len(keys)
     label = np.arange(n)
     sliced = BitSliced(words, radius)
-    links = []
     for distance in range(1, n):
         together = keys[:-distance] == keys[distance:]
         if not together.any():
@@ -211,9 +210,8 @@ def block_forest(keys: np.ndarray, words: np.ndarray, radius: int) -> list[tuple
         for i in sliced.within(distance, alive):
             a, b = label[i], label[i + distance]
             if a != b:
-                links.append((int(i), int(i + distance)))
                 label[label == max(a, b)] = min(a, b)
-    return links
+    return label
 
 
 def _compare(words: int, radius: int, buffer_rows: int):
@@ -228,9 +226,12 @@ def _compare(words: int, radius: int, buffer_rows: int):
         paired = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         fp = np.column_stack([table.column(f"w{w}").to_numpy()[order].view(np.uint64) for w in range(words)])
         keys, ids, fp = keys[paired], ids[paired], fp[paired]
-        links = block_forest(keys, fp, radius) if len(keys) else []
-        a, b = (ids[[x[k] for x in links]] if links else np.empty(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        label = block_classes(keys, fp, radius) if len(keys) else np.empty(0, np.int64)
+        # a class leaves as a star around its least id: chains would take components() many rounds
+        least = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        a, b = least[label], ids
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
