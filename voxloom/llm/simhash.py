@@ -23,6 +23,7 @@ shingle; repeated rows get equal results; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -81,13 +82,29 @@ def _mix(h: np.ndarray, word: int) -> np.ndarray:
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One 64-bit key a band of ``rows`` MinHash values; an empty text has the same keys as any other empty text."""
+    """One 64-bit key a band of ``rows`` MinHash values; an empty text has the same keys as any other empty text.
+
+    A value is the least of the hashes under one of ``bands * rows`` mixings; a few hundred hashes are mixed in all ways at once.
+    """
     if not len(hashes):
         return [0] * bands
-    mins = np.array([_mix(hashes, 1000 + i).min() for i in range(bands * rows)], "<u8").reshape(bands, rows)
+    salts = _salts(bands * rows)
+    mins = np.full(len(salts), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        h = hashes[None, at : at + 512] ^ salts[:, None]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        np.minimum(mins, h.min(axis=1), out=mins)
+    mins = mins.astype("<u8").reshape(bands, rows)
     return [xxhash.xxh64_intdigest(m.tobytes(), b) - 2**63 for b, m in enumerate(mins)]
 
 
+@functools.cache
+def _salts(n: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(b"minhash", i) for i in range(n)], np.uint64)
+
+
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1,
     bands: int = 0, band_rows: int = 4,
