@@ -32,7 +32,8 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(docs)
+    found = suffix_dedup.deduplicated(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

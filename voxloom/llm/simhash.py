@@ -374,7 +374,7 @@ def similar_radius(similarity: float, bits: int, sigmas: float = 1.0) -> int:
 
 
 def near_duplicate_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 4,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 8,
     bands: int = 14, band_rows: int = 4,
 ) -> DataFrame:
     """(doc_id, group_id, text_key): documents whose ``width``-word shingles are ``similarity`` or more alike share a group.
