@@ -142,6 +142,47 @@ def test_near_duplicates_at_08(spark):
     assert edge[3] == edge[4] == 3 and edge[0] == edge[1] == edge[2] == 0 and edge[6] == 6
 
 
+def test_exact_similarity_decides(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(240):  # similarities from 0.6 to 1
+        base = [word() for _ in range(rng.choice([60, 150, 400]))]
+        other = list(base)
+        spread = rng.uniform(0.01, 0.15) * len(base)
+        at = rng.randrange(len(base) - int(spread))
+        other[at : at + int(spread)] = [word() for _ in range(int(spread))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    base = [word() for _ in range(104)]
+    again = [w for i in range(0, 100, 5) for w in base[i : i + 5] * (4 if i < 20 else 1)] + base[100:]
+    rows += [(1000, " ".join(base)), (1001, " ".join(again)), (1002, " ".join(base[:100] + base[:60] * 3))]
+    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in shingles}
+    for a in shingles:
+        for b in shingles:
+            if a < b and len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) >= 0.8 and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    assert 60 < sum(root[i] != i for i in root) < 200
+    for block in (4096, 3):
+        monkeypatch.setattr(simhash, "VERIFY_ROWS", block, raising=False)
+        got = {r.doc_id: r.group_id for r in simhash.near_duplicate_groups(docs_of(spark, rows)).collect()}
+        assert got == root
+
+
+def test_exact_classes_in_blocks(spark, monkeypatch):
+    rng = random.Random(22)
+    base = [str(rng.random()) for _ in range(80)]
+    rows = []
+    for i in range(60):  # a chain: neighbours are alike, the ends are not
+        base[i] = str(rng.random())
+        rows.append((i, " ".join(base)))
+    for limit in ("VERIFY_ROWS", "VERIFY_HASHES"):
+        with monkeypatch.context() as m:
+            m.setattr(simhash, limit, 7 if limit == "VERIFY_ROWS" else 500)
+            assert {r.group_id for r in simhash.near_duplicate_groups(docs_of(spark, rows)).collect()} == {0}
+
+
 # 3 licenses
 
 

@@ -10,7 +10,8 @@ Two ways of dealing buckets:
 * ``pigeonhole``: the bits are cut into radius+2 pieces, a bucket fixes all but ``radius`` of them, so no pair
   within the radius is lost (exact; for small radii);
 * ``minhash``: bands of MinHash values of the same shingles (for similarity thresholds such as 0.8, where the
-  radius is too large for the pigeonhole).
+  radius is too large for the pigeonhole). Here the SimHashes only choose candidates, within a wide radius: the
+  distinct shingles of all texts of a candidate component are compared, and exact Jaccard similarity decides.
 
 Buckets of more than ``block_rows`` distinct fingerprints are cut into blocks, and each pair of blocks is
 compared by a task of its own; nothing is capped or sampled. Out of a block only a spanning forest of its links
@@ -38,6 +39,9 @@ from voxloom.llm.common import materialize, maybe_broadcast, small_text_batches
 
 SEED = 42
 BLOCK_ROWS = 8192
+#: Sets and hashes of a block where candidates are verified.
+VERIFY_ROWS = 4096
+VERIFY_HASHES = 1_000_000
 #: Odd multipliers that derive further hash words from a shingle's hash.
 WORD_MIX = 0x9E3779B97F4A7C15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -105,30 +109,20 @@ def _salts(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"minhash", i) for i in range(n)], np.uint64)
 
 
-def fingerprints(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1,
-    bands: int = 0, band_rows: int = 4,
-) -> DataFrame:
-    """(id, w0.. w{words-1} long[, keys array<long>]): SimHash of whole texts, ``words`` times 64 bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
+    """(id, w0.. w{words-1} long): SimHash of whole texts, ``words`` times 64 bits."""
     small_text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
+            rows = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(text, width)
                 rows.append([majority_bits(_mix(h, w)) for w in range(words)])
-                if bands:
-                    keys.append(band_keys(np.unique(h), bands, band_rows))
             fp = np.array(rows, np.uint64).reshape(-1, words).view(np.int64)
-            cols = [batch.column(0), *(pa.array(fp[:, w]) for w in range(words))]
-            names = ["id", *(f"w{w}" for w in range(words))]
-            if bands:
-                cols.append(pa.array(keys, pa.list_(pa.int64())))
-                names.append("keys")
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = "id long, " + ", ".join(f"w{w} long" for w in range(words)) + (", keys array<long>" if bands else "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, w]) for w in range(words))], ["id", *(f"w{w}" for w in range(words))])
+
+    schema = "id long, " + ", ".join(f"w{w} long" for w in range(words))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -367,28 +361,162 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
 
 
-def similar_radius(similarity: float, bits: int, sigmas: float = 1.0) -> int:
-    """Differing bits expected at a Jaccard similarity of equally long texts, plus ``sigmas`` standard deviations."""
+def similar_radius(similarity: float, bits: int, sigmas: float = 7.0) -> int:
+    """Differing bits expected at a Jaccard similarity of equally large sets, plus ``sigmas`` standard deviations.
+
+    Seven, as the expectation is that of large sets: for 4 shingles against 5 at 0.8 it is a quarter higher.
+    """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * share + sigmas * math.sqrt(bits * share * (1 - share)))
 
 
-def near_duplicate_groups(
+def similar_classes(hashes: np.ndarray, starts: np.ndarray, similarity: float) -> np.ndarray:
+    """For each set the least number among those that links of exact Jaccard ``similarity`` or more connect it to.
+
+    Set i is hashes[starts[i] : starts[i + 1]], distinct and not empty.
+    """
+    sizes = np.diff(starts)
+    n = len(sizes)
+    label = np.arange(n)
+    vocabulary, codes = np.unique(hashes, return_inverse=True)
+    mark = np.zeros(len(vocabulary), bool)
+    for i in range(n - 1):
+        low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+        open_ = (label[i + 1 :] != label[i]) & (low / high >= similarity)
+        if not open_.any():
+            continue
+        own = codes[starts[i] : starts[i + 1]]
+        mark[own] = True
+        common = np.add.reduceat(mark[codes[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1], dtype=np.int64)
+        mark[own] = False
+        for j in i + 1 + np.flatnonzero(open_ & (common / (low + high - common) >= similarity)):
+            x, y = label[i], label[j]
+            if x != y:
+                label[label == max(x, y)] = min(x, y)
+    return label
+
+
+def _verify(similarity: float):
+    """Over rows (cell, id, hashes) sorted by cell: links (a, b) of ids whose shingle sets are alike, cell after cell."""
+
+    def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        a = b = np.empty(0, np.int64)
+        if len(ids) > 1:
+            label = similar_classes(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), similarity)
+            b = np.array(ids, np.int64)
+            least = np.full(len(b), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, b)
+            a = least[label]
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, sets = None, [], []
+        for batch in batches:
+            for at, key, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if at != cell:
+                    if len(ids) > 1:
+                        yield links(ids, sets)
+                    cell, ids, sets = at, [], []
+                if hashes:
+                    ids.append(key)
+                    sets.append(np.frombuffer(hashes, np.uint64))
+        yield links(ids, sets)
+
+    return run
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """Two hashes (k0, k1) of all columns that can be hashed: what tells rows apart, whatever their ids."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(*cols).alias("k0"), F.xxhash64(F.lit("second"), *cols).alias("k1")]
+
+
+def _set_hashes(width: int):
+    """Over rows (cells, id, text): (cells, id, the text's distinct shingle hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["cells", "id", "hashes"])
+
+    return run
+
+
+def _exact_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) of exact similarity within the candidate components (id, root).
+
+    All pairs of a component are compared, those that share a class already excepted. Components of more than
+    VERIFY_ROWS sets or VERIFY_HASHES hashes are cut into blocks, and each pair of blocks is a cell of its own.
+    """
+    placed = materialize(nodes.select("id", "n", "k0", "k1").join(candidates, "id"), "neardup-candidates")
+    total = placed.groupBy("root").agg(F.greatest(F.count(F.lit(1)) / VERIFY_ROWS, F.sum("n") / VERIFY_HASHES).alias("parts"))
+    hot = materialize(total.filter("parts > 1").select("root", F.ceil("parts").cast("int").alias("blocks")), "neardup-hot")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("own", j), F.greatest("own", j)))
+    picks = (
+        placed.join(maybe_broadcast(hot, hot.count(), 50_000), "root", "left")
+        .withColumn("own", F.when(F.col("blocks").isNotNull(), own))
+        .select("k0", "k1", "id", F.when(F.col("own").isNotNull(), F.array_distinct(cells)).otherwise(F.array("root")).alias("cells"))
+    )
+    texts = docs.select(*_row_key(docs), F.col(text_col).cast("string").alias("text"))
+    sets = (
+        texts.join(maybe_broadcast(picks, placed.count(), 200_000), ["k0", "k1"])
+        .select("cells", "id", "text")
+        .mapInArrow(_set_hashes(width), "cells array<long>, id long, hashes binary")
+        .dropDuplicates(["id"])
+        .select(F.explode("cells").alias("cell"), "id", "hashes")
+    )
+    dealt = sets.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_verify(similarity), "a long, b long").distinct()
+
+
+def near_duplicate_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 8,
     bands: int = 14, band_rows: int = 4,
 ) -> DataFrame:
-    """(doc_id, group_id, text_key): documents whose ``width``-word shingles are ``similarity`` or more alike share a group.
+    """(id, k0, k1, root), a row for each of docs: texts that links of exact shingle similarity connect have one root.
 
+    A link joins two texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more.
     Candidates share one of ``bands`` bands of ``band_rows`` MinHash values (at a similarity of 0.8, 99.9 % of the pairs
-    do with the defaults); they link where their ``64*words``-bit SimHashes differ in at most ``similar_radius`` bits.
-    group_id is the smallest id of the group. Equal fingerprints (copies above all) are one node.
+    do with the defaults) and have ``64*words``-bit SimHashes of at most ``similar_radius`` differing bits; their
+    components are then compared set by set. Texts of one shingle set are one node, whose id is a hash of the set.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, width, words, bands, band_rows), "neardup")
+    small_text_batches(docs.sparkSession)
+    prints = materialize(_set_prints(docs, id_col, text_col, width, words, bands, band_rows), "neardup")
     fp = [f"w{w}" for w in range(words)]
-    nodes = materialize(
-        prints.groupBy(*fp).agg(F.min("id").alias("id"), F.min_by("keys", "id").alias("keys")), "neardup-nodes"
-    )
-    links = link_forest(nodes, F.col("keys"), words, similar_radius(similarity, 64 * words))
-    roots = components(links)
-    named = nodes.drop("keys").join(roots, "id", "left").select(*fp, F.coalesce("root", "id").alias("group_id"))
-    return prints.select("id", *fp).join(named, fp).select(F.col("id").alias(id_col), "group_id")
+    one = F.min(F.struct("k0", "k1")).alias("row")
+    nodes = prints.groupBy(F.col("node").alias("id")).agg(one, F.first("n").alias("n"), *(F.first(c).alias(c) for c in [*fp, "keys"]))
+    nodes = materialize(nodes.select("id", "row.k0", "row.k1", "n", *fp, "keys"), "neardup-nodes")
+    links = link_forest(nodes.filter("n > 0"), F.col("keys"), words, similar_radius(similarity, 64 * words))
+    candidates = components(links)
+    roots = materialize(components(_exact_links(docs, nodes, candidates, text_col, width, similarity)), "neardup-roots")
+    roots = maybe_broadcast(roots.withColumnRenamed("id", "node"), roots.count(), 200_000)
+    return prints.select("id", "k0", "k1", "node").join(roots, "node", "left").select("id", "k0", "k1", F.coalesce("root", "node").alias("root"))
+
+
+def _set_prints(docs: DataFrame, id_col: str, text_col: str, width: int, words: int, bands: int, band_rows: int) -> DataFrame:
+    """(id, k0, k1, node, n, w0.., keys): hash and size of each row's set of shingles, its SimHash and its MinHash bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys, nodes, sizes = [], [], [], []
+            for text in batch.column(3).cast(pa.binary()).to_pylist():
+                h = np.unique(shingle_hashes(text, width))
+                rows.append([majority_bits(_mix(h, w)) for w in range(words)])
+                keys.append(band_keys(h, bands, band_rows))
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) - 2**63)
+                sizes.append(len(h))
+            fp = np.array(rows, np.uint64).reshape(-1, words).view(np.int64)
+            cols = [*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(fp[:, w]) for w in range(words))]
+            names = ["id", "k0", "k1", "node", "n", *(f"w{w}" for w in range(words)), "keys"]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.list_(pa.int64()))], names)
+
+    schema = "id long, k0 long, k1 long, node long, n long, " + "".join(f"w{w} long, " for w in range(words)) + "keys array<long>"
+    return docs.select(F.col(id_col).cast("long").alias("id"), *_row_key(docs), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc_id, group_id), a row for each of docs: group_id is the smallest id of the row's class in ``near_duplicate_rows``."""
+    rows = materialize(near_duplicate_rows(docs, id_col, text_col, **options), "neardup-rows")
+    named = rows.groupBy("root").agg(F.min("id").alias("group_id"))
+    return rows.join(named, "root").select(F.col("id").alias(id_col), "group_id")
