@@ -3,13 +3,14 @@
 Each stage works on all rows that the stage before kept. All but the last return the columns of documents.
 
 * quality: documents that the quality rules reject go;
-* near_dedup: of documents whose five-word shingles are 0.8 or more alike, the one of the smallest doc_id stays;
+* near_dedup: of documents whose five-word shingles are 0.8 or more alike, the one of the smallest doc_id stays (null
+  ids last, rows of one id in the order of a hash);
 * suffix_dedup: bytes that repeat an earlier 100-byte string are taken out of the texts;
 * mix: rows are repeated or dropped so that the sources' words meet the target weights;
 * tokens: texts become ids; the last stage's rows are (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
-Nulls, empty tables, repeated rows and further columns are handled as the operators' docstrings say; rows with the same
-doc_id are one document to near_dedup and suffix_dedup as far as order goes.
+Nulls, empty tables, repeated rows and further columns are handled as the operators' docstrings say. Texts decide, not
+ids: rows that share a doc_id, or have none, are documents of their own to near_dedup and suffix_dedup.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = materialize(simhash.near_duplicate_groups(docs), "near-dedup").filter(F.col("group_id") != F.col("doc_id"))
-    return docs.join(groups.select("doc_id").distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return simhash.without_near_duplicates(docs)
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.deduplicated(docs)
+    rows = docs
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count():
+        # ids that tell texts apart, in the order of doc_id: written, so that each use sees the same ones
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")]
+        rows = materialize(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "suffix-rows")
+    found = suffix_dedup.deduplicated(rows, "doc_id" if rows is docs else "__row").select(*docs.columns)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 

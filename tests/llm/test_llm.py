@@ -504,3 +504,23 @@ def test_pipeline_and_queries(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
+
+
+def test_pipeline_keeps_texts_of_shared_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(4, 9))) for _ in range(n))
+    texts = [prose(120) for _ in range(8)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "a"), (None, texts[1], "a"), (None, texts[1], "b"), (7, texts[2], "a"), (7, texts[3], "a")]
+    rows += [(5, texts[4], "a"), (9, texts[4] + " end", "a"), (9, texts[5], "a"), (None, texts[5], "a"), (11, texts[6], "a"), (12, texts[7], "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.stage_near_dedup(spark, docs, "").collect()
+    ids = [(None, 0), (None, 1), (7, 2), (7, 3), (5, 4), (9, 5), (11, 6), (12, 7)]
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((i, texts[t]) for i, t in ids)
+    shared = " " + prose(60) + " "
+    rows = [(3, texts[0] + shared), (3, shared + texts[1]), (None, shared + texts[2]), (1, texts[3] + shared + texts[4]), (None, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [r.text for r in corpus_pipeline.stage_suffix_dedup(spark, docs, "").collect()]
+    assert sum(shared.strip() in t for t in left) == 1 and texts[3] + shared + texts[4] in left
+    assert all(sum(x in t for t in left) == 1 for x in [t[3:-3] for t in texts[:6]])

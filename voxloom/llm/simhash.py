@@ -515,6 +515,19 @@ def _set_prints(docs: DataFrame, id_col: str, text_col: str, width: int, words:
     return docs.select(F.col(id_col).cast("long").alias("id"), *_row_key(docs), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each class of ``near_duplicate_rows``: that of the smallest id, null ids last, then of the least row hash.
+
+    A row goes only where its own text is in the class of a row that stays, whatever rows share its id.
+    """
+    rows = materialize(near_duplicate_rows(docs, id_col, text_col, **options), "neardup-rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k0", "k1")).alias("row"))
+    gone = rows.join(first.select("row.k0", "row.k1"), ["k0", "k1"], "left_anti").select(F.col("k0").alias("__k0"), F.col("k1").alias("__k1")).distinct()
+    k0, k1 = _row_key(docs)
+    named = docs.select("*", k0.alias("__k0"), k1.alias("__k1"))
+    return named.join(gone, ["__k0", "__k1"], "left_anti").dropDuplicates(["__k0", "__k1"]).select(*docs.columns)
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, group_id), a row for each of docs: group_id is the smallest id of the row's class in ``near_duplicate_rows``."""
     rows = materialize(near_duplicate_rows(docs, id_col, text_col, **options), "neardup-rows")
