@@ -2,7 +2,7 @@
 
 Each stage works on all rows that the stage before kept. All but the last return the columns of documents.
 
-* quality: documents that the quality rules reject go;
+* quality: documents that the quality rules reject go, and of the others the lines that too many documents hold;
 * near_dedup: of documents whose five-word shingles are 0.8 or more alike, the one of the smallest doc_id stays (null
   ids last, rows of one id in the order of a hash);
 * suffix_dedup: bytes that repeat an earlier 100-byte string are taken out of the texts;
@@ -24,7 +24,8 @@ from voxloom.llm.queries import vocabulary_path
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    kept = quality.judge(docs).filter("kept").withColumn("text", F.col("clean_text")).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -476,6 +476,24 @@ def test_suffix_order():
     assert found == sorted(s[k:] for s in strings for k in range(len(s) + 1))
 
 
+def test_frequent_lines_leave_the_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(32)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    bar = "Share this  page 12 now"
+    own = [[prose(30), prose(40)] for _ in range(24)]
+    rows = [(i, f"{x}\n  share THIS page {i} now\n\n{y}\n{bar}" if i < 20 else f"{x}\n{y}", "h", 0) for i, (x, y) in enumerate(own)]
+    rows += [(100 + i, f"{bar}\n{prose(60)}", "rare", 0) for i in range(3)] + [(200, None, "h", 0), (201, "", None, 0)]
+    docs = docs_of(spark, rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.stage_quality(spark, docs, "").collect()}
+    want = {i: f"{x}\n\n{y}" if i < 20 else f"{x}\n{y}" for i, (x, y) in enumerate(own)} | {i: t for i, t, *_ in rows if 100 <= i < 200}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    judged = {r.doc_id: r.clean_text for r in quality.judge(docs).collect()}
+    assert judged[200] is None and judged[201] == ""
+
+
 # the pipeline and the queries
 
 

@@ -3,7 +3,7 @@
 Base rules look at one text: too few words, or too many words inside repeated three-word windows. The
 cross-document rule finds boilerplate: each line of at most ``max_line_chars`` characters is normalised and hashed,
 the distinct documents that hold it are counted per host (exact copies of a text count once), and lines that
-more than ``max_share`` of a host's documents (and at least ``min_docs``) hold are removed. A document that
+more than ``max_share`` of a host's documents (and at least ``min_docs``) hold are removed (``clean_text``). A document that
 keeps less than ``min_kept`` of its words is depleted and rejected. Longer lines are prose: where they repeat,
 they are copies, which the duplicate operators handle.
 
@@ -107,6 +107,12 @@ def normalized_line(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), SPACE, " ")), r"[0-9]+", "0")
 
 
+def without_lines(text: Column, hashes: Column, config: QualityConfig) -> Column:
+    """The text without the eligible lines whose normalised form has one of the hashes."""
+    gone = lambda x: (x != "") & (F.length(x) <= config.max_line_chars) & F.array_contains(hashes, F.xxhash64(normalized_line(x)))
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~gone(x)), "\n")
+
+
 def document_lines(df: DataFrame, text: str, host: str, config: QualityConfig) -> DataFrame:
     """(content, host, line, words): a row for each distinct eligible line of a text and the words that all its occurrences have."""
     short = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: (x != "") & (F.length(x) <= config.max_line_chars))
@@ -132,8 +138,8 @@ def frequent_lines(lines: DataFrame, contents: DataFrame, config: QualityConfig)
 
 
 def judge(df: DataFrame, text: str = "text", host: str = "source", config: QualityConfig = QualityConfig()) -> DataFrame:
-    """df with the base measures, base_failed, removed_words (of frequent lines) and kept."""
-    taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"} & set(df.columns)
+    """df with the base measures, base_failed, removed_words (of frequent lines), kept, and clean_text, the text without those lines."""
+    taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "clean_text"} & set(df.columns)
     if taken:
         raise ValueError(f"columns of the result are in the input already: {sorted(taken)}")
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -151,7 +157,10 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", config: Quali
     removed = (
         removed.join(per_text, (removed["content"] == per_text["content"]) & removed["host"].eqNullSafe(per_text["host"]))
         .groupBy(removed["content"].alias("r_content"), removed["host"].alias("r_host"))
-        .agg(F.sum(F.col("words") * F.col("times") / F.col("rows")).cast("long").alias("removed_words"))
+        .agg(
+            F.sum(F.col("words") * F.col("times") / F.col("rows")).cast("long").alias("removed_words"),
+            F.collect_set("line").alias("r_lines"),
+        )
     )
     removed = materialize(removed, "depleted")
     removed = maybe_broadcast(removed, removed.count(), config.broadcast_rows)
@@ -160,7 +169,8 @@ def judge(df: DataFrame, text: str = "text", host: str = "source", config: Quali
         judged.withColumn("__content", content)
         .join(removed, (F.col("__content") == F.col("r_content")) & F.col(host).cast("string").eqNullSafe(F.col("r_host")), "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-        .drop("__content", "r_content", "r_host")
+        .withColumn("clean_text", F.when(F.col("r_lines").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("r_lines"), config)))
+        .drop("__content", "r_content", "r_host", "r_lines")
     )
     depleted = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < config.min_kept * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
