@@ -438,8 +438,8 @@ def test_frequent_lines_deplete(spark):
 
 
 def slow_removal(rows):
-    seen, out = set(), {}
-    for d, t in sorted(rows, key=lambda r: r[0]):
+    seen, out = set(), []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - 99):
@@ -448,32 +448,65 @@ def slow_removal(rows):
                 gone[i : i + 100] = True
             seen.add(s)
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        out[d] = (len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+        out.append((d, len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 5])
-def test_removal_equals_brute_force(spark, monkeypatch, block):
+def removal(df):
+    return [tuple(r) for r in suffix_dedup.digests(df).collect()]
+
+
+@pytest.mark.parametrize("block, hot", [(4096, 256), (5, 256), (5, 2)])
+def test_removal_equals_brute_force(spark, monkeypatch, block, hot):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "HOT_FOUND", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_ONE_IN", 2)
     rows = list(enumerate(random_texts(10, 150))) + [(1000 + i, t) for i, t in EDGE]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs_of(spark, rows).repartition(5)).collect()}
-    assert got == slow_removal(rows)
+    assert sorted(removal(docs_of(spark, rows).repartition(5))) == slow_removal(rows)
 
 
-def test_removal_edges(spark):
-    rng = random.Random(11)
-    passage = "".join(rng.choice("abcdefg ") for _ in range(300))
-    df = docs_of(spark, [(1, passage, "x"), (1, passage, "x"), (2, "é" + passage + "é", "y"), (3, None, "z")], "doc_id long, text string, note string")
-    got = sorted((r.doc_id, r.text, r.note) for r in suffix_dedup.deduplicated(df).collect() if r.text is not None)
-    assert got == [(1, passage, "x"), (1, passage, "x"), (2, "éé", "y")]
-    assert suffix_dedup.digests(df.limit(0)).count() == 0
+def test_hot_passage(spark, monkeypatch):
+    """One passage with different surroundings in every document: its rims are cut into blocks and merged."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 16)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 12))) + passage + " ".join(word() for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    assert sorted(removal(docs_of(spark, rows).repartition(4))) == slow_removal(rows)
 
 
-def test_suffix_order():
-    rng = random.Random(12)
-    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 25))) for _ in range(40)]
-    found = [strings[x >> 8][len(strings[x >> 8]) - (x & 255) :] for x in suffix_dedup.suffix_order(strings)]
-    assert found == sorted(s[k:] for s in strings for k in range(len(s) + 1))
+def test_column_rounds_equal_brute_force():
+    rng = random.Random(22)
+    gram = b"g" * suffix_dedup.GRAM
+    for alphabet in (b"a", b"ab", b"abcdef"):
+        ends = [(bytes(rng.choice(alphabet) for _ in range(76)), bytes(rng.choice(alphabet) for _ in range(76))) for _ in range(4)]
+        contexts, places = [], []
+        for _ in range(60):
+            a, b = rng.choice(ends)[0], rng.choice(ends)[1]
+            low = rng.randint(0, 76)
+            high = rng.randint(low, 76)  # strings start low to high bytes before the gram
+            contexts.append(a[76 - high :] + gram + b[: 76 - low])
+            places.append(high)
+        got = suffix_dedup.column_rounds(contexts, np.array(places))
+        seen = set()
+        for k, (c, p) in enumerate(zip(contexts, places)):
+            own = {p - s: c[s : s + 100] for s in range(len(c) - 99)}
+            assert [l for l in range(77) if got[k, l]] == sorted(l for l, s in own.items() if (l, s) in seen)
+            seen |= set(own.items())
+
+
+def test_removal_without_ids_that_tell_rows_apart(spark):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefg ") for _ in range(300))
+    rows = [(1, passage, "x"), (1, passage, "x"), (1, "é" + passage[50:250], "w"), (2, "é" + passage + "é", "y"), (3, None, "z"), (None, passage, "n"), (None, "short", None)]
+    df = docs_of(spark, rows, "doc_id long, text string, __row string")
+    got = [(r.doc_id, r.text, r["__row"]) for r in suffix_dedup.deduplicated(df).collect()]
+    assert len(got) == 7 and (3, None, "z") in got and (None, "short", None) in got and (2, "éé", "y") in got and (None, "", "n") in got
+    ones = sorted(t for d, t, _ in got if d == 1)  # the row of the least hash of its text keeps what the others then lose
+    assert ones in (sorted(["", "é", passage]), sorted(["", passage[:50] + passage[250:], "é" + passage[50:250]])), ones
+    assert suffix_dedup.digests(df.limit(0)).count() == 0 and suffix_dedup.deduplicated(df.limit(0)).columns == df.columns
+    named = docs_of(spark, [("b", passage), ("a", passage)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.text) for r in suffix_dedup.deduplicated(named).collect()) == [("a", passage), ("b", "")]
 
 
 def test_frequent_lines_leave_the_text(spark):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import small_text_batches
+from voxloom.llm.common import bounded_batches
 
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 TELEPHONY_RATE = 8000
@@ -185,7 +185,7 @@ def pcm_wav(media: bytes, to: int = 16000) -> bytes:
 
 def to_pcm(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", rate: int = 16000, on_error: str = "raise") -> DataFrame:
     """df with a column of resampled 16-bit PCM WAV files."""
-    small_text_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     if pcm_col in df.columns:
         raise ValueError(f"there is a column {pcm_col} already")
 
@@ -225,7 +225,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): the payload is what
     the stored file gives back; the feature describes the resampled PCM.
     """
-    small_text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def one(text: bytes | None) -> tuple:
         raw = text or b""

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import small_text_batches
+from voxloom.llm.common import bounded_batches
 
 CACHE_WORDS = 400_000
 _CONTROL = tuple("\x1c\x1d\x1e\x1f")
@@ -208,7 +208,7 @@ def vocabulary(path: str) -> WordBpe:
 
 def encode_table(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of token ids."""
-    small_text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     if ids_col in docs.columns:
         raise ValueError(f"there is a column {ids_col} already")
 
@@ -225,7 +225,7 @@ def encode_table(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
 
 def decode_table(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with a column of decoded texts."""
-    small_text_batches(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession)
     if text_col in encoded.columns:
         raise ValueError(f"there is a column {text_col} already")
 
@@ -252,7 +252,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     """(id, n_tokens, ids_sha256, decoded_sha256): encodes whole texts, decodes the ids, and digests both in one pass."""
     import hashlib
 
-    small_text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)

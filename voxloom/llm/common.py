@@ -8,24 +8,22 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch where texts travel to Python: long texts must not pile up in one batch.
-TEXT_BATCH_ROWS = 512
+#: Bytes of an Arrow batch that travels to Python: long texts must not pile up in one batch.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_text_batches(spark: SparkSession) -> None:
-    """Lower Spark's Arrow batch size to TEXT_BATCH_ROWS for this session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > TEXT_BATCH_ROWS:
-        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Spark's Arrow batches to BATCH_BYTES in this session; rows stay as they are set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("voxloom.shared.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("voxloom.shared.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="voxloom-")
         spark.conf.set("voxloom.shared.dir", found)
@@ -47,3 +45,11 @@ def maybe_broadcast(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
 
 def crc32_of_id(col: Column) -> Column:
     return F.crc32(col.cast("string"))
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name in taken:
+        name += "_"
+    return name

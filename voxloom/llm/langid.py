@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm import linear_svm
-from voxloom.llm.common import small_text_batches
+from voxloom.llm.common import bounded_batches
 
 DIMS = 1 << 12
 SAMPLE_ROWS = 800
@@ -173,7 +173,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every whole text."""
     spark = docs.sparkSession
-    small_text_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by families and pairs of languages times DIMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

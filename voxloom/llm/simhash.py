@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialize, maybe_broadcast, small_text_batches
+from voxloom.llm.common import materialize, maybe_broadcast, bounded_batches
 
 SEED = 42
 BLOCK_ROWS = 8192
@@ -111,7 +111,7 @@ def _salts(n: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1) -> DataFrame:
     """(id, w0.. w{words-1} long): SimHash of whole texts, ``words`` times 64 bits."""
-    small_text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -481,7 +481,7 @@ def near_duplicate_rows(
     do with the defaults) and have ``64*words``-bit SimHashes of at most ``similar_radius`` differing bits; their
     components are then compared set by set. Texts of one shingle set are one node, whose id is a hash of the set.
     """
-    small_text_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     prints = materialize(_set_prints(docs, id_col, text_col, width, words, bands, band_rows), "neardup")
     fp = [f"w{w}" for w in range(words)]
     one = F.min(F.struct("k0", "k1")).alias("row")

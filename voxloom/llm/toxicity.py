@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.llm import linear_svm
-from voxloom.llm.common import small_text_batches
+from voxloom.llm.common import bounded_batches
 
 SPAN = 7
 DECAY = 0.8
@@ -316,7 +316,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text."""
     spark = docs.sparkSession
-    small_text_batches(spark)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by LANDMARKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
