@@ -46,7 +46,7 @@ GRAM = 24
 #: Bytes of a text that are looked at together; a position inside fits 20 bits.
 PIECE = 1 << 19
 #: Contexts that are ordered together, and of one gram from which they are cut into blocks.
-BLOCK = 4096
+BLOCK = 2048
 #: Grams are counted in one of so many documents; those found so often there, at most so many of them, are dealt by context.
 HOT_ONE_IN, HOT_FOUND, HOT_GRAMS, HOT_PARTS = 64, 256, 1024, 1024
 FIRST, WHOLE, HOT, PARTLY = 0, 1, 2, 3
@@ -262,33 +262,30 @@ def _rims(rows: DataFrame) -> DataFrame:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over (cell, split, doc, at, place, context) sorted by cell: (doc, at, n) runs of repeated strings, some whole cells at a
-    time; of cells that hold a part of their gram only also the strings that aren't repeated there, with their hash (h0, h1)."""
+    time; of cells that hold a part of their gram only also a row a context with the starts of the strings that aren't
+    repeated there, and their hashes (starts, h0, h1)."""
     held: list[tuple] = []
     cell = None
 
     def flush() -> pa.RecordBatch:
         held.sort(key=lambda r: (r[2], r[3]))
         doc, gram_at = np.array([r[2] for r in held], np.int64), np.array([r[3] + r[4] for r in held], np.int64)
-        place = np.array([r[4] for r in held], np.int64)
-        again = column_rounds([r[5] for r in held], place)
+        again = column_rounds([r[5] for r in held], np.array([r[4] for r in held], np.int64))
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         who, low = np.nonzero(edge == 1)
         high = np.nonzero(edge == -1)[1] - 1
-        docs, starts, more = [doc[who]], [gram_at[who] - high], [high - low]
         split = [k for k, r in enumerate(held) if r[1]]
-        hashes = []
+        heads: list[list] = [[None] * len(who) for _ in range(3)]
         for k in split:
-            context, p = held[k][5], held[k][4]
-            first = [s for s in range(len(context) - LENGTH + 1) if not again[k, p - s]]
-            hashes += [xxhash.xxh3_128_digest(context[s : s + LENGTH]) for s in first]
-            docs.append(np.full(len(first), doc[k]))
-            starts.append(held[k][3] + np.array(first, np.int64))
-        more.append(np.zeros(len(hashes), np.int64))
-        words = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-        none = np.concatenate([np.ones(len(who), bool), np.zeros(len(hashes), bool)])
-        h = [pa.array(np.concatenate([np.zeros(len(who), np.int64), words[:, k]]), mask=none) for k in (0, 1)]
-        columns = [pa.array(np.concatenate(docs)), *(pa.array(np.concatenate(c).astype(np.int32)) for c in (starts, more))]
-        return pa.RecordBatch.from_arrays([*columns, *h], ["doc", "at", "n", "h0", "h1"])
+            at, place, context = held[k][3:]
+            first = [s for s in range(len(context) - LENGTH + 1) if not again[k, place - s]]
+            words = np.frombuffer(b"".join(xxhash.xxh3_128_digest(context[s : s + LENGTH]) for s in first), np.int64).reshape(-1, 2)
+            for column, values in zip(heads, (at + np.array(first, np.int32), words[:, 0], words[:, 1]), strict=True):
+                column.append(values)
+        docs, starts = np.concatenate([doc[who], doc[split]]), np.concatenate([gram_at[who] - high, gram_at[split]])
+        more = np.concatenate([high - low, np.zeros(len(split), np.int64)])
+        lists = [pa.array(c, pa.list_(kind)) for c, kind in zip(heads, (pa.int32(), pa.int64(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(docs), *(pa.array(c.astype(np.int32)) for c in (starts, more)), *lists], ["doc", "at", "n", "starts", "h0", "h1"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -311,14 +308,14 @@ def _repeated_in_rims(rims: DataFrame) -> DataFrame:
         F.when(F.col("blocks").isNull(), F.col("gram")).otherwise(F.xxhash64("gram", own)).alias("cell"), F.col("blocks").isNotNull().alias("split"),
         "doc", "at", "place", "context",
     )
-    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "doc long, at int, n int, h0 long, h1 long")
+    found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare, "doc long, at int, n int, starts array<int>, h0 array<long>, h1 array<long>")
     if not n_hot:
         return found.select("doc", "at", "n")
     found = materialize(found, "suffix-strings")
-    heads = found.filter("h0 IS NOT NULL")
+    heads = found.filter("starts IS NOT NULL").select("doc", F.inline(F.arrays_zip(F.col("starts").alias("at"), "h0", "h1")))
     first = heads.groupBy("h0", "h1").agg(F.min(F.struct("doc", "at")).alias("f"), F.count(F.lit(1)).alias("heads")).filter("heads > 1")
     later = heads.join(first, ["h0", "h1"]).filter((F.col("doc") != F.col("f.doc")) | (F.col("at") != F.col("f.at")))
-    return found.filter("h0 IS NULL").select("doc", "at", "n").unionByName(later.select("doc", "at", "n"))
+    return found.filter("starts IS NULL").select("doc", "at", "n").unionByName(later.select("doc", "at", F.lit(0).alias("n")))
 
 
 def marks(rows: DataFrame) -> DataFrame:
