@@ -1,15 +1,15 @@
 """Document quality rules with cross-document line frequency. DataFrame functions only.
 
 Base rules look at one text: too few words, or too many words inside repeated three-word windows. The
-cross-document rule finds boilerplate: each line of at most ``max_line_chars`` characters is normalised and hashed,
-the distinct documents that hold it are counted per host (exact copies of a text count once), and lines that
-more than ``max_share`` of a host's documents (and at least ``min_docs``) hold are removed (``clean_text``). A document that
-keeps less than ``min_kept`` of its words is depleted and rejected. Longer lines are prose: where they repeat,
-they are copies, which the duplicate operators handle.
+cross-document rule finds boilerplate: every line is normalised and hashed, whatever its length, and the distinct documents
+that hold it are counted per host (exact copies of a text count once). A line is above its limit when over
+``max_docs`` documents of the host hold it, or over ``max_share`` of them (and at least ``min_docs``). Such lines are
+removed (``clean_text``); a document that keeps less than ``min_kept`` of its words is depleted and rejected.
+
+Texts are read twice: once for a table of line hashes, from which all counts come, and once to be judged.
 
 Edge cases: a null text has no words and fails the base rules; a null host is a host of its own; repeated rows
-get equal results; an empty table gives an empty result; columns of the input are never used by name beyond the
-three that are passed.
+get equal results; an empty table gives an empty result; further columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialize, maybe_broadcast
+from voxloom.llm.common import free_name, materialize, maybe_broadcast
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
@@ -31,10 +31,12 @@ class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_share: float = 0.1
-    min_docs: int = 10
-    max_line_chars: int = 250
+    min_docs: int = 5
+    max_docs: int = 5000
     min_kept: float = 0.5
-    broadcast_rows: int = 200_000
+    #: A frequent line takes under 100 bytes in a broadcast, a text's frequent lines take some more.
+    broadcast_lines: int = 200_000
+    broadcast_texts: int = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -107,70 +109,77 @@ def normalized_line(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), SPACE, " ")), r"[0-9]+", "0")
 
 
-def without_lines(text: Column, hashes: Column, config: QualityConfig) -> Column:
-    """The text without the eligible lines whose normalised form has one of the hashes."""
-    gone = lambda x: (x != "") & (F.length(x) <= config.max_line_chars) & F.array_contains(hashes, F.xxhash64(normalized_line(x)))
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~gone(x)), "\n")
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def document_lines(df: DataFrame, text: str, host: str, config: QualityConfig) -> DataFrame:
-    """(content, host, line, words): a row for each distinct eligible line of a text and the words that all its occurrences have."""
-    short = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: (x != "") & (F.length(x) <= config.max_line_chars))
-    one = (
-        df.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("content"), F.col(host).cast("string").alias("host"), F.explode(short).alias("line"))
-        .withColumn("line", normalized_line(F.col("line")))
-        .filter(F.col("line") != "")
-        .withColumn("words", F.size(F.split("line", " ")))
-    )
-    return one.select("content", "host", F.xxhash64("line").alias("line"), "words")
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes."""
+    gone = lambda x: (normalized_line(x) != "") & F.array_contains(hashes, F.xxhash64(normalized_line(x)))
+    return F.array_join(F.filter(lines_of(text), lambda x: ~gone(x)), "\n")
 
 
-def frequent_lines(lines: DataFrame, contents: DataFrame, config: QualityConfig) -> DataFrame:
-    """(host, line): lines that too many distinct documents of the host hold. contents: (host, content) of every document."""
-    host_docs = contents.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    held = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+def document_lines(df: DataFrame, text: str, host: str) -> DataFrame:
+    """(content, host, pos, line, words): a row for each line of each text (line is null where it has no word), with the words it has."""
+    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    each = df.select(content.alias("content"), F.col(host).cast("string").alias("host"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
+    each = each.withColumn("line", normalized_line(F.col("line")))
+    some = F.col("line") != ""
+    # of the lines without a word only the first is kept, which stands for its text
+    each = each.filter(some | (F.col("pos") == 0))
+    return each.select("content", "host", "pos", F.when(some, F.xxhash64("line")).alias("line"), F.size(F.split("line", " ")).alias("words"))
+
+
+def frequent_lines(lines: DataFrame, config: QualityConfig) -> DataFrame:
+    """(f_host, f_line): lines that too many distinct documents of the host hold."""
+    host_docs = lines.filter("pos = 0").select("host", "content").distinct().groupBy(F.col("host").alias("h_host")).agg(F.count(F.lit(1)).alias("docs"))
+    held = lines.filter("line IS NOT NULL").select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     held = held.filter(F.col("n") >= config.min_docs)
-    return (
-        held.join(host_docs, held["host"].eqNullSafe(host_docs["host"]))
-        .filter(F.col("n") > config.max_share * F.col("docs"))
-        .select(held["host"], "line")
+    limit = F.least(F.lit(float(config.max_docs)), config.max_share * F.col("docs"))
+    return held.join(host_docs, F.col("host").eqNullSafe(F.col("h_host"))).filter(F.col("n") > limit).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
+
+
+def removed_lines(lines: DataFrame, config: QualityConfig) -> DataFrame:
+    """(r_content, r_host, removed_words, r_lines): the frequent lines of each text that has some, and the words in all of their occurrences."""
+    found = materialize(frequent_lines(lines, config), "frequent-lines")
+    found = maybe_broadcast(found, found.count(), config.broadcast_lines)
+    held = lines.join(found, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")), "left")
+    # rows of one text and host count its lines as often as there are rows
+    texts = held.groupBy(F.col("content").alias("r_content"), F.col("host").alias("r_host")).agg(
+        F.count_if(F.col("pos") == 0).alias("rows"),
+        F.sum(F.when(F.col("f_line").isNotNull(), F.col("words"))).alias("words"),
+        F.collect_set("f_line").alias("r_lines"),
     )
+    some = texts.filter(F.size("r_lines") > 0)
+    return materialize(some.select("r_content", "r_host", (F.col("words") / F.col("rows")).cast("long").alias("removed_words"), "r_lines"), "removed-lines")
 
 
-def judge(df: DataFrame, text: str = "text", host: str = "source", config: QualityConfig = QualityConfig()) -> DataFrame:
-    """df with the base measures, base_failed, removed_words (of frequent lines), kept, and clean_text, the text without those lines."""
-    taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept", "clean_text"} & set(df.columns)
-    if taken:
-        raise ValueError(f"columns of the result are in the input already: {sorted(taken)}")
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    lines = document_lines(df, text, host, config)
-    contents = df.select(F.col(host).cast("string").alias("host"), content.alias("content"))
-    found = materialize(frequent_lines(lines, contents, config), "frequent-lines")
-    n = found.count()
-    found = maybe_broadcast(found.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")), n, config.broadcast_rows)
-    removed = (
-        lines.join(found, (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
-        .groupBy("content", "host", "line")
-        .agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("times"))
-    )
-    per_text = df.select(content.alias("content"), F.col(host).cast("string").alias("host")).groupBy("content", "host").agg(F.count(F.lit(1)).alias("rows"))
-    removed = (
-        removed.join(per_text, (removed["content"] == per_text["content"]) & removed["host"].eqNullSafe(per_text["host"]))
-        .groupBy(removed["content"].alias("r_content"), removed["host"].alias("r_host"))
-        .agg(
-            F.sum(F.col("words") * F.col("times") / F.col("rows")).cast("long").alias("removed_words"),
-            F.collect_set("line").alias("r_lines"),
-        )
-    )
-    removed = materialize(removed, "depleted")
-    removed = maybe_broadcast(removed, removed.count(), config.broadcast_rows)
-    judged = with_base_measures(df, text, config)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def judge(df: DataFrame, text: str = "text", host: str = "source", config: QualityConfig = QualityConfig()) -> tuple[DataFrame, dict[str, str]]:
+    """(rows, names): df with the base measures, base_failed, removed_words (of frequent lines), kept, and clean_text, the text
+    without those lines. names gives what these are called in rows: names that df doesn't have."""
+    names = {c: c if c not in {x.lower() for x in df.columns} else free_name(df, c) for c in (*MEASURES, "removed_words", "kept", "clean_text")}
+    inner = [f"c{k}" for k in range(len(df.columns))]
+    rows = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(df.columns, inner, strict=True)), F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{host}`").cast("string").alias("h"))
+    lines = materialize(document_lines(rows, "t", "h"), "document-lines")
+    removed = removed_lines(lines, config)
+    removed = maybe_broadcast(removed, removed.count(), config.broadcast_texts)
     out = (
-        judged.withColumn("__content", content)
-        .join(removed, (F.col("__content") == F.col("r_content")) & F.col(host).cast("string").eqNullSafe(F.col("r_host")), "left")
+        with_base_measures(rows, "t", config)
+        .withColumn("content", F.xxhash64(F.coalesce(F.col("t"), F.lit(""))))
+        .join(removed, (F.col("content") == F.col("r_content")) & F.col("h").eqNullSafe(F.col("r_host")), "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-        .withColumn("clean_text", F.when(F.col("r_lines").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("r_lines"), config)))
-        .drop("__content", "r_content", "r_host", "r_lines")
+        .withColumn("clean_text", F.when(F.col("r_lines").isNull(), F.col("t")).otherwise(without_lines(F.col("t"), F.col("r_lines"))))
     )
     depleted = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < config.min_kept * F.col("n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    out = out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return out.select(*(F.col(k).alias(c) for c, k in zip(df.columns, inner, strict=True)), *(F.col(c).alias(n) for c, n in names.items())), names
+
+
+def cleaned(docs: DataFrame, text: str = "text", host: str = "source", config: QualityConfig = QualityConfig()) -> DataFrame:
+    """The rows of docs that are kept, their texts without frequent lines."""
+    rows, names = judge(docs, text, host, config)
+    rows = rows.filter(F.col(names["kept"]))
+    return rows.select(*((F.col(names["clean_text"]) if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns))

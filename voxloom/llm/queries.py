@@ -47,11 +47,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"), F.col("mix_copies").alias("copies"),
-    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows, named = mixing.mix(docs, keep=["doc_id"])
+    size, copies = F.col(named["size"]), F.col(named["copies"])
+    return rows.select(
+        "doc_id", size.alias("size"), F.col(named["source_size"]).alias("source_size"), F.col(named["target"]).alias("target"),
+        (size * copies).cast("long").alias("taken"), F.round(named["rate"], 6).alias("rate"), copies.alias("copies"),
+    )
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found, _ = quality.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
@@ -87,9 +89,9 @@ rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc
 cov AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
 raw AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-l AS (SELECT doc_id, source, t, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS line FROM raw WHERE line <> '' AND length(line) <= 250),
+l AS (SELECT doc_id, source, t, regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS line FROM raw WHERE line <> ''),
 hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-freq AS (SELECT l.source, line FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE line <> '' GROUP BY l.source, line HAVING count(DISTINCT t) >= 10 AND count(DISTINCT t) > 0.1 * any_value(docs)),
+freq AS (SELECT l.source, line FROM l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE line <> '' GROUP BY l.source, line HAVING count(DISTINCT t) >= 5 AND count(DISTINCT t) > least(5000, 0.1::DOUBLE * any_value(docs))),
 gone AS (SELECT doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN freq f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(cov.r, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
@@ -98,6 +100,44 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND NOT (removed_words > 0 AND n_words - removed_words < 0.5 * n_words) AS kept FROM b"""
 
 
+_RULES_SQL = "\n".join(
+    f"    WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'"
+    for r in sorted(url_filter.RULES, key=lambda r: -len(r.name))
+)
+_ALLOWED_SQL = ", ".join(f"'{r.name}'" for r in url_filter.RULES if r.allow)
+
+
+def _gram_sql(urls: str, alias: str) -> str:
+    return f"{alias} AS (SELECT *, unnest(list_transform(range(1, length(url) + 2), lambda i: substr(repeat(chr(2), 3) || url || chr(3), i, 4))) AS gram FROM {urls})"
+
+
+def _chance_sql(side: str) -> str:
+    p = f"(1.0::DOUBLE / {url_filter.CODE_POINTS})"
+    for k in range(4):
+        p = f"((coalesce(t{k}.{side}, 0) + 0.5::DOUBLE * {p}) / (coalesce(x{k}.{side}, 0) + 0.5::DOUBLE))"
+    return f"ln({p})"
+
+
+_URL_SQL = rf"""WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE
+{_RULES_SQL} END AS rule FROM u),
+lab AS (SELECT DISTINCT url, rule IN ({_ALLOWED_SQL}) AS ok, md5(url)[1] > '3' AS counted FROM r WHERE rule IS NOT NULL),
+{_gram_sql("(SELECT * FROM lab WHERE counted)", "g")},
+c AS (SELECT gram, count(*) FILTER (ok) AS a, count(*) FILTER (NOT ok) AS r FROM g GROUP BY gram),
+{", ".join(f"t{k} AS (SELECT substr(gram, {4 - k}, {k + 1}) AS key, sum(a) AS a, sum(r) AS r FROM c GROUP BY 1), x{k} AS (SELECT substr(gram, {4 - k}, {k}) AS key, sum(a) AS a, sum(r) AS r FROM c GROUP BY 1)" for k in range(4))},
+want AS (SELECT DISTINCT url FROM r WHERE rule IS NULL UNION SELECT url FROM lab WHERE NOT counted),
+{_gram_sql("want", "w")},
+d AS (SELECT DISTINCT gram FROM w),
+ratio AS (SELECT gram, {_chance_sql("a")} - {_chance_sql("r")} AS part FROM d
+  {" ".join(f"LEFT JOIN t{k} ON t{k}.key = substr(gram, {4 - k}, {k + 1}) LEFT JOIN x{k} ON x{k}.key = substr(gram, {4 - k}, {k})" for k in range(4))}),
+s AS (SELECT url, sum(part) / count(*) AS score FROM w JOIN ratio USING (gram) GROUP BY url),
+st AS (SELECT avg(score) FILTER (ok) AS ma, avg(score) FILTER (NOT ok) AS mr, stddev_pop(score) FILTER (ok) AS sa, stddev_pop(score) FILTER (NOT ok) AS sr FROM lab JOIN s USING (url) WHERE NOT counted),
+th AS (SELECT (ma * greatest(sr, 5e-10::DOUBLE) + mr * greatest(sa, 5e-10::DOUBLE)) / greatest(sa + sr, 1e-9::DOUBLE) AS t FROM st)
+SELECT page_id, host, path, rule, CASE WHEN CASE WHEN rule IS NULL THEN coalesce(score >= t, true) ELSE rule IN ({_ALLOWED_SQL}) END THEN 'allow' ELSE 'block' END AS verdict,
+  round(CASE WHEN rule IS NULL THEN score END, 6) AS score FROM r LEFT JOIN s USING (url), th"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express: the others need XXH64, kernels or merges."""
-    return {"op9_quality": _QUALITY_SQL}
+    return {"op7_url_filter": _URL_SQL, "op9_quality": _QUALITY_SQL}
