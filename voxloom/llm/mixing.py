@@ -1,18 +1,23 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every word of the corpus has the same prior mass. Entropy balancing seeks document rates that stay as close as
-possible to the prior (relative entropy) while the words of each source meet their target. The convex dual has
-one multiplier a source, ``f(m) = size * exp(m) - target * m``, and the rates are ``exp(m)``: exponentially tilted
-by the source's multiplier. Newton's iterations run on the distributed table of sources, all sources at once.
-
-Rates become whole copies: every document gets the whole part, and the rest of the target is filled by one more
-copy of documents in a fixed random order (a hash of the id) until the target is met, so that a source misses its
-target by half a document at most. The order is summed in two levels (hash buckets, then rows of a bucket), so no
-task ever holds a whole source.
-
-Edge cases: a null or wordless text has size 0, takes 0 words and gets the whole part of its source's rate as
-copies; a null source is a source of its own, after all others; repeated rows are rows of their own; an empty
-table gives an empty result.
+Every document has the same prior mass. Entropy balancing seeks document rates w that stay as close as possible to the
+prior (relative entropy) while the words of each source meet their target and no rate exceeds ``max_rate``. The dual is
+convex and has one multiplier a source; its rates are exponentially tilted by the documents' sizes:
+``w = min(max_rate, exp(m * size))``, with ``sum(size * w) = target``. So where a source has to grow, longer documents are
+repeated first; where it has to shrink, longer ones are left out first.
+
+Newton's iterations are distributed: each round sums the dual's gradient and curvature over the table of
+(source, size, documents), which documents are counted into once, and moves all sources' multipliers at once. A step that
+leaves the bracket in which the multiplier is known to lie is replaced by its middle, so every source converges.
+
+Rates become whole copies: every document gets its rate's whole part, and those whose hash of id and text is the
+smallest against the rest of the rate get one copy more, up to the place in that order at which the source's words come
+nearest to its target. The place is found level by level (sums by bits of the order, then the rows of the last cell), so
+no task holds a source. Of rows that are alike in id, text and source, as many take the extra copy as are needed.
+
+Edge cases: a null or wordless text has size 0, rate 1 (0 in a source without a target) and takes 0 words; a null source
+is a source of its own, after all others; a target of 0 gives rates of 0, one of ``max_rate`` times the source's size
+rates of ``max_rate``; an empty table gives an empty result; further columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialize, maybe_broadcast
+from voxloom.llm.common import free_name, materialize, maybe_broadcast
 
-SPACE = r"[\x20\x09-\x0D]+"
-NEWTON_ROUNDS = 60
+#: Relative error of a source's words at which its multiplier is settled, and a bound that halving always keeps.
+SETTLED, MAX_ROUNDS = 1e-9, 200
+#: The order of documents has 2**ORDER_BITS places, looked at in levels of so many bits.
+ORDER_BITS, LEVEL_BITS, LEVELS = 52, 10, 3
+BROADCAST_ROWS = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -32,117 +40,173 @@ def size_of(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_rate: int = 3) -> DataFrame:
-    """(source, source_size, target) from (source, size).
+    """(source, source_size, target) from (source, size, docs): docs documents of that size.
 
     Sources by code point, null last, get the weights in turn. All sizes are shared by weight; a target stops at
-    max_rate times its source's size, and the excess is reshared by weight until none is above.
+    max_rate times its source's size, and the excess is reshared by weight until none is above. A weight of 0 gets nothing.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).cast("long").alias("source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
     sources = sources.withColumn("weight", weight.cast("double"))
     # Sources reach their cap in the order of cap by weight. With the first k capped, the level of the others is
     # (total - their caps) / (the others' weights); a source is capped while its own cap is at or below that level.
-    fill = Window.orderBy((F.col("source_size") / F.col("weight")), F.col("source").isNull(), "source")
+    fill = Window.orderBy(F.try_divide("source_size", "weight").asc_nulls_last(), F.col("source").isNull(), "source")
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.partitionBy()
     total = F.sum("source_size").over(everywhere)
     cap = F.col("source_size") * F.lit(max_rate)
-    level = (total - F.coalesce(F.sum(cap).over(before), F.lit(0))) / (
-        F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    level = F.try_divide(
+        total - F.coalesce(F.sum(cap).over(before), F.lit(0)), F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     ranked = sources.select("source", "source_size", "weight", cap.cast("double").alias("cap"), level.alias("level"))
     ranked = ranked.withColumn("share", F.max(F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("level"))).over(everywhere))
-    target = F.when(F.col("cap") <= F.col("weight") * F.col("level"), F.col("cap")).otherwise(F.col("weight") * F.col("share"))
+    target = F.when(F.col("cap") <= F.col("weight") * F.col("level"), F.col("cap")).otherwise(F.col("weight") * F.coalesce("share", F.lit(0.0)))
     return ranked.select("source", "source_size", F.least(target, F.col("cap")).alias("target"))
 
 
-def balance(targets: DataFrame, rounds: int = NEWTON_ROUNDS) -> DataFrame:
-    """Adds ``rate`` to (source, source_size, target): Newton's iterations on the dual of each source.
-
-    A step is m - (size*exp(m) - target) / (size*exp(m)); steps up are held to 1 so that a far target can't overshoot.
-    A source without words or target has no finite multiplier; its rate is 1 or 0.
+def _by_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of sources whose key is called ``of``."""
+    return rows.join(maybe_broadcast(table, table.count(), BROADCAST_ROWS), F.col("source").eqNullSafe(F.col("of")), how).drop("of")
+
+
+def rate_of(size: Column, multiplier: Column, max_rate: int) -> Column:
+    """A document's rate; multipliers of minus and plus infinity give 0 and max_rate to all documents with words."""
+    tilted = F.least(F.lit(float(max_rate)), F.exp(F.least(multiplier * size, F.lit(50.0))))
+    return F.when(size > 0, tilted).when(multiplier == float("-inf"), 0.0).otherwise(1.0)
+
+
+def multipliers(sizes: DataFrame, targets: DataFrame, max_rate: int = 3) -> DataFrame:
+    """targets with ``multiplier``, from (source, size, docs): damped Newton rounds on the dual, all sources at once."""
+    shortest = sizes.filter("size > 0").groupBy(F.col("source").alias("of")).agg(F.min("size").alias("shortest"))
+    full = F.col("target") >= max_rate * F.col("source_size") * (1 - 1e-12)
+    fixed = F.when(F.col("source_size") == 0, 0.0).when(F.col("target") <= 0, float("-inf")).when(full, float("inf"))
+    # at these ends even the shortest document is at its least and its greatest rate
+    low = F.least(F.lit(0.0), F.ln(F.col("target") / F.col("source_size")) / F.col("shortest"))
+    high = F.lit(float(max_rate))
+    state = _by_source(targets, shortest, "left").withColumn("fixed", fixed)
+    state = state.select(
+        "source", "source_size", "target", F.coalesce("fixed", F.lit(0.0)).alias("multiplier"), F.coalesce(low, F.lit(0.0)).alias("low"),
+        F.coalesce(F.ln(high) / F.col("shortest"), F.lit(0.0)).alias("high"), F.col("fixed").isNotNull().alias("settled"),
+    )
+    state = materialize(state, "mix-multipliers")
+    for _ in range(MAX_ROUNDS):
+        if state.filter(~F.col("settled")).isEmpty():
+            return state.select("source", "source_size", "target", "multiplier")
+        moving = state.filter(~F.col("settled")).select(F.col("source").alias("of"), "multiplier")
+        rate = rate_of(F.col("size"), F.col("multiplier"), max_rate)
+        words = F.col("docs") * F.col("size") * rate
+        sums = _by_source(sizes.filter("size > 0"), moving).groupBy(F.col("source").alias("of")).agg(
+            F.sum(words).alias("words"), F.sum(F.when(rate < max_rate, words * F.col("size")).otherwise(0.0)).alias("curve")
+        )
+        moved = _by_source(state, sums, "left")
+        over = F.col("words") > F.col("target")
+        low, high = F.when(over, F.col("low")).otherwise(F.col("multiplier")), F.when(over, F.col("multiplier")).otherwise(F.col("high"))
+        newton = F.col("multiplier") - (F.col("words") - F.col("target")) / F.nullif("curve", F.lit(0.0))
+        there = F.abs(F.col("words") - F.col("target")) <= SETTLED * F.col("target")
+        narrow = high - low <= 1e-14 * F.greatest(F.abs(low), F.abs(high))
+        step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
+        state = materialize(
+            moved.select(
+                "source", "source_size", "target", F.when(F.col("settled") | there, F.col("multiplier")).otherwise(step).alias("multiplier"),
+                F.when(F.col("settled"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("settled"), F.col("high")).otherwise(high).alias("high"),
+                (F.col("settled") | there | narrow).alias("settled"),
+            ),
+            "mix-multipliers",
+        )
+    raise RuntimeError(f"multipliers did not settle in {MAX_ROUNDS} rounds, which halving alone would take")
+
+
+def _whole(rate: Column) -> Column:
+    return F.floor(rate + 1e-9).cast("int")
+
+
+def place_of(rate: Column, turn: Column) -> Column:
+    """A document's place in the order in which extra copies are given: its hash, against the rest of its rate; null without a rest."""
+    rest = rate - _whole(rate)
+    share = F.call_function("shiftrightunsigned", turn, F.lit(11)) / float(1 << 53)  # 0 to 1
+    return F.when(rest > 1e-9, F.floor((share - rest + 1) * float(1 << (ORDER_BITS - 1))).cast("long"))
+
+
+def cutoffs(places: DataFrame, rests: DataFrame) -> DataFrame:
+    """(of, cutoff, take): up to places below ``cutoff`` documents get one copy more, and at it the first ``take`` rows.
+
+    places: (source, size, place); rests: (of, rest), the words that are left for extra copies. Each level sums the words by
+    the next bits of the place, inside the cell where the last level's sum ran out; only that cell's rows are ever ordered.
     """
-    step = lambda m, _: m - 1 + F.least(F.lit(2.0), F.col("target") / (F.col("source_size") * F.exp(m)))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), step)
-    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("target") <= 0, F.lit(0.0)).otherwise(F.exp(solved))
-    return targets.withColumn("rate", rate)
-
-
-def turn_of(id_col: str, text_col: str) -> Column:
-    """A document's place in the fixed random order: 63 bits."""
-    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit("mix"), F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))), F.lit(1))
-
-
-def cutoffs(sizes: DataFrame, rates: DataFrame, max_rate: int = 3) -> DataFrame:
-    """(source, source_size, target, rate, whole, cutoff): up to turn ``cutoff`` documents get one copy more than ``whole``.
-
-    sizes: (source, size, turn). The turn's upper 16 bits deal the order into buckets; only the bucket in which a
-    source's remainder runs out is looked at row by row.
-    """
-    whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(max_rate)).cast("int")
-    rates = rates.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    per_bucket = sizes.groupBy("source", F.shiftright("turn", 47).alias("bucket")).agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    per_bucket = per_bucket.withColumn("upto", F.sum("words").over(order))
-    n = F.col("source").eqNullSafe(F.col("r_source"))
-    rest = rates.select(F.col("source").alias("r_source"), "rest", "whole")
-    edge = (
-        per_bucket.join(F.broadcast(rest) if rates.count() <= 100_000 else rest, n)
-        .filter(F.col("upto") > F.col("rest"))
-        .groupBy("source")
-        .agg(F.min("bucket").alias("e_bucket"), F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("base")))["base"].alias("base"), F.first("rest").alias("rest"))
-        .withColumnRenamed("source", "e_source")
-    )
-    edge = materialize(edge, "mix-edge")
-    inside = sizes.join(
-        F.broadcast(edge) if edge.count() <= 100_000 else edge,
-        F.col("source").eqNullSafe(F.col("e_source")) & (F.shiftright("turn", 47) == F.col("e_bucket")),
-    )
-    inside = inside.groupBy("e_source", "turn").agg(F.sum("size").alias("words"), F.first("base").alias("base"), F.first("rest").alias("rest"))
-    run = Window.partitionBy("e_source").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("base") + F.sum("words").over(run))
-    # within its bucket a document is taken while that brings the source nearer to its target
-    last = (
-        inside.filter(F.col("upto") - F.col("words") / 2 <= F.col("rest"))
-        .groupBy(F.col("e_source").alias("l_source"))
-        .agg(F.max("turn").alias("last"))
-    )
-    first = edge.select("e_source", (F.shiftleft(F.col("e_bucket"), 47) - 1).alias("before"))
-    out = rates.join(first, F.col("source").eqNullSafe(F.col("e_source")), "left").join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
-    all_of_it = F.lit(2**63 - 1).cast("long")
-    cutoff = F.coalesce("last", "before", all_of_it)
-    return out.select("source", "source_size", "target", "rate", "whole", F.when(F.col("whole") >= max_rate, F.lit(-1).cast("long")).otherwise(cutoff).alias("cutoff"))
+    inside = places.filter(F.col("place").isNotNull() & (F.col("size") > 0))
+    cell = materialize(rests.select("of", "rest", F.lit(0).cast("long").alias("prefix")), "mix-level")
+    for level in range(1, LEVELS + 1):
+        shift = ORDER_BITS - level * LEVEL_BITS
+        here = _by_source(inside, cell).filter(F.shiftright("place", shift + LEVEL_BITS) == F.col("prefix"))
+        sums = here.groupBy("source", F.shiftright("place", shift).alias("part")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.sum("words").over(order)).filter(F.col("upto") > F.col("rest"))
+        first = sums.groupBy(F.col("source").alias("of")).agg(F.min(F.struct("part", (F.col("rest") - F.col("upto") + F.col("words")).alias("rest"))).alias("f"))
+        cell = materialize(first.select("of", F.col("f.rest").alias("rest"), F.col("f.part").alias("prefix")), "mix-level")
+    here = _by_source(inside, cell).filter(F.shiftright("place", shift) == F.col("prefix"))
+    same = here.groupBy("source", "place", "size").agg(F.count(F.lit(1)).alias("rows"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("source").orderBy("place", "size")
+    before = F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # of rows of one place, those are taken that bring the source nearer to its target
+    take = F.floor((F.col("rest") - before) / F.col("size") + 0.5).cast("long")
+    reached = same.withColumn("take", take).filter(F.col("take") < F.col("rows"))
+    found = reached.groupBy(F.col("source").alias("of")).agg(F.min(F.struct("place", "size", F.greatest("take", F.lit(0).cast("long")).alias("take"))).alias("f"))
+    # without a place where the words run out, all documents with a rest take their extra copy
+    ended = cell.join(found, "of", "left").select("of", F.coalesce("f.place", F.shiftleft(F.col("prefix") + 1, shift)).alias("cutoff"), F.coalesce("f.take", F.lit(0)).alias("take"))
+    return materialize(ended, "mix-cutoffs")
 
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), max_rate: int = 3,
-) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target, mix_rate and mix_copies (0 to max_rate)."""
-    taken = {"mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns of the result are in the input already: {sorted(taken)}")
-    sizes = materialize(
-        docs.select(F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), turn_of(id_col, text_col).alias("turn")), "mix-sizes"
-    )
-    rates = materialize(balance(source_targets(sizes, weights, max_rate)), "mix-rates")
-    plan = materialize(cutoffs(sizes, rates, max_rate), "mix-plan")
-    plan = maybe_broadcast(plan, plan.count(), 100_000).select(
-        F.col("source").alias("__mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
-        F.col("rate").alias("mix_rate"), F.col("whole").alias("__mix_whole"), F.col("cutoff").alias("__mix_cutoff"),
+    weights: tuple[int, ...] = (1, 2, 3), max_rate: int = 3, keep: list[str] | None = None,
+) -> tuple[DataFrame, dict[str, str]]:
+    """(rows, names): the columns ``keep`` of docs (all of them) beside size, source_size, target, rate and copies.
+
+    names gives what these five are called in rows: names that docs doesn't have.
+    """
+    keep = docs.columns if keep is None else keep
+    names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "rate", "copies", "source", "turn", "place")}
+    turn = F.xxhash64(F.lit("mix"), F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(
+        *(F.col(f"`{c}`") for c in keep), F.col(source_col).cast("string").alias(names["source"]), size_of(F.col(text_col)).alias(names["size"]), turn.alias(names["turn"])
     )
-    joined = docs.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("__mix_source")))
-    extra = (turn_of(id_col, text_col) <= F.col("__mix_cutoff")).cast("int")
-    return (
-        joined.withColumn("mix_size", size_of(F.col(text_col)))
-        .withColumn("mix_copies", (F.col("__mix_whole") + extra).cast("int"))
-        .drop("__mix_source", "__mix_whole", "__mix_cutoff")
+    rows = materialize(rows, "mix-rows")  # texts are read and counted once
+    plain = rows.select(F.col(names["source"]).alias("source"), F.col(names["size"]).alias("size"), F.col(names["turn"]).alias("turn"))
+    sizes = materialize(plain.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "mix-sizes")
+    targets = materialize(source_targets(sizes, weights, max_rate), "mix-targets")
+    solved = multipliers(sizes, targets, max_rate)
+    found = solved.select(F.col("source").alias("of"), "source_size", "target", "multiplier")
+    rate = rate_of(F.col("size"), F.col("multiplier"), max_rate)
+    given = _by_source(sizes, found).groupBy(F.col("source").alias("of")).agg(
+        (F.first("target") - F.sum(_whole(rate) * F.col("size") * F.col("docs"))).alias("rest")
     )
+    places = _by_source(plain, found).select("source", "size", place_of(rate, F.col("turn")).alias("place"))
+    ends = cutoffs(places, materialize(given, "mix-rests"))
+    plan = found.join(ends.withColumnRenamed("of", "ended"), F.col("of").eqNullSafe(F.col("ended")), "left").drop("ended")
+    plan = materialize(plan, "mix-plan")
+    n_plan = plan.count()
+    named = plan.select(
+        F.col("of").alias("__mix_of"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
+        F.col("multiplier").alias("__mix_multiplier"), F.col("cutoff").alias("__mix_cutoff"), F.col("take").alias("__mix_take"),
+    )
+    joined = rows.join(maybe_broadcast(named, n_plan, BROADCAST_ROWS), F.col(names["source"]).eqNullSafe(F.col("__mix_of")))
+    joined = joined.withColumn(names["rate"], rate_of(F.col(names["size"]), F.col("__mix_multiplier"), max_rate))
+    joined = joined.withColumn(names["place"], place_of(F.col(names["rate"]), F.col(names["turn"])))
+    at_end = F.coalesce((F.col(names["place"]) == F.col("__mix_cutoff")) & (F.col("__mix_take") > 0), F.lit(False))
+    extra = F.coalesce(F.col(names["place"]) < F.coalesce("__mix_cutoff", F.lit(2**62).cast("long")), F.lit(False))
+    # rows of the place where words run out: one document and its repeats, or by chance another of the same place
+    turns = Window.partitionBy(names["source"]).orderBy(names["size"], names["turn"])
+    last = joined.filter(at_end).withColumn("__mix_extra", F.row_number().over(turns) <= F.col("__mix_take"))
+    both = joined.filter(~at_end).withColumn("__mix_extra", extra).unionByName(last)
+    both = both.withColumn(names["copies"], _whole(F.col(names["rate"])) + F.col("__mix_extra").cast("int"))
+    out = [names[c] for c in ("size", "source_size", "target", "rate", "copies")]
+    return both.select(*(F.col(f"`{c}`") for c in keep), *out), names
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as its copies say."""
-    rows = mix(docs, **options).filter(F.col("mix_copies") > 0)
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return rows.select(*docs.columns)
+    rows, names = mix(docs, **options)
+    copies = F.col(names["copies"])
+    rows = rows.filter(copies > 0).withColumn(free_name(rows, "copy"), F.explode(F.sequence(F.lit(1), copies)))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
