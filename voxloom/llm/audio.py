@@ -27,6 +27,11 @@ from voxloom.llm.common import bounded_batches
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 TELEPHONY_RATE = 8000
 BLOCK_BYTES = 256
+CODEC_NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", IMA_ADPCM: "adpcm"}
+#: Texts are filled up to a multiple of this, which is what an ADPCM block of a text holds.
+PAYLOAD_UNIT = 64
+#: Bytes of text that are stored together: their PCM is up to eight times as large.
+PIECE_BYTES = 1 << 20
 #: Index steps of IMA ADPCM by the low three bits of a code (fixed values of the format).
 ADPCM_INDEX = (-1, -1, -1, -1, 2, 4, 6, 8)
 
@@ -208,8 +213,8 @@ def to_pcm(df: DataFrame, media_col: str = "media", pcm_col: str = "pcm", rate:
 
 
 def payload_of(text: bytes) -> bytes:
-    """Bytes filled up with zeros to a positive multiple of 64."""
-    return text + b"\0" * (64 - len(text) if not text else -len(text) % 64)
+    """Bytes filled up with zeros to a positive multiple of PAYLOAD_UNIT."""
+    return text + b"\0" * (PAYLOAD_UNIT if not text else -len(text) % PAYLOAD_UNIT)
 
 
 def loudness(pcm: np.ndarray) -> str:
@@ -219,34 +224,93 @@ def loudness(pcm: np.ndarray) -> str:
     return f"n={len(x)};rms={rms};peak={int(np.abs(x).max(initial=0))};zc={int((np.diff(np.signbit(x).view(np.int8)) != 0).sum())}"
 
 
+def media_of(payload: bytes) -> bytes:
+    """The payload as the stored bytes of a WAV file: mu-law or A-law samples, or the codes of ADPCM blocks, by its checksum."""
+    codec = (MULAW, ALAW, IMA_ADPCM)[zlib.crc32(payload) % 3]
+    if codec != IMA_ADPCM:
+        return write_wav(payload, codec, TELEPHONY_RATE, len(payload))
+    blocks = np.zeros((len(payload) // PAYLOAD_UNIT, 4 + PAYLOAD_UNIT), np.uint8)  # predictor and index start at 0
+    blocks[:, 4:] = np.frombuffer(payload, np.uint8).reshape(-1, PAYLOAD_UNIT)
+    return write_wav(blocks.tobytes(), IMA_ADPCM, TELEPHONY_RATE, len(blocks) * (2 * PAYLOAD_UNIT + 1), 4 + PAYLOAD_UNIT, 4)
+
+
+def payload_from(media: bytes) -> bytes:
+    """What media_of has stored."""
+    codec, _, block, _, data = read_wav(media)
+    return data if codec != IMA_ADPCM else np.frombuffer(data, np.uint8).reshape(-1, block)[:, 4:].tobytes()
+
+
+def decode_all(media: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """decode of each file; the ADPCM blocks of all files with blocks of one size advance together."""
+    out: list = [None] * len(media)
+    together: dict[int, list] = {}
+    for k, m in enumerate(media):
+        codec, rate, block, samples, data = read_wav(m)
+        if codec == IMA_ADPCM:
+            together.setdefault(block, []).append((k, rate, samples, data[: len(data) // block * block]))
+        else:
+            out[k] = decode(m)
+    for block, files in together.items():
+        per = 2 * (block - 4) + 1
+        pcm = adpcm_decode(b"".join(f[3] for f in files), block)
+        at = 0
+        for k, rate, samples, data in files:
+            n = len(data) // block * per
+            out[k] = rate, pcm[at : at + (min(n, samples) if samples >= 0 else n)]
+            at += n
+    return out
+
+
+def stored_texts(texts: list[bytes | None], rate: int = 16000) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """(raw text, media, resampled 16-bit PCM WAV) of each text (null: empty)."""
+    raws = [t or b"" for t in texts]
+    media = [media_of(payload_of(r)) for r in raws]
+    for raw, m, (of, pcm) in zip(raws, media, decode_all(media), strict=True):
+        pcm = resample(pcm, of, rate)
+        yield raw, m, write_wav(pcm.astype("<i2").tobytes(), PCM, rate, len(pcm), 2, 16)
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 16000) -> DataFrame:
+    """(id, n_bytes, media, pcm): whole texts as telephony WAV files and their resampled PCM as WAV files."""
+    return _stored(docs, id_col, text_col, rate, [("n_bytes", pa.int64()), ("media", pa.binary()), ("pcm", pa.binary())], lambda raw, media, pcm: (len(raw), media, pcm))
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 16000) -> DataFrame:
-    """Whole texts stored as mu-law WAV files, read back, expanded and resampled.
+    """What ``media_columns`` stores, read back and described.
 
     (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature): the payload is what
-    the stored file gives back; the feature describes the resampled PCM.
+    the stored file gives back; the feature describes the stored PCM (codec of the media, loudness, checksum of the PCM file).
     """
-    bounded_batches(docs.sparkSession)
 
-    def one(text: bytes | None) -> tuple:
-        raw = text or b""
-        payload = payload_of(raw)
-        media = write_wav(payload, MULAW, TELEPHONY_RATE, len(payload))
-        back = read_wav(media)[4]
-        _, pcm, = decode(media)
-        return (
-            len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),
-            hashlib.sha256(media).hexdigest(), loudness(resample(pcm, TELEPHONY_RATE, rate)),
-        )
+    def one(raw: bytes, media: bytes, pcm: bytes) -> tuple:
+        back = payload_from(media)
+        feature = f"{CODEC_NAMES[read_wav(media)[0]]};{loudness(decode(pcm)[1])};pcm={zlib.crc32(pcm):08x}"
+        return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _stored(docs, id_col, text_col, rate, list(zip(names, kinds, strict=True)), one)
+
+
+def _stored(docs: DataFrame, id_col: str, text_col: str, rate: int, fields: list, one) -> DataFrame:
+    """docs' ids with fields that one(raw, media, pcm) gives, PIECE_BYTES of text at a time."""
+    bounded_batches(docs.sparkSession)
+    names = ["id", *(n for n, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+            texts, first = batch.column(1).cast(pa.binary()), 0
+            while first < batch.num_rows:
+                some, size = [], 0
+                while first + len(some) < batch.num_rows and size < PIECE_BYTES:
+                    some.append(texts[first + len(some)].as_py())
+                    size += len(some[-1] or b"")
+                rows = [one(*x) for x in stored_texts(some, rate)]
+                columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(some)), *columns], names)
+                first += len(some)
+
+    sql = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{n} {sql[kind]}" for n, kind in fields)])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
