@@ -24,7 +24,7 @@ from voxloom.llm.queries import vocabulary_path
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality.judge(docs).filter("kept").withColumn("text", F.col("clean_text")).select(*docs.columns)
+    kept = quality.cleaned(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
