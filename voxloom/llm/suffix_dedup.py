@@ -46,7 +46,7 @@ GRAM = 24
 #: Bytes of a text that are looked at together; a position inside fits 20 bits.
 PIECE = 1 << 19
 #: Contexts that are ordered together, and of one gram from which they are cut into blocks.
-BLOCK = 2048
+BLOCK = 16384
 #: Grams are counted in one of so many documents; those found so often there, at most so many of them, are dealt by context.
 HOT_ONE_IN, HOT_FOUND, HOT_GRAMS, HOT_PARTS = 64, 256, 1024, 1024
 FIRST, WHOLE, HOT, PARTLY = 0, 1, 2, 3
