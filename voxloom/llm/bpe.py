@@ -190,6 +190,11 @@ class WordBpe:
             self.words[chunk] = found
         return found
 
+    def forget(self) -> None:
+        """Empty the caches, so that an idle worker doesn't hold them."""
+        self.words.clear()
+        self.compatible.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of ids: the tokens' texts joined by spaces, special tokens included."""
         if not len(ids):
@@ -219,6 +224,7 @@ def encode_table(docs: DataFrame, path: str, text_col: str = "text", ids_col: st
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int32)]).astype(np.int32)
             values = pa.array(np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*batch.schema.names, ids_col])
+        bpe.forget()
 
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias(ids_col)).schema)
 
@@ -264,6 +270,7 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
