@@ -298,9 +298,9 @@ def test_toxicity_tolerates_gaps(spark):
         words = [word() for _ in range(60)]
         toxic = i % 3 == 0
         if toxic:
-            words[rng.randrange(60)] = rng.choice(["idiot", "pathetic", "loser"])
-            words[rng.randrange(60)] = rng.choice(["idiot", "pathetic", "loser"])
-        rows.append((i, " ".join(words), int(toxic)))
+            for _ in range(rng.randint(1, 2)):
+                words[rng.randrange(60)] = rng.choice(["idiot", "pathetic", "loser"])
+        rows.append((i, ". ".join(" ".join(words[k : k + 10]) for k in range(0, 60, 10)), int(toxic)))
     df = docs_of(spark, rows, "doc_id long, text string, toxic int")
     labels = df.select("doc_id", "toxic")
     model = toxicity.train(df.select("doc_id", "text"), labels.filter("doc_id % 2 = 0"))
@@ -309,6 +309,9 @@ def test_toxicity_tolerates_gaps(spark):
     held = [(got[i], t) for i, _, t in rows if i % 2]
     assert all((s >= 0.7) == bool(t) for s, t in held)
     assert got[2000] >= 0.7 > max(got[2001], got[2002], got[2003], got[2004])
+    spelled = ["such an i---d---i---o---t here", "such an i d i o t here", "an i di ot, really", "i. d. i. o. t.", "what a\nl  o  s e r!", "p_a_t_h_e_t_i_c", "pathxetic", "we do it as is, to me or us", "a b c d e f"]
+    odd = docs_of(spark, [(None, t, 1) for t in spelled], "doc_id string, text string, score int")
+    assert [r.score >= 0.7 for r in toxicity.score(odd, model).collect()] == [True] * 7 + [False] * 2
     assert toxicity.train(df.select("doc_id", "text"), labels.filter("toxic = 0")) is None
     assert {r.score for r in toxicity.score(docs_of(spark, EDGE), None).collect()} == {0.0}
 
@@ -324,6 +327,25 @@ def test_kernel_batch_equals_plain_form():
         assert np.allclose(want, 0 if got is None else got, atol=1e-5), w
 
 
+def test_sentence_values_equal_plain_form():
+    marks = toxicity.Landmarks(["idiot", "stupid"])
+    rng = random.Random(51)
+    pool = ["idiot", "i-d-i-o-t!", "stupid", "stupids", "banana", "of", "it", "you", "lowest", "idi", "idiots"]
+    texts = [None, "", "you"] + [rng.choice(". |! |\n| ".split("|")).join(" ".join(rng.choice(pool) for _ in range(rng.randint(1, 5))) for _ in range(4)) for _ in range(40)]
+
+    def values(word):
+        word = toxicity.GAP.join(x for x in re.split(r"[^A-Za-z0-9]+", word) if x)
+        found = np.array([toxicity.kernel(toxicity.subsequences(word), toxicity.subsequences(m)) for m in marks.words])
+        return np.where(found >= toxicity.NEAR, found, 0) ** toxicity.POWER
+
+    for text, got in zip(texts, marks.sentences(texts)):
+        sentences = [set(x.split()) for x in re.split(r"(?<=[.!?…])\s+|\n+", text or "")]
+        want = [v for v in (sum((values(w) for w in x), np.zeros(2)) for x in sentences) if v.any()]
+        apart = [x for x in got if not any(np.allclose(x, v, atol=1e-4) for v in want)]
+        assert len(got) - len(apart) >= len(want) and all(any(np.allclose(x, v, atol=1e-4) for x in got) for v in want), text
+        assert not apart or toxicity.SPELLED.search(text.lower())
+
+
 # 6 mixing
 
 

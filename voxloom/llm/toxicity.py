@@ -1,26 +1,31 @@
-"""Toxicity scores from a subsequence string kernel, Nyström landmarks and a linear support vector machine.
+"""Toxicity scores from a subsequence string kernel, Nyström landmarks and a linear support vector machine over sentences.
 
 The kernel compares two words by the character subsequences of length three that they share; each occurrence counts
 ``DECAY`` to the power of the characters it spans (up to ``SPAN``), and the kernel is normalised. Only letters
-and digits make subsequences; other characters are gaps. A word that is spelled with gaps or inserted characters keeps most
-of its subsequences, so it stays near the word it hides.
+and digits make subsequences; whatever stands between them is one gap, however long it is. A word that is spelled with gaps or
+inserted characters keeps most of its subsequences, so it stays near the word it hides. Words that are spelled apart (three
+or more neighbours of one or two letters each) are compared as one word with gaps as well.
 
-Landmarks are the words that distinguish the toxic from the clean texts of the sample best. A text becomes the vector
-of its words' largest kernel values with each landmark, sentence by sentence; the Nyström map (the inverse square
-root of the landmarks' own kernel) turns it into features on which the support vector machine is linear. Platt's
-scaling makes margins scores.
+Two sentences are compared by the sum, over all pairs of their distinct words, of the kernel's ``POWER``: products and
+sums of kernels are kernels. Landmarks are one-word sentences, the words that distinguish the toxic from the clean texts of
+the sample best; the Nyström map (the inverse square root of the landmarks' own kernel) turns a sentence into features on
+which the support vector machine is linear. It is trained on sentences: those of clean texts are clean, and of each
+toxic text the sentence that the machine of the round before (at first, the kernel alone) finds most toxic is toxic. A text is as toxic as
+its most toxic sentence; Platt's scaling makes margins of texts scores.
 
 The classifier is fitted on a bounded sample of labelled texts (``SAMPLE_ROWS`` a class); every text is scored whole.
-Tokens of more than ``TOKEN_CHARS`` characters are compared window by window.
+Words of more than ``TOKEN_CHARS`` characters are compared window by window. Kernel values under ``NEAR`` count as 0: they
+are what words without anything in common but some letters have.
 
-Edge cases: a null, empty or wordless text is scored as a text without any landmark; without labels of both classes
-every score is 0; repeated rows get equal results.
+Edge cases: a null, empty or wordless text is scored as a sentence without any landmark; without labels of both classes
+every score is 0; repeated rows get equal results; ids may be null or of any type; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,13 +44,24 @@ SAMPLE_ROWS = 3000
 LANDMARKS = 128
 #: Log-likelihood ratio from which a word may be a landmark.
 SURE = 20.0
-#: Kernel values below this count as 0: most words are near no landmark.
-NEAR = 0.45
+NEAR = 0.4
+#: Power of the words' kernel in that of sentences: more makes words count that are nearer to a landmark.
+POWER = 1
+#: Sentences of a clean text and rounds that the machine is trained with.
+CLEAN_SENTENCES, ROUNDS = 3, 3
 TOKEN_CHARS = 24
 #: Words whose kernel values are summed at once, so that they stay in the processor's cache.
 WORDS_AT_ONCE = 128
 CACHE_WORDS = 400_000
 EDGES = "\"'.,;:!?()[]{}<>*#$%&|-_…»«“”‘’¡¿"
+SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
+#: Words spelled apart: three or more neighbours of one or two letters.
+_SHORT = r"[^\w\s]{0,2}\w{1,2}[^\w\s]{0,2}"
+SPELLED = re.compile(rf"(?<!\S){_SHORT}(?:\s+{_SHORT}){{2,}}(?!\S)")
+SPELLED_MOST = 12
+#: What stands between letters becomes one gap.
+_GAP = re.compile(r"[^A-Za-z0-9\x80-\U0010ffff]+")
+GAP = "\x01"
 _OFFSETS = [(b, c) for c in range(2, SPAN) for b in range(1, c)]
 _SLOTS = 1 << 20
 _ASCII_LETTERS = np.array([chr(i).isalnum() for i in range(128)])
@@ -73,13 +89,24 @@ def _codes(text: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
 
 
 def pieces(token: str) -> list[str]:
-    """Windows of a token that is longer than TOKEN_CHARS, by half steps."""
+    """A token with its gaps made one character each; windows of it by half steps if it is longer than TOKEN_CHARS."""
+    token = _GAP.sub(GAP, token).strip(GAP)
     if len(token) <= TOKEN_CHARS:
         return [token]
     half = TOKEN_CHARS // 2
     return [token[i : i + TOKEN_CHARS] for i in range(0, len(token) - half, half)]
 
 
+def spelled(text: str) -> set[str]:
+    """Words that a text may spell apart: three to SPELLED_MOST neighbours of one or two letters."""
+    found = set()
+    for run in SPELLED.findall(text):
+        parts = run.split()
+        for i in range(len(parts) - 2):
+            found.update(" ".join(parts[i:j]) for j in range(i + 3, min(len(parts), i + SPELLED_MOST) + 1))
+    return found
+
+
 def subsequences(word: str) -> dict[int, float]:
     """Weight of each three-character subsequence of one word (the kernel's feature vector)."""
     found: dict[int, float] = {}
@@ -125,7 +152,7 @@ class Landmarks:
             self.known.clear()
         parts, owner = [], []
         for k, token in enumerate(tokens):
-            for piece in pieces(token.strip(EDGES) or token):
+            for piece in pieces(token):
                 if len(piece) >= 3:
                     parts.append(piece)
                     owner.append(k)
@@ -233,19 +260,24 @@ class Landmarks:
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])]))
         return np.sqrt(np.bincount(of[new], np.add.reduceat(size, new) ** 2, len(starts)))
 
-    def texts(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the largest kernel value of its words with each landmark, and the number of near words."""
-        bags = [set(t.lower().split()) if t else set() for t in texts]
+    def sentences(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text its sentences' kernel values with each landmark, those of sentences that are near none left out."""
+        low = [t.lower() if t else "" for t in texts]
+        bags = [{*t.split(), *spelled(t)} for t in low]
         known = self.known
         new = list({w for bag in bags for w in bag if w not in known})
         for i in range(0, len(new), 20_000):
             self.near(new[i : i + 20_000])
-        out = np.zeros((len(texts), len(self.words) + 1))
-        for k, bag in enumerate(bags):
-            near = [v for w in bag if (v := known.get(w)) is not None]
-            if near:
-                out[k, :-1] = np.max(near, axis=0)
-                out[k, -1] = math.log1p(len(near))
+        out = []
+        for text, bag in zip(low, bags, strict=True):
+            close = {w for w in bag if known.get(w) is not None}
+            # words spelled apart may run over ends of sentences ("i. d. i."): each is a sentence of its own
+            apart = {w for w in close if any(map(str.isspace, w))}
+            found = [known[w] ** POWER for w in sorted(apart)]
+            for sentence in SENTENCE_END.split(text) if len(close) > len(apart) else ():
+                if words := close.intersection(sentence.split()):
+                    found.append(np.sum([known[w] ** POWER for w in sorted(words)], axis=0))
+            out.append(np.array(found, np.float32).reshape(-1, len(self.words)))
         return out
 
 
@@ -256,9 +288,19 @@ class Model:
     weights: np.ndarray
     scale: tuple[float, float]
 
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        z = np.column_stack([values[:, :-1] @ self.project, values[:, -1]])
-        return linear_svm.probability(z @ self.weights[:-1] + self.weights[-1], self.scale)
+    def margins(self, sentences: list[np.ndarray]) -> np.ndarray:
+        """Of each text the largest margin of its sentences."""
+        return largest_margins(sentences, self.project, self.weights)[0]
+
+    def scores(self, sentences: list[np.ndarray]) -> np.ndarray:
+        return linear_svm.probability(self.margins(sentences), self.scale)
+
+
+def largest_margins(sentences: list[np.ndarray], project: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(largest margin, margins of all sentences near a landmark) of each text; a text always has a sentence near none, too."""
+    direction = project @ weights[:-1]
+    each = [x @ direction + weights[-1] for x in sentences]
+    return np.array([max(m.max(), weights[-1]) if len(m) else weights[-1] for m in each]), each
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
@@ -290,13 +332,23 @@ def fit_texts(texts: list[str], toxic: list[bool]) -> Model | None:
     if not words:
         return None
     marks = Landmarks(words)
-    values, vectors = np.linalg.eigh(marks.gram + 1e-3 * np.eye(len(words)))
+    values, vectors = np.linalg.eigh(np.where(marks.gram >= NEAR, marks.gram, 0.0) ** POWER + 1e-3 * np.eye(len(words)))
     project = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
-    x = np.vstack([marks.texts(texts[i : i + 200]) for i in range(0, len(texts), 200)])
-    z = np.column_stack([x[:, :-1] @ project, x[:, -1]])
-    sign = np.where(y, 1.0, -1.0)
-    weights = linear_svm.fit(z, sign, np.ones(len(y)), c=1.0)
-    return Model(words, project, weights, linear_svm.calibrate(z @ weights[:-1] + weights[-1], sign))
+    found = [x for i in range(0, len(texts), 200) for x in marks.sentences(texts[i : i + 200])]
+    order = [np.argsort(-x.sum(axis=1), kind="stable") for x in found]
+    none = np.zeros((1, len(words)), np.float32)
+    for _ in range(ROUNDS):
+        rows, signs = [], []
+        for x, by, label in zip(found, order, y, strict=True):
+            chosen = x[by[: 1 if label else CLEAN_SENTENCES]]
+            if not len(chosen):
+                chosen = none
+            rows.append(chosen)
+            signs.append(np.full(len(chosen), 1.0 if label else -1.0))
+        weights = linear_svm.fit(np.vstack(rows) @ project, np.concatenate(signs), c=1.0)
+        margins, each = largest_margins(found, project, weights)
+        order = [np.argsort(-m, kind="stable") for m in each]
+    return Model(words, project, weights, linear_svm.calibrate(margins, np.where(y, 1.0, -1.0)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model | None:
@@ -324,8 +376,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         marks = Landmarks(model.landmarks) if model else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            scores = model.scores(marks.texts(texts)) if model else np.zeros(len(texts))
+            scores = model.scores(marks.sentences(texts)) if model else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
