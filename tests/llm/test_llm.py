@@ -64,6 +64,44 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(df, empty).collect()} == {"und"}
 
 
+def slow_language(model, text):
+    """Language and score by plain loops: every n-gram of the normalised bytes counted by itself."""
+    data = b" " + b" ".join(bytes(b | 32 if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in text.lower().encode()).split()) + b" "
+    x = [0.0] * langid.DIMS
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            code = sum(c << 8 * k for k, c in enumerate(data[i : i + n]))
+            x[(code * 2654435761 % 2**32) >> (33 - langid.DIMS.bit_length())] += 1
+    x = np.sqrt(x)
+    x /= np.linalg.norm(x)
+    chance = lambda w, scale: 1 / (1 + math.exp(-(scale[0] * (x @ w[:-1] + w[-1]) + scale[1])))
+    by_family = [chance(w, s) for w, s in zip(model.family_w, model.family_scale)]
+    best = by_family.index(max(by_family))
+    members = [lang for lang in model.langs if langid.family_of(lang) == model.families[best]]
+    wins, least = Counter(), {m: 1.0 for m in members}
+    for a, b, w, scale in model.pairs:
+        if a in members:
+            wins[a if x @ w[:-1] + w[-1] > 0 else b] += 1
+            p = chance(w, scale)
+            least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+    lang = max(members, key=lambda m: wins[m])
+    return lang, by_family[best] / sum(by_family) * least[lang]
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(3)
+    stems = {"en": "the of thing and with", "de": "der und schön nicht ein", "fr": "le être été que aux", "es": "el niño que está los"}
+    rows = [(i, " ".join(rng.choice(stems[g].split()) for _ in range(rng.randint(1, 9))), g) for i in range(300) for g in [rng.choice(list(stems))]]
+    model = langid.train(docs_of(spark, rows, "doc_id long, text string, lang string"))
+    odd = [t for _, t, _ in rows[:40]] + ["The der, LE el!", "ñ", "漢字", "a" * 5000, "que que que", "que que que"]
+    df = docs_of(spark, [(None if i % 2 else str(i), t, 7.0) for i, t in enumerate(odd)], "doc_id string, text string, score double")
+    got = langid.identify(df, model).collect()
+    for t, r in zip(odd, got):
+        lang, score = slow_language(model, t)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, rel=1e-3, abs=1e-5), t[:50]
+    assert (got[-1].lang_pred, got[-1].score) == (got[-2].lang_pred, got[-2].score)
+
+
 # 2 simhash
 
 

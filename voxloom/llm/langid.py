@@ -4,8 +4,8 @@ Features are byte n-grams (1 to 3, letters lower-cased, everything that is no le
 ``DIMS`` cells; a text is the vector of its relative n-gram frequencies' square roots, of length one. The family is
 chosen by one linear support vector machine a family (one against the rest); inside a family every pair of
 languages has a linear support vector machine of its own, and the language with the most wins is taken (ties: the
-larger sum of margins, then the name). The score is the product of the family's and the pairs' calibrated
-probabilities.
+larger sum of margins, then the name). The score is the product of the family's and the pairs' probabilities, which
+are calibrated on margins of texts that the machines in question have not seen (two halves, each fitted without the other).
 
 The classifier is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS`` a language, the smallest by a hash of
 the text); every text is then scored whole. Text is the only input of a prediction.
@@ -131,7 +131,7 @@ def fit_rows(texts: list[str], langs: list[str]) -> Model:
     x, y = np.array([features(t) for t in texts]), np.array(langs, object)
     of = np.array([family_of(lang) for lang in langs], object)
 
-    def machine(one: np.ndarray) -> tuple[np.ndarray, tuple[float, float], np.ndarray]:
+    def machine(one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sign = np.where(one, 1.0, -1.0)
         balance = np.where(one, len(one) / (2 * max(1, one.sum())), len(one) / (2 * max(1, (~one).sum())))
         return sign, balance
@@ -142,14 +142,14 @@ def fit_rows(texts: list[str], langs: list[str]) -> Model:
             sign, balance = machine(of == family)
             w = linear_svm.fit(x, sign, balance, c=10.0)
             rows.append(w)
-            model.family_scale.append(linear_svm.calibrate(x @ w[:-1] + w[-1], sign))
+            model.family_scale.append(linear_svm.calibrate(linear_svm.unseen_margins(x, sign, balance, c=10.0), sign))
         model.family_w = np.array(rows)
     for family in families:
         for a, b in itertools.combinations([lang for lang in names if family_of(lang) == family], 2):
             chosen = (y == a) | (y == b)
             sign, balance = machine(y[chosen] == a)
             w = linear_svm.fit(x[chosen], sign, balance, c=10.0)
-            model.pairs.append((a, b, w, linear_svm.calibrate(x[chosen] @ w[:-1] + w[-1], sign)))
+            model.pairs.append((a, b, w, linear_svm.calibrate(linear_svm.unseen_margins(x[chosen], sign, balance, c=10.0), sign)))
     return model
 
 
@@ -165,7 +165,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     for lang, n in sorted(counts.items()):
         top = F.when(F.col("l") == lang, F.lit(min(2**63 - 1, int(2.0**63 * sample_rows / n)))).otherwise(top)
     turn = F.call_function("shiftrightunsigned", F.xxhash64("t"), F.lit(1))
-    picked = rows.filter(turn <= top).distinct().limit(2 * sample_rows * len(counts)).collect()
+    picked = rows.filter(turn <= top).distinct().orderBy(turn, "t", "l").limit(2 * sample_rows * len(counts)).collect()
     picked = sorted((r for r in picked if has_letter(r["t"])), key=lambda r: (r["l"], r["t"]))
     return fit_rows([r["t"] for r in picked], [r["l"] for r in picked])
 
@@ -189,5 +189,5 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 scores[known] = score
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], ["id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
