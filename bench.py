@@ -10,7 +10,7 @@ from voxloom.plans import registry
 from voxloom.session import session
 
 HEADLINE = (
-    "norm_text_by_lang", "raw_post_edit_by_source", "markup_clean", "turn_wer", "corpus_wer_by_role", "turn_agreement", "exact_pseudo_labels", "stratified_split_docs",
+    "norm_text_by_lang", "raw_post_edit_by_source", "markup_clean", "turn_wer", "corpus_wer_by_role", "turn_agreement", "gated_pseudo_labels", "stratified_split_docs",
     "stratified_rates", "ev_intervals_merge", "ev_interval_union", "ev_overlap_seconds", "ev_point_in_interval_anti", "ev_nearest_snap", "ev_chunking",
     "ev_coverage_label", "frame_der", "mapped_der", "mbr_pick", "rover_fuse", "merged_transcripts", "lexicon_topn", "vocabulary_by_lang", "plda_moments", "cosine_pairs",
     "ahc_clusters", "ngram_counts",

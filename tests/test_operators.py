@@ -75,7 +75,7 @@ def test_guard_and_quota(spark):
     with pytest.raises(ValueError, match="cv_es"):
         select.guard_sources(ok.unionByName(spark.createDataFrame([(3, "cv_es")], ok.schema)))
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(10)], "i int, g string")
-    assert select.quota(rows, "g", F.col("i"), 2, other_cap=3).count() == 7
+    assert select.quota(rows, F.col("g"), F.col("i"), ("a",), 2, other_cap=3).count() == 5
     assert select.stride_sample(rows, F.col("i"), 3).count() == 3
 
 

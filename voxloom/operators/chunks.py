@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.functions import align
+from voxloom.functions import align, text
 
 WORDS = "array<struct<word:string,start_s:double,end_s:double,confidence:double>>"
 
@@ -95,17 +95,26 @@ def transcript(words: Column) -> Column:
 def minimum_risk(nbest: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(chunk, text, risk) of least expected word error rate under the hypotheses' softmax, from (chunk, rank, text, score).
 
-    A self join on the chunk pairs its hypotheses (n-best lists are short by nature); ties go to the first rank.
+    Hypotheses of equal words share one row with their mass summed. Each unordered pair of a chunk's distinct hypotheses is
+    aligned once (n-best lists are short by nature), and the distance counts for both, each by its own reference; ties go
+    to the first rank.
     """
-    top = F.max("score").over(Window.partitionBy(key))
-    rows = nbest.withColumn("mass", F.exp(F.col("score") - top)).withColumn("words", F.split("text", r"\s+"))
-    rows = rows.withColumn("p", F.col("mass") / F.sum("mass").over(Window.partitionBy(key)))
-    rows = rows.select(key, "rank", "text", "p", F.filter("words", lambda w: w != "").alias("words"))
-    other = rows.select(F.col(key).alias("__k"), F.col("rank").alias("__r"), F.col("p").alias("__p"), F.col("words").alias("__w"))
-    pairs = rows.join(other, (F.col(key) == F.col("__k")) & (F.col("rank") != F.col("__r")), "left")
     none = F.array().cast("array<string>")
-    error = F.when(F.col("__k").isNull(), 0.0).otherwise(F.col("__p") * align.wer(F.coalesce("words", none), F.coalesce("__w", none)))
-    risk = pairs.groupBy(key, "rank", "text").agg(F.round(F.sum(error), 12).alias("risk"))
+    rows = nbest.withColumn("p", F.exp(F.col("score") - F.max("score").over(Window.partitionBy(key))))
+    rows = rows.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(key))).withColumn("words", F.coalesce(text.tokens(F.col("text")), none))
+    said = rows.groupBy(key, "words").agg(F.sum("p").alias("p"), F.min("rank").alias("rank"), F.min_by("text", "rank").alias("text"))
+    lists = said.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "text", "p", "words"))).alias("h"))
+    # one row a pair, from the list of the chunk: no join
+    n = F.size("h")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    each = lists.select(key, "h", F.explode(pairs).alias("x")).select(key, F.get("h", F.col("x.i")).alias("a"), F.get("h", F.col("x.j")).alias("b"), (F.col("x.i") == F.col("x.j")).alias("own"))
+    each = each.withColumn("d", F.when(F.col("own"), 0).otherwise(align.word_edit_distance(F.col("a.words"), F.col("b.words"))))
+    part = lambda c, r: F.struct(
+        F.col(f"{c}.rank").alias("rank"), F.col(f"{c}.text").alias("text"),
+        (F.col(f"{r}.p") * F.when(F.size(f"{c}.words") == 0, F.least(F.size(f"{r}.words"), F.lit(1))).otherwise(F.col("d") / F.greatest(F.size(f"{c}.words"), F.lit(1)))).alias("e"),
+    )
+    both = each.select(key, F.explode(F.when(F.col("own"), F.array(part("a", "b"))).otherwise(F.array(part("a", "b"), part("b", "a")))).alias("r"))
+    risk = both.groupBy(key, "r.rank", "r.text").agg(F.round(F.sum("r.e"), 12).alias("risk"))
     return risk.groupBy(key).agg(F.min(F.struct("risk", "rank", "text")).alias("m")).select(key, "m.text", "m.risk")
 
 
@@ -115,7 +124,7 @@ def rescore(nbest: DataFrame, alpha: float = 0.5, beta: float = 1.5, lm_scale: f
     An n-gram model's log10 scores are divided by ln 10 as its users expect; pass lm_scale=1, alpha=.3, beta=1 for a neural
     model, or lm_scale=math.log(10) for true natural logarithms.
     """
-    n_words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    n_words = F.size(text.tokens(F.col("text")))
     total = F.col("score") + alpha * F.col("lm") * F.lit(lm_scale) + beta * n_words
     return nbest.withColumn("total", total).groupBy(key).agg(F.max_by(F.struct("text", "total"), F.struct("total", -F.col("rank"))).alias("m")).select(key, "m.text", "m.total")
 
@@ -128,7 +137,7 @@ def fuse(hypotheses: DataFrame, key: str = "chunk_id", order: str = "system") ->
 
 def ngram_counts(texts: DataFrame, order: int = 3, text_col: str = "text") -> DataFrame:
     """(n, ngram, count) of words with sentence marks: the counts that an n-gram model is built from."""
-    words = F.concat(F.array(F.lit("<s>")), F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != ""), F.array(F.lit("</s>")))
+    words = F.concat(F.array(F.lit("<s>")), text.tokens(F.col(text_col)), F.array(F.lit("</s>")))
     rows = texts.select(words.alias("w"))
 
     def of(n: int) -> Column:

@@ -80,7 +80,7 @@ def snap(segments: DataFrame, edges: DataFrame, key: str = "record_id", radius:
     """
     width = max(radius, 1e-9)
     listed = edges.select(F.col(key).alias("__k"), F.col("time_s").alias("__t"), F.floor(F.col("time_s") / width).alias("__b"))
-    rows = segments.withColumn("__row", F.struct(*segments.columns)).withColumn("__id", F.xxhash64("__row"))
+    rows = segments
 
     def moved(col: str) -> DataFrame:
         probe = segments.select(key, col).distinct().withColumn("__bin", F.explode(F.array(*(F.floor(F.col(col) / width) + d for d in (-1, 0, 1)))))
@@ -108,7 +108,8 @@ def merge_gaps(
     end = F.least(F.col("end_s"), max_end) if max_end is not None else F.col("end_s")
     rows = segments.select(key, label, start.alias("start_s"), end.alias("end_s")).filter(F.col("end_s") - F.col("start_s") >= min_s)
     order = Window.partitionBy(key).orderBy("start_s", "end_s", label)
-    run = F.sum((F.col(label) != F.coalesce(F.lag(label).over(order), F.lit("\0"))).cast("int")).over(order)
+    other = (~F.col(label).eqNullSafe(F.lag(label).over(order))) | (F.row_number().over(order) == 1)
+    run = F.sum(other.cast("int")).over(order)
     rows = rows.withColumn("__run", run)
     inside = Window.partitionBy(key, "__run").orderBy("start_s", "end_s")
     reach = F.max("end_s").over(inside.rowsBetween(Window.unboundedPreceding, -1))

@@ -15,9 +15,13 @@ def build_lexicon(docs: DataFrame, by: list[str], text_col: str = "text", order:
     negative. A word needs min_doc_freq documents of its bucket. Counts are pre-aggregated before every exchange.
     """
     bucket = [F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), F.lit("_")).alias(c) for c in by]
-    rows = docs.select(*bucket, F.col(order).alias("__doc"), F.posexplode(text.word_tokens(F.col(text_col))).alias("__pos", "word"))
-    per_doc = rows.groupBy(*by, "__doc", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__doc", "__pos")).alias("first"))
-    per = per_doc.groupBy(*by, "word").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"), F.min("first").alias("first"))
+    words = text.word_tokens(F.col(text_col))
+    base = docs.select(*bucket, F.col(order).alias("__doc"), words.alias("__words"))
+    # a word's first place in a document stands for the document: both counts and the first appearance come from one explode
+    rows = base.select(*by, "__doc", F.posexplode("__words").alias("__pos", "word"))
+    each = rows.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("tf"), F.min(F.struct("__doc", "__pos")).alias("first"))
+    held = base.select(*by, F.explode(F.array_distinct("__words")).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("df"))
+    per = each.join(held, [*by, "word"])
     totals = per.groupBy("word").agg(F.sum("tf").alias("everywhere"))
     n_docs = docs.groupBy(*bucket).agg(F.count(F.lit(1)).alias("docs"))
     n_all = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -28,11 +32,12 @@ def build_lexicon(docs: DataFrame, by: list[str], text_col: str = "text", order:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top_n).select(*by, "rank", "word", "score")
 
 
-def universal_words(docs: DataFrame, text_col: str = "text", least: int = 50, top_n: int = 32) -> DataFrame:
-    """(rank, word, n): the most frequent words of the corpus with at least ``least`` occurrences."""
-    counts = docs.select(F.explode(text.word_tokens(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(top_n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "word"))).select("rank", "word", "n")
+def universal_words(docs: DataFrame, text_col: str = "text", order: str = "doc_id", least: int = 50, top_n: int = 32) -> DataFrame:
+    """(rank, word, n): the most frequent words of the corpus with at least ``least`` occurrences (ties: first appearance)."""
+    each = docs.select(F.col(order).alias("__doc"), F.posexplode(text.word_tokens(F.col(text_col))).alias("__pos", "word"))
+    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__doc", "__pos")).alias("f"))
+    top = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(top_n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "f"))).select("rank", "word", "n")
 
 
 def words_for(lexicon: DataFrame, universal: DataFrame, province: str | None, topic: str | None) -> DataFrame:

@@ -37,13 +37,31 @@ def micro_wer(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(by or [])).agg(F.sum(total).alias("errors"), F.sum("words").alias("words"), (F.sum(total) / F.greatest(F.sum("words"), F.lit(1))).alias("wer"))
 
 
-def dual_track(pairs: DataFrame, key: str = "record_id", **names) -> DataFrame:
-    """(record, raw_wer, normalized_wer) of each pair; corpus rates come from corpus_wer on either track."""
-    parts = []
-    for track in ("raw", "normalized"):
-        rows = scored_pairs(pairs, track=track, **names)
-        parts.append(rows.select(key, (F.col("errors") / F.greatest("words", F.lit(1))).alias(f"{track}_wer")))
-    return parts[0].join(parts[1], key)
+def dual_track(pairs: DataFrame, reference: str = "ref", hypothesis: str = "hyp", keep: tuple[str, ...] = ("record_id",)) -> DataFrame:
+    """A row a pair: the columns ``keep``, raw_errors, raw_words, raw_wer, and errors, words, normalized_wer."""
+    raw = [text.tokens(text.post_edit_raw(F.col(c))).alias(f"__raw_{k}") for k, c in enumerate((reference, hypothesis))]
+    norm = [text.tokens(text.normalize_for_eval(text.post_edit_raw(F.col(c)))).alias(f"__norm_{k}") for k, c in enumerate((reference, hypothesis))]
+    rows = pairs.select(*keep, *raw, *norm).select(
+        *keep, align.wer_errors(F.col("__raw_0"), F.col("__raw_1")).alias("raw_errors"), F.size("__raw_0").alias("raw_words"),
+        align.wer_errors(F.col("__norm_0"), F.col("__norm_1")).alias("errors"), F.size("__norm_0").alias("words"),
+    )
+    per = lambda e, w: F.col(e) / F.greatest(w, F.lit(1))
+    return rows.select(*keep, "raw_errors", "raw_words", per("raw_errors", "raw_words").alias("raw_wer"), "errors", "words", per("errors", "words").alias("normalized_wer"))
+
+
+def score_folder(hypotheses: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, total) of two tables of (name, text) files: both tracks of each paired record, and of the corpus (one row)."""
+    rows = dual_track(paired_files(hypotheses, references))
+    total = rows.agg(rate("raw_errors", "raw_words").alias("raw_wer"), rate().alias("normalized_wer"), F.count(F.lit(1)).alias("records"))
+    return rows, total.select(F.coalesce("raw_wer", F.lit(0.0)).alias("raw_wer"), F.coalesce("normalized_wer", F.lit(0.0)).alias("normalized_wer"), "records")
+
+
+def true_micro_wer(pairs: DataFrame, by: list[str] | None = None, reference: str = "ref", hypothesis: str = "hyp") -> DataFrame:
+    """(by.., errors, words, wer) with every inserted word counted, also where a record has no reference (no words: 0)."""
+    sides = pairs.select(*(by or []), text.tokens(F.col(reference)).alias("__r"), text.tokens(F.col(hypothesis)).alias("__h"))
+    rows = sides.select(*(by or []), align.word_edit_distance(F.col("__r"), F.col("__h")).alias("errors"), F.size("__r").alias("words"))
+    sums = rows.groupBy(*(by or [])).agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"))
+    return sums.withColumn("wer", F.when(F.col("words") > 0, F.col("errors") / F.col("words")).otherwise(0.0))
 
 
 def stratified_wer(rows: DataFrame, language: str = "language", accent: str = "accent", accent_language: str = "es") -> DataFrame:

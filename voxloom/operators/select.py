@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import align, text
 
+# Tags of evaluation sources.
 BENCH_SOURCES = ("cv_es", "cv_multilingual", "voxconverse", "synthetic", "synth_coser")
 
 
@@ -100,6 +101,7 @@ def pseudo_labels(hypotheses: DataFrame, chunks: DataFrame, config: GateConfig =
 def era_bucket(year: Column) -> Column:
     """Recording era by year; NaN counts as null."""
     y = F.when(~F.isnan(year.cast("double")), year.cast("int"))
+    # fixed values: eras by their first year after
     names = ((1995, "cassette-1990s-early"), (2002, "cassette-1990s-late"), (2010, "MD-2000s"), (2018, "digital-2010s"))
     out = F.lit("digital-2020s")
     for limit, name in reversed(names):
@@ -140,15 +142,13 @@ def guard_sources(rows: DataFrame, banned: tuple[str, ...] = BENCH_SOURCES, sour
     return rows
 
 
-def quota(rows: DataFrame, by: str, order: Column, each: int, other: str = "other", other_cap: int | None = None) -> DataFrame:
-    """The first ``each`` rows of every group; what is over competes for ``other_cap`` places of the group ``other``."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    ranked = rows.withColumn("__rank", rank)
-    first = ranked.filter(F.col("__rank") <= each).withColumn("quota_group", F.col(by))
-    rest = ranked.filter(F.col("__rank") > each).withColumn("quota_group", F.lit(other))
-    if other_cap is not None:
-        rest = rest.orderBy(order).limit(other_cap)
-    return first.unionByName(rest).drop("__rank")
+def quota(rows: DataFrame, by: Column, order: Column, listed: tuple[str, ...], each: int, other: str = "other", other_cap: int | None = None) -> DataFrame:
+    """The first ``each`` rows of every listed value; all other values (and null) share one group, of which the first
+    ``other_cap`` rows stay (default: as many as of a listed value)."""
+    grouped = rows.withColumn("quota_group", F.when(by.isin(*listed), by).otherwise(other))
+    place = F.row_number().over(Window.partitionBy("quota_group").orderBy(order))
+    most = F.when(F.col("quota_group") == other, each if other_cap is None else other_cap).otherwise(each)
+    return grouped.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
 
 
 def min_count(rows: DataFrame, by: str, least: int) -> DataFrame:

@@ -71,6 +71,23 @@ def _terms(expr: str) -> str:
     return f"list_transform(regexp_extract_all(coalesce({expr}, ''), '[\\p{{L}}\\p{{N}}_'']+'), lambda w: lower(w))"
 
 
+def _edits(a: str, b: str, change: int = 1) -> str:
+    """Edit distance of two lists: a row of the table after the other, each cell the least way from the cells before it."""
+    costs = f"list_transform({b}, lambda w: list_transform({a}, lambda r: CASE WHEN r = w THEN 0 ELSE {change} END::BIGINT))"
+    step = "CASE WHEN k = 0 THEN p[1] + 1 ELSE least(p[k + 1] + 1, p[k] + x[k]) END + j - k"
+    row = f"list_transform(range(0, len(p)), lambda j: list_min(list_transform(range(0, j + 1), lambda k: {step})))"
+    return f"list_last(list_reduce(list_prepend(range(0, len({a}) + 1), {costs}), lambda p, x: {row}))"
+
+
+_PAIRS = """tp AS (SELECT x.conv_id::VARCHAR AS record_id, x.turn, x.role, x.text AS ref, y.text AS hyp
+FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"""
+_WORD_PAIRS = f"{_PAIRS}, wp AS (SELECT *, {_words('ref')} AS a, {_words('hyp')} AS b FROM tp)"
+_NORM_PAIRS = f"{_PAIRS}, np AS (SELECT *, {_words(_norm(_raw('ref')))} AS a, {_words(_norm(_raw('hyp')))} AS b, {_words(_raw('ref'))} AS ra, {_words(_raw('hyp'))} AS rb FROM tp)"
+_ERRORS = "CASE WHEN len({a}) = 0 THEN least(len({b}), 1) ELSE {e} END"
+_NORM_ERRORS = _ERRORS.format(a="a", b="b", e=_edits("a", "b"))
+_RAW_ERRORS = _ERRORS.format(a="ra", b="rb", e=_edits("ra", "rb"))
+
+
 @query(f"""SELECT lang, count(*) AS docs, sum(len({_words(_norm('text'))})) AS tokens, sum(length({_norm('text')})) AS chars
 FROM documents GROUP BY lang""")
 def norm_text_by_lang(spark, sf_dir):
@@ -99,30 +116,75 @@ def markup_clean(spark, sf_dir):
     return rows.select("doc_id", F.length("t").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""WITH {_NORM_PAIRS}, e AS (SELECT record_id, turn, {_NORM_ERRORS} AS errors, len(a) AS words FROM np)
+SELECT *, round(errors / greatest(words, 1)::DOUBLE, 6) AS wer FROM e""")
 def turn_wer(spark, sf_dir):
     return score.scored_pairs(turn_pairs(spark, sf_dir)).select("record_id", "turn", "errors", "words", F.round(F.col("errors") / F.greatest("words", F.lit(1)), 6).alias("wer"))
 
 
-@query()
+@query(f"""WITH {_NORM_PAIRS}, e AS (SELECT role, {_NORM_ERRORS} AS errors, len(a) AS words FROM np)
+SELECT role, sum(errors) AS errors, sum(words) AS words, round(sum(errors) / greatest(sum(words), 1)::DOUBLE, 6) AS wer FROM e GROUP BY role""")
 def corpus_wer_by_role(spark, sf_dir):
     return score.corpus_wer(turn_pairs(spark, sf_dir), ["role"]).withColumn("wer", F.round("wer", 6))
 
 
-@query()
+@query(f"""WITH {_NORM_PAIRS}, e AS (SELECT record_id, {_NORM_ERRORS} AS errors, len(a) AS words FROM np)
+SELECT record_id, sum(errors) AS errors, sum(words) AS words, round(sum(errors) / greatest(sum(words), 1)::DOUBLE, 6) AS wer FROM e GROUP BY record_id""")
+def long_form_wer(spark, sf_dir):
+    """Error rates of whole conversations."""
+    return score.corpus_wer(turn_pairs(spark, sf_dir), ["record_id"]).withColumn("wer", F.round("wer", 6))
+
+
+@query(f"""WITH {_NORM_PAIRS}, e AS (SELECT s.source, {_NORM_ERRORS} AS errors, len(a) AS words FROM np JOIN (SELECT doc_id::VARCHAR AS record_id, source FROM documents) s USING (record_id))
+SELECT source, sum(errors) AS errors, sum(words) AS words, round(sum(errors) / greatest(sum(words), 1)::DOUBLE, 6) AS wer FROM e GROUP BY source""")
+def source_wer(spark, sf_dir):
+    """Error rates by the source of the document of the conversation's number."""
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "source")
+    return score.corpus_wer(turn_pairs(spark, sf_dir).join(sources, "record_id"), ["source"]).withColumn("wer", F.round("wer", 6))
+
+
+@query(f"""WITH {_WORD_PAIRS}, e AS (SELECT role, {_edits("a", "b")} AS errors, len(a) AS words FROM wp)
+SELECT role, sum(errors) AS errors, sum(words) AS words, round(sum(errors) / greatest(sum(words), 1)::DOUBLE, 6) AS wer FROM e WHERE words > 0 OR errors > 0 GROUP BY role""")
 def edit_split_by_role(spark, sf_dir):
     pairs = turn_pairs(spark, sf_dir)
     counts = pairs.select("role", align.edit_counts_of(text.tokens(F.col("ref")), text.tokens(F.col("hyp"))).alias("c"), F.size(text.tokens(F.col("ref"))).alias("words"))
-    return score.micro_wer(counts.select("role", "c.*", "words"), ["role"])
+    return score.micro_wer(counts.select("role", "c.*", "words"), ["role"]).withColumn("wer", F.round("wer", 6))
 
 
-@query()
+@query(f"""WITH {_WORD_PAIRS}, e AS (SELECT role, turn % 5 = 0 AS empty, a, CASE WHEN turn % 5 = 0 THEN [] ELSE a END AS r, b FROM wp),
+d AS (SELECT role, {_edits("r", "b")} AS errors, len(r) AS words FROM e)
+SELECT role, sum(errors) AS errors, sum(words) AS words, round(CASE WHEN sum(words) > 0 THEN sum(errors) / sum(words)::DOUBLE ELSE 0 END, 6) AS wer FROM d GROUP BY role""")
+def true_wer_by_role(spark, sf_dir):
+    """Every inserted word counts; every fifth turn has no reference."""
+    pairs = turn_pairs(spark, sf_dir).withColumn("ref", F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("ref")))
+    return score.true_micro_wer(pairs, ["role"]).withColumn("wer", F.round("wer", 6))
+
+
+@query(f"""WITH {_NORM_PAIRS} SELECT record_id || '_' || turn AS record_id, round({_RAW_ERRORS} / greatest(len(ra), 1)::DOUBLE, 6) AS raw_wer,
+  round({_NORM_ERRORS} / greatest(len(a), 1)::DOUBLE, 6) AS normalized_wer FROM np""")
 def dual_track_wer(spark, sf_dir):
     pairs = turn_pairs(spark, sf_dir).withColumn("record_id", F.concat_ws("_", "record_id", "turn"))
     return score.dual_track(pairs).select("record_id", F.round("raw_wer", 6).alias("raw_wer"), F.round("normalized_wer", 6).alias("normalized_wer"))
 
 
-@query()
+@query(f"""WITH {_NORM_PAIRS}, e AS (SELECT {_RAW_ERRORS} AS raw_errors, len(ra) AS raw_words, {_NORM_ERRORS} AS errors, len(a) AS words FROM np)
+SELECT round(sum(raw_errors) / greatest(sum(raw_words), 1)::DOUBLE, 6) AS raw_wer, round(sum(errors) / greatest(sum(words), 1)::DOUBLE, 6) AS normalized_wer, count(*) AS records FROM e""")
+def folder_score(spark, sf_dir):
+    """Conversation turns as files of hypotheses and references, the odd turns' references under the record's own name."""
+    pairs = turn_pairs(spark, sf_dir)
+    stem = F.concat_ws("-", "record_id", "turn")
+    name = F.concat(stem, F.lit("__x.txt"))
+    hyp = pairs.select(name.alias("name"), F.col("hyp").alias("text"))
+    ref = pairs.select(F.when(F.col("turn") % 2 == 0, name).otherwise(F.concat(stem, F.lit(".txt"))).alias("name"), F.col("ref").alias("text"))
+    total = score.score_folder(hyp, ref)[1]
+    return total.select(F.round("raw_wer", 6).alias("raw_wer"), F.round("normalized_wer", 6).alias("normalized_wer"), "records")
+
+
+_LOWERED = "list_transform({}, lambda w: lower(w))"
+_AGREEMENT = f"CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE (len(a) + len(b) - {_edits(_LOWERED.format('a'), _LOWERED.format('b'), 2)}) / (len(a) + len(b))::DOUBLE END"
+
+
+@query(f"WITH {_WORD_PAIRS} SELECT record_id, turn, round({_AGREEMENT}, 6) AS agreement FROM wp")
 def turn_agreement(spark, sf_dir):
     pairs = turn_pairs(spark, sf_dir)
     return pairs.select("record_id", "turn", F.round(align.agreement(text.tokens(F.col("ref")), text.tokens(F.col("hyp"))), 6).alias("agreement"))
@@ -130,36 +192,37 @@ def turn_agreement(spark, sf_dir):
 
 def _hypotheses(spark, sf_dir):
     pairs = turn_pairs(spark, sf_dir)
-    chunk = F.concat_ws("_", "record_id", "turn")
+    chunk, words = F.concat_ws("_", "record_id", "turn"), text.tokens(F.col("ref"))
     hyps = pairs.select(
         chunk.alias("chunk_id"), "record_id", F.lit("").alias("audio_path"), (F.col("turn") * 10.0).alias("start_s"), (F.col("turn") * 10.0 + 10).alias("end_s"),
         text.tokens(F.col("ref")).alias("first_words"), (-0.1 * (F.col("turn") % 7)).alias("logprob"),
-        text.tokens(F.when(F.col("turn") % 2 == 0, F.col("ref")).otherwise(F.col("hyp"))).alias("second_words"),
+        F.when(F.col("turn") % 2 == 0, words).when(F.col("turn") % 4 == 1, F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1 - F.size(words) % 4)))
+        .otherwise(text.tokens(F.col("hyp"))).alias("second_words"),
     )
     ratio = pairs.filter("turn % 3 <> 0").select(chunk.alias("chunk_id"), (F.col("turn") * 4.0).alias("wada_snr_db"))
     return hyps, ratio
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, text AS ref, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp,
-    lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations),
-h AS (SELECT conv_id, turn, {_words('ref')} AS w, turn % 2 = 0 OR ref = hyp AS same, (-0.1::DOUBLE) * (turn % 7) AS lp,
-    CASE WHEN turn % 3 <> 0 THEN turn * 4.0::DOUBLE END AS snr FROM p WHERE nt = turn + 1),
-s AS (SELECT avg(len(w) / 10.0::DOUBLE) AS m, CASE WHEN stddev_samp(len(w) / 10.0::DOUBLE) = 0 THEN 1 ELSE stddev_samp(len(w) / 10.0::DOUBLE) END AS d FROM h)
-SELECT conv_id || '_' || turn AS chunk_id, conv_id::VARCHAR AS record_id, array_to_string(w, ' ') AS transcript, round((len(w) / 10.0::DOUBLE - m) / d, 6) AS z
-FROM h, s WHERE same AND len(w) > 0 AND lp > CASE WHEN snr < 5 THEN -0.55 WHEN snr < 15 THEN -0.45 ELSE -0.35 END
-  AND abs((len(w) / 10.0::DOUBLE - m) / d) < 2""")
-def exact_pseudo_labels(spark, sf_dir):
-    """Gated hypotheses of full agreement."""
-    hyps, ratio = _hypotheses(spark, sf_dir)
-    kept, summary = select.pseudo_labels(hyps, ratio)
-    kept = kept.filter("agreement = 1").withColumn("mean", summary.select("mean_wps").scalar()).withColumn("std", summary.select("std_wps").scalar())
+_GATED = f"""{_WORD_PAIRS}, h AS (SELECT record_id, turn, a, CASE WHEN turn % 2 = 0 THEN a WHEN turn % 4 = 1 THEN list_slice(a, 1, len(a) - 1 - len(a) % 4) ELSE b END AS b,
+    (-0.1::DOUBLE) * (turn % 7) AS lp, CASE WHEN turn % 3 <> 0 THEN turn * 4.0::DOUBLE END AS snr FROM wp),
+s AS (SELECT avg(len(a) / 10.0::DOUBLE) AS m, CASE WHEN stddev_samp(len(a) / 10.0::DOUBLE) = 0 THEN 1 ELSE stddev_samp(len(a) / 10.0::DOUBLE) END AS d FROM h),
+g AS MATERIALIZED (SELECT *, {_AGREEMENT} AS agreement, (len(a) / 10.0::DOUBLE - m) / d AS z FROM h, s),
+k AS (SELECT *, agreement >= 0.85 AND lp > CASE WHEN snr < 5 THEN -0.55 WHEN snr < 15 THEN -0.45 ELSE -0.35 END AND abs(z) < 2 AS keep FROM g)"""
+
+
+@query(f"WITH {_GATED} SELECT record_id || '_' || turn AS chunk_id, record_id, array_to_string(a, ' ') AS transcript, round(agreement, 6) AS agreement, round(z, 6) AS z FROM k WHERE keep")
+def gated_pseudo_labels(spark, sf_dir):
+    kept, summary = select.pseudo_labels(*_hypotheses(spark, sf_dir))
+    kept = kept.withColumn("mean", summary.select("mean_wps").scalar()).withColumn("std", summary.select("std_wps").scalar())
     z = (F.size(F.filter(F.split("transcript", " "), lambda w: w != "")) / (F.col("end_s") - F.col("start_s")) - F.col("mean")) / F.col("std")
-    return kept.select("chunk_id", "record_id", "transcript", F.round(z, 6).alias("z"))
+    return kept.select("chunk_id", "record_id", "transcript", F.round("agreement", 6).alias("agreement"), F.round(z, 6).alias("z"))
 
 
-@query()
+@query(f"""WITH {_GATED} SELECT count(*) AS n_input, count(*) FILTER (keep) AS n_kept, sum(CASE WHEN keep THEN 10.0::DOUBLE ELSE 0 END) AS yield_seconds,
+  round(any_value(m), 9) AS mean_wps, round(any_value(d), 9) AS std_wps FROM k""")
 def pseudo_label_summary(spark, sf_dir):
-    return select.pseudo_labels(*_hypotheses(spark, sf_dir))[1]
+    out = select.pseudo_labels(*_hypotheses(spark, sf_dir))[1]
+    return out.withColumn("mean_wps", F.round("mean_wps", 9)).withColumn("std_wps", F.round("std_wps", 9))
 
 
 @query("""WITH k AS (SELECT doc_id, concat_ws('|', coalesce(source, 'None'), 'NA', coalesce(lang, 'None')) AS st,
@@ -279,7 +342,26 @@ def frame_der(spark, sf_dir):
     return out.select("record_id", "error_frames", "reference_frames", F.round("rate", 6).alias("rate"))
 
 
-@query()
+_DER_SQL = f"""{EVENTS_SQL}, rf AS (SELECT record_id, speaker, start_s, end_s FROM ev), hy AS (SELECT record_id, upper(speaker) AS speaker, start_s + {{shift}} AS start_s, end_s FROM ev WHERE end_s > start_s + {{shift}}),
+cu AS (SELECT DISTINCT record_id, t FROM (SELECT record_id, start_s AS t FROM rf UNION SELECT record_id, end_s FROM rf UNION SELECT record_id, start_s FROM hy UNION SELECT record_id, end_s FROM hy)),
+el AS (SELECT record_id, t AS s, lead(t) OVER (PARTITION BY record_id ORDER BY t) AS e FROM cu),
+ra AS (SELECT DISTINCT el.record_id, s, e, rf.speaker FROM el JOIN rf ON el.record_id = rf.record_id AND rf.start_s <= el.s AND rf.end_s >= el.e),
+ha AS (SELECT DISTINCT el.record_id, s, e, hy.speaker FROM el JOIN hy ON el.record_id = hy.record_id AND hy.start_s <= el.s AND hy.end_s >= el.e),
+nn AS (SELECT el.record_id, el.e - el.s AS d, coalesce(r.n, 0) AS nr, coalesce(h.n, 0) AS nh FROM el LEFT JOIN (SELECT record_id, s, count(*) AS n FROM ra GROUP BY 1, 2) r USING (record_id, s)
+  LEFT JOIN (SELECT record_id, s, count(*) AS n FROM ha GROUP BY 1, 2) h USING (record_id, s) WHERE el.e IS NOT NULL),
+sums AS (SELECT record_id, sum(greatest(nr - nh, 0) * d) AS miss_s, sum(greatest(nh - nr, 0) * d) AS false_alarm_s, sum(least(nr, nh) * d) AS both_s, sum(nr * d) AS reference_s FROM nn GROUP BY record_id),
+ov AS (SELECT ra.record_id, ra.speaker AS r, ha.speaker AS h, sum(ra.e - ra.s) AS g FROM ra JOIN ha USING (record_id, s) GROUP BY 1, 2, 3),
+rn AS (SELECT record_id, speaker, row_number() OVER (PARTITION BY record_id ORDER BY speaker) AS k FROM (SELECT DISTINCT record_id, speaker FROM rf)),
+asg AS (SELECT record_id, 0::BIGINT AS k, []::VARCHAR[] AS used, 0.0::DOUBLE AS gain FROM (SELECT DISTINCT record_id FROM rf)
+  UNION ALL SELECT a.record_id, a.k + 1, CASE WHEN o.h IS NULL THEN used ELSE list_append(used, o.h) END, gain + coalesce(o.g, 0)
+  FROM asg a JOIN rn ON rn.record_id = a.record_id AND rn.k = a.k + 1
+  JOIN (SELECT record_id, r, h, g FROM ov UNION ALL SELECT record_id, speaker, NULL, 0 FROM rn) o ON o.record_id = a.record_id AND o.r = rn.speaker AND (o.h IS NULL OR NOT list_contains(a.used, o.h))),
+best AS (SELECT record_id, max(gain) AS hit FROM asg GROUP BY record_id),
+der AS (SELECT record_id, miss_s, false_alarm_s, both_s - hit AS confusion_s, reference_s FROM sums JOIN best USING (record_id))"""
+
+
+@query(f"""WITH RECURSIVE {_DER_SQL.format(shift=600)} SELECT record_id, round(miss_s, 3) AS miss_s, round(false_alarm_s, 3) AS false_alarm_s, round(confusion_s, 3) AS confusion_s, round(reference_s, 3) AS reference_s,
+  round(CASE WHEN reference_s > 0 THEN (miss_s + false_alarm_s + confusion_s) / reference_s ELSE 0 END, 3) AS der FROM der WHERE record_id IN (SELECT record_id FROM hy)""")
 def mapped_der(spark, sf_dir):
     ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
     moved = ev.withColumn("start_s", F.col("start_s") + 600).withColumn("speaker", F.upper("speaker"))
@@ -287,10 +369,13 @@ def mapped_der(spark, sf_dir):
     return out.select("record_id", *(F.round(c, 3).alias(c) for c in out.columns[1:]))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_DER_SQL.format(shift=300)}, t AS (SELECT sum(reference_s) AS reference_s, sum(miss_s) AS miss_s, sum(false_alarm_s) AS false_alarm_s, sum(confusion_s) AS confusion_s FROM der WHERE record_id IN (SELECT record_id FROM hy))
+SELECT round(reference_s, 3) AS reference_s, round(miss_s, 3) AS miss_s, round(false_alarm_s, 3) AS false_alarm_s, round(confusion_s, 3) AS confusion_s, round(miss_s / reference_s, 3) AS miss_rate,
+  round(false_alarm_s / reference_s, 3) AS false_alarm_rate, round(confusion_s / reference_s, 3) AS confusion_rate, round((miss_s + false_alarm_s + confusion_s) / reference_s, 3) AS der FROM t""")
 def mapped_der_total(spark, sf_dir):
     ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
-    out = diarization.total_error(diarization.error_by_record(ev, ev.withColumn("speaker", F.upper("speaker"))))
+    moved = ev.withColumn("start_s", F.col("start_s") + 300).withColumn("speaker", F.upper("speaker")).filter("end_s > start_s")
+    out = diarization.total_error(diarization.error_by_record(ev, moved))
     return out.select(*(F.round(c, 3).alias(c) for c in out.columns))
 
 
@@ -305,19 +390,25 @@ def conv_word_spans(spark, sf_dir):
 
 
 @query(f"""WITH {_SPANS}, x AS (SELECT record_id, turn, s, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM sp),
-m AS (SELECT *, (s + i * (10.0::DOUBLE / n) + s + (i + 1) * (10.0::DOUBLE / n)) * 0.5 - s AS mid FROM x)
-SELECT record_id, turn, count(*) AS kept FROM m WHERE NOT (round(mid, 6) >= 2 AND round(mid, 6) < 4) GROUP BY 1, 2""")
+m AS (SELECT record_id, turn, word, i, 0.5::DOUBLE * (s + i * (10.0::DOUBLE / n) + (s + (i + 1) * (10.0::DOUBLE / n))) AS mid, s FROM x),
+k AS (SELECT record_id, turn, string_agg(word, ' ' ORDER BY i) AS kept FROM m WHERE NOT (mid >= s + 2.013 AND mid < s + 4.027) GROUP BY 1, 2)
+SELECT sp.record_id, sp.turn, coalesce(kept, '') AS kept FROM sp LEFT JOIN k USING (record_id, turn)""")
 def conv_mask(spark, sf_dir):
-    rows = turn_words(spark, sf_dir)
-    base = F.col("start_s")
-    moved = F.transform("words", lambda w: F.struct(F.round(w["start_s"] - base, 6).alias("start_s"), F.round(w["end_s"] - base, 6).alias("end_s"), w["word"].alias("word")))
-    spans = F.array(F.struct(F.lit(2.0).alias("start_s"), F.lit(4.0).alias("end_s")))
-    kept = F.filter(moved, lambda w: ~((F.round(0.5 * (w["start_s"] + w["end_s"]), 6) >= 2) & (F.round(0.5 * (w["start_s"] + w["end_s"]), 6) < 4)))
-    del spans
-    return rows.select("record_id", "turn", F.size(kept).cast("long").alias("kept")).filter("kept > 0")
+    """Words of each turn outside of a masked stretch."""
+    spans = F.array(F.struct((F.col("start_s") + 2.013).alias("start_s"), (F.col("start_s") + 4.027).alias("end_s")))
+    kept = intervals.mask_words(F.col("words"), spans)
+    return turn_words(spark, sf_dir).select("record_id", "turn", chunks.transcript(kept).alias("kept"))
 
 
-@query()
+_NBEST = f"""nb AS (SELECT conv_id::VARCHAR AS chunk_id, turn, text, {_words('text')} AS w, exp(-0.05::DOUBLE * turn - max(-0.05::DOUBLE * turn) OVER (PARTITION BY conv_id)) AS mass FROM conversations),
+pr AS (SELECT *, mass / sum(mass) OVER (PARTITION BY chunk_id) AS pm FROM nb),
+pd AS MATERIALIZED (SELECT x.chunk_id, x.turn AS t, y.turn AS u, x.w AS a, y.w AS b, x.pm AS pa, y.pm AS pb, {_edits("x.w", "y.w")} AS d FROM pr x JOIN pr y ON x.chunk_id = y.chunk_id AND x.turn < y.turn),
+pe AS (SELECT chunk_id, t AS turn, pb * CASE WHEN len(a) = 0 THEN least(len(b), 1) ELSE d / len(a)::DOUBLE END AS e FROM pd
+  UNION ALL SELECT chunk_id, u, pa * CASE WHEN len(b) = 0 THEN least(len(a), 1) ELSE d / len(b)::DOUBLE END FROM pd),
+ri AS (SELECT pr.chunk_id, pr.turn, any_value(text) AS text, round(coalesce(sum(e), 0), 12) AS risk FROM pr LEFT JOIN pe ON pr.chunk_id = pe.chunk_id AND pr.turn = pe.turn GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_NBEST} SELECT chunk_id, arg_min(text, struct_pack(r := risk, t := turn)) AS text, round(min(risk), 6) AS risk FROM ri GROUP BY chunk_id")
 def mbr_pick(spark, sf_dir):
     return chunks.minimum_risk(nbest(spark, sf_dir)).withColumn("risk", F.round("risk", 6))
 
@@ -326,9 +417,6 @@ def mbr_pick(spark, sf_dir):
 FROM conversations GROUP BY conv_id""")
 def rescore_pick(spark, sf_dir):
     rows = nbest(spark, sf_dir).withColumn("lm", -0.3 * F.length("text"))
-    n_words = F.size(text.tokens(F.col("text")))
-    total = F.round(F.col("score") + 0.5 * F.col("lm") / F.ln(F.lit(10.0)) + 1.5 * n_words, 9)
-    del total
     return chunks.rescore(rows).select("chunk_id", "text")
 
 
@@ -359,8 +447,8 @@ def lexicon_topn(spark, sf_dir):
     return lexicon.build_lexicon(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["lang", "source"]).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_LEX}, c AS (SELECT word, count(*) AS n FROM x GROUP BY 1 HAVING count(*) >= 50)
-SELECT row_number() OVER (ORDER BY n DESC, word) AS rank, word, n FROM c ORDER BY n DESC, word LIMIT 32""")
+@query(f"""WITH {_LEX}, c AS (SELECT word, count(*) AS n, min(struct_pack(d := doc_id, p := pos)) AS f FROM x GROUP BY 1 HAVING count(*) >= 50)
+SELECT row_number() OVER (ORDER BY n DESC, f) AS rank, word, n FROM c ORDER BY n DESC, f LIMIT 32""")
 def universal_words(spark, sf_dir):
     return lexicon.universal_words(table(spark, sf_dir, "documents"))
 
@@ -450,21 +538,40 @@ def ahc_clusters(spark, sf_dir):
     return embed.cluster(table(spark, sf_dir, "embeddings"), "label", threshold=0.9)
 
 
-@query()
+_GRADES = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, {limit}::DOUBLE AS threshold, round({n.lower()}, 6) AS measured, {n.lower()} {sign} {limit} AS passed FROM m" for n, _, sign, limit in report.EXPECTATIONS
+)
+
+
+@query(f"""WITH {_NORM_PAIRS}, e AS (SELECT record_id, {_NORM_ERRORS} AS errors, len(a) AS words, turn FROM np),
+r AS (SELECT record_id::BIGINT AS id, sum(errors) / greatest(sum(words), 1)::DOUBLE AS wer, count(*) * 15.0::DOUBLE AS dur FROM e GROUP BY record_id),
+x AS (SELECT *, id % 2 AS cs, CASE WHEN id % 4 = 3 THEN '_' ELSE 'acc' || id % 3 END AS acc, CASE WHEN id % 7 = 0 THEN '' ELSE 'x' END AS hyp, id % 5 = 0 AS music,
+  CASE WHEN id % 3 = 0 THEN wer * 0.9 END AS rm, CASE WHEN id % 3 = 0 THEN wer END AS nrm, wer * 0.5 AS v, wer * 0.6 AS nv, wer * 0.4 AS der, wer * 0.3 AS snapped FROM r),
+ac AS (SELECT acc, avg(wer) AS mw FROM x WHERE cs = 0 AND acc <> '_' GROUP BY acc),
+m AS (SELECT avg(wer) FILTER (cs = 0) AS h1, avg(wer) FILTER (cs <> 0) - avg(wer) FILTER (cs = 0) AS h2, (SELECT CASE WHEN count(*) >= 2 THEN max(mw) - min(mw) END FROM ac) AS h3,
+  count(*) FILTER (dur >= 60 AND hyp <> '' AND wer < 1) / nullif(count(*) FILTER (dur >= 60), 0)::DOUBLE AS h4, avg(nrm - rm) FILTER (music) AS h5, avg(nv - v) AS h6, avg(der) AS h_sd, avg(der - snapped) AS h_snap FROM x)
+SELECT * FROM ({_GRADES}) WHERE measured IS NOT NULL""")
 def hypothesis_report(spark, sf_dir):
-    pairs = score.corpus_wer(turn_pairs(spark, sf_dir), ["record_id"])
-    rows = pairs.select(
-        "record_id", F.col("wer").alias("normalized_wer"), F.col("wer").alias("raw_wer"), (F.col("record_id").cast("int") % 2).alias("code_switch_count"),
-        F.concat(F.lit("acc"), F.col("record_id").cast("int") % 3).alias("accent_majority"), F.lit(75.0).alias("duration_s"), F.lit("x").alias("hyp_text"),
+    """Grades of conversations whose further measures derive from their number and error rate."""
+    pairs = score.scored_pairs(turn_pairs(spark, sf_dir))
+    rows = pairs.groupBy("record_id").agg(score.rate().alias("wer"), (F.count(F.lit(1)) * 15.0).alias("duration_s")).withColumn("id", F.col("record_id").cast("long"))
+    wer, of = F.col("wer"), lambda k: F.col("id") % k
+    rows = rows.select(
+        "record_id", wer.alias("normalized_wer"), wer.alias("raw_wer"), of(2).alias("code_switch_count"), "duration_s", (of(5) == 0).alias("has_music_interlude"),
+        F.when(of(4) == 3, "_").otherwise(F.concat(F.lit("acc"), of(3))).alias("accent_majority"), F.when(of(7) == 0, "").otherwise("x").alias("hyp_text"),
+        F.when(of(3) == 0, wer * 0.9).alias("route_music_wer"), F.when(of(3) == 0, wer).alias("no_route_music_wer"), (wer * 0.5).alias("vad_wer"), (wer * 0.6).alias("no_vad_wer"),
+        (wer * 0.4).alias("der"), (wer * 0.3).alias("der_snapped"),
     )
-    return report.grade(rows).withColumn("measured", F.round("measured", 6))
+    return report.grade(rows).select("name", "threshold", F.round("measured", 6).alias("measured"), "passed")
+
+
+_LISTED = ("src1", "src2", "src5")
 
 
-@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-o AS (SELECT doc_id FROM r WHERE rn > 10 ORDER BY doc_id LIMIT 25)
-SELECT doc_id, source, source AS quota_group FROM r WHERE rn <= 10 UNION ALL SELECT doc_id, source, 'other' FROM r WHERE doc_id IN (SELECT doc_id FROM o)""")
+@query(f"""WITH r AS (SELECT doc_id, source, CASE WHEN source IN {_LISTED} THEN source ELSE 'other' END AS g FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) AS rn FROM r) SELECT doc_id, source, g AS quota_group FROM n WHERE rn <= CASE WHEN g = 'other' THEN 25 ELSE 10 END""")
 def quota_docs(spark, sf_dir):
-    return select.quota(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", F.col("doc_id"), 10, other_cap=25)
+    return select.quota(table(spark, sf_dir, "documents").select("doc_id", "source"), F.col("source"), F.col("doc_id"), _LISTED, 10, other_cap=25)
 
 
 @query("""SELECT doc_id::VARCHAR AS record_id, 'missing' AS kind FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
