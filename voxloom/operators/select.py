@@ -168,3 +168,39 @@ def id_differences(have: DataFrame, want: DataFrame, key: str = "record_id") ->
     """(record, kind): ids that are missing from ``have`` or that it has beyond ``want``."""
     a, b = have.select(key).distinct(), want.select(key).distinct()
     return b.join(a, key, "left_anti").withColumn("kind", F.lit("missing")).unionByName(a.join(b, key, "left_anti").withColumn("kind", F.lit("extra")))
+
+
+def of_kind(rows: DataFrame, kind: str | None = None, split: str | None = None) -> DataFrame:
+    """Rows of a manifest of one kind, one split, or both."""
+    for column, value in (("kind", kind), ("split", split)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows
+
+
+def allow_records(rows: DataFrame, record_ids: list[str] | None, key: str = "record_id") -> DataFrame:
+    """Rows of the given records; none given: all rows."""
+    return rows.filter(F.col(key).isin(*record_ids)) if record_ids else rows
+
+
+def with_manifest(results: DataFrame, manifest: DataFrame, columns: list[str], key: str = "segment_id") -> DataFrame:
+    """results with columns of the manifest; nulls where it doesn't have the row."""
+    return results.join(manifest.select(key, *columns), key, "left")
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame, columns: list[str], key: str = "record_id", default: str = "?") -> DataFrame:
+    """rows with text columns of the metadata; the default where a record or a value is missing."""
+    joined = rows.join(metadata.select(key, *columns), key, "left")
+    return joined.select(*rows.columns, *(F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c) for c in columns))
+
+
+def top_tags(tags: Column, scores: Column, most: int = 50) -> Column:
+    """The pairs (tag, score) of highest score, highest first (ties: the earlier one)."""
+    pairs = F.transform(F.arrays_zip(tags.alias("tag"), scores.alias("score")), lambda p, i: F.struct((-p["score"]).alias("by"), i.alias("at"), p["tag"].alias("tag"), p["score"].alias("score")))
+    return F.transform(F.slice(F.array_sort(pairs), 1, most), lambda p: F.struct(p["tag"].alias("tag"), p["score"].alias("score")))
+
+
+def bench_rows(rows: DataFrame, source: str, **renamed: str) -> DataFrame:
+    """Evaluation rows: columns renamed (new=old), the source's tag and the split ``bench`` added."""
+    picked = [F.col(old).alias(new) for new, old in renamed.items()]
+    return rows.select(*picked, F.lit(source).alias("source"), F.lit("bench").alias("split"))

@@ -105,6 +105,31 @@ def spectral_udf(content: pd.Series) -> pd.Series:
     return content.map(lambda c: spectral_features(wav.load_mono(bytes(c)), wav.RATE))
 
 
+@F.pandas_udf(T.StructType([T.StructField("rms_dbfs", T.DoubleType()), T.StructField("silence", T.DoubleType())]))
+def loudness_udf(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([loudness(wav.load_mono(bytes(c)), wav.RATE) for c in content], columns=["rms_dbfs", "silence"])
+
+
+_CHUNK = T.StructType([
+    T.StructField("chunk_id", T.StringType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("snr_db", T.DoubleType()),
+    T.StructField("features", T.ArrayType(T.DoubleType())),
+])
+
+
+@F.arrow_udf(T.ArrayType(_CHUNK))
+def chunk_features_udf(content, chunks):
+    """Signal-to-noise ratio (through float32) and spectral features of each chunk (chunk_id, start_s, end_s) of a recording."""
+    import pyarrow as pa
+
+    out = []
+    for data, listed in zip(content.to_pylist(), chunks.to_pylist(), strict=True):
+        x = wav.load_mono(data)
+        parts = [(c, wav.cut(x, c["start_s"], c["end_s"])) for c in listed or []]
+        out.append([{**c, "snr_db": float(np.float32(snr_db(y))), "features": spectral_features(y, wav.RATE)} for c, y in parts])
+    fields = [("chunk_id", pa.string()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("snr_db", pa.float64()), ("features", pa.list_(pa.float64()))]
+    return pa.array(out, pa.list_(pa.struct(fields)))
+
+
 def spectral_clusters(rows: DataFrame, features: str = "features", k: int = 5, seed: int = 20260501) -> DataFrame:
     """rows with ``spectral_cluster_id`` by k-means; all 0 where there are fewer rows than clusters."""
     from pyspark.ml.clustering import KMeans

@@ -45,6 +45,25 @@ def enrich(chunk_rows: DataFrame, voiced: DataFrame, labelled: DataFrame) -> Dat
     return rows.withColumn("flagged", select.flag_chunk(F.col("label"), F.col("label_share"), F.col("wada_snr_db"), F.col("snr_p25"), F.col("era_bucket")))
 
 
+def enrich_audio(files: DataFrame, labelled: DataFrame, chunk_s: float = 30.0, overlap_s: float = 1.0, clusters: int = 5) -> DataFrame:
+    """Chunks of recordings with all that is known of them, from (record_id, content, year) and (record_id, start_s, end_s, label).
+
+    Speech is found by energy (a recording without any is one stretch), cut into chunks, and each chunk measured; the audio
+    is decoded once for speech and once for the chunks. Features are grouped by k-means over all chunks.
+    """
+    from voxloom.operators import signal
+    from voxloom.sources import wav
+
+    heard = files.select("record_id", signal.voice_udf("content").alias("v"), wav.probe("content").alias("p"))
+    whole = F.array(F.struct(F.lit(0.0).alias("start_s"), F.col("p.duration_s").alias("end_s")))
+    voiced = heard.select("record_id", F.explode(F.when(F.size("v") > 0, F.col("v")).otherwise(whole)).alias("s")).select("record_id", "s.*")
+    cut = intervals.chunk_intervals(voiced, chunk_s, overlap_s)
+    listed = cut.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "start_s", "end_s"))).alias("chunks"))
+    found = files.join(listed, "record_id").select("record_id", "year", F.explode(signal.chunk_features_udf("content", "chunks")).alias("c")).select("record_id", "year", "c.*")
+    rows = signal.spectral_clusters(found.withColumnRenamed("snr_db", "wada_snr_db"), k=clusters)
+    return enrich(rows, voiced, labelled)
+
+
 @dataclass(frozen=True)
 class Knobs:
     mbr: bool = True

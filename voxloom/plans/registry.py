@@ -29,10 +29,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from voxloom.plans import io_queries  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from voxloom.plans import io_queries  # noqa: F401
+
     return dict(_SQL)
 
 

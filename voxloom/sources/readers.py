@@ -17,7 +17,9 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _record(path: Column) -> Column:
-    return text.stem_prefix(F.url_decode(path))
+    """A record's id: of the folder that the writers made for it, else the file's name up to ``__``."""
+    folder = F.regexp_extract(F.url_decode(path), r"/record_id=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(text.stem_prefix(F.url_decode(path)))
 
 
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +32,15 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
 
 def read_soft_labels(spark: SparkSession, path: str) -> DataFrame:
     """Turns of ``START END SPEAKER: text`` files; lines of another form are skipped. ``also``: speakers embedded as [HS:id."""
-    pattern = r"^\s*([\d.]+)\s+([\d.]+)\s+([^:]+):\s*(.*)$"
-    part = lambda k: F.regexp_extract("value", pattern, k)
-    rows = _lines(spark, path).filter(F.col("value").rlike(pattern))
-    also = F.regexp_extract_all(part(4), F.lit(r"\[HS:([^\s\]]+)"), F.lit(1))
-    return rows.select("record_id", F.col("line").cast("long").alias("line"), part(1).cast("double").alias("start_s"), part(2).cast("double").alias("end_s"), F.trim(part(3)).alias("speaker"), part(4).alias("text"), also.alias("also"))
+    # two numbers, then a speaker up to the first colon, then what was said
+    head, said = F.split_part("value", F.lit(":"), F.lit(1)), F.regexp_replace("value", "^[^:]*:\\s*", "")
+    field = F.split(F.trim(head), r"\s+", 3)
+    number = lambda k: F.get(field, k).try_cast("double")
+    rows = _lines(spark, path).filter(F.col("value").contains(":") & (F.size(field) == 3) & F.get(field, 0).rlike(r"^[\d.]+$") & F.get(field, 1).rlike(r"^[\d.]+$"))
+    also = F.regexp_extract_all(said, F.lit(r"\[HS:([^\s\]]+)"), F.lit(1))
+    return rows.select(
+        "record_id", F.col("line").cast("long").alias("line"), number(0).alias("start_s"), number(1).alias("end_s"), F.trim(F.get(field, 2)).alias("speaker"), said.alias("text"), also.alias("also")
+    )
 
 
 def soft_label_references(turns: DataFrame) -> DataFrame:
@@ -47,10 +53,16 @@ def soft_label_references(turns: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, province, region, date, duration_s) of a table whose columns stand two blanks or more apart; # starts a comment."""
-    pattern = r"^(\S+)\s+(.+?)\s{2,}(.+?)\s{2,}(\d{1,2} de \S+ de \d{4})\s+(\d+:\d+:\d+)\s*$"
-    part = lambda k: F.regexp_extract("value", pattern, k)
-    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & F.col("value").rlike(pattern))
-    return rows.select(part(1).alias("file_id"), part(2).alias("province"), part(3).alias("region"), part(4).alias("date"), text.hms_seconds(part(5)).alias("duration_s"))
+    # from the left the id, from the right duration and date; province and region are what stands between
+    rows = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.trim(F.regexp_replace("value", r"\s+$", "")).alias("value"))
+    words = F.split("value", r"\s+")
+    n = F.size(words)
+    rows = rows.filter((n >= 9) & F.element_at(words, -1).rlike(r"^\d+:\d+:\d+$") & F.array_join(F.slice(words, -6, 5), " ").rlike(r"^\d{1,2} de \S+ de \d{4}$"))
+    date, length = F.array_join(F.slice(words, -6, 5), " "), F.element_at(words, -1)
+    places = F.split(F.trim(F.regexp_replace(F.regexp_replace("value", r"(\s+\S+){6}$", ""), r"^\S+\s+", "")), r"\s{2,}", 2)
+    return rows.filter(F.size(places) == 2).select(
+        F.get(words, 0).alias("file_id"), F.get(places, 0).alias("province"), F.get(places, 1).alias("region"), date.alias("date"), text.hms_seconds(length).alias("duration_s")
+    )
 
 
 def read_segment_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -73,12 +85,17 @@ def read_rules(spark: SparkSession, path: str) -> list[text.DialectRule]:
     ]
 
 
-def read_tsv(spark: SparkSession, path: str, limit: int = 0, order: str | None = None) -> DataFrame:
-    """A table with a header, tabs between columns; limit cuts before anything else is filtered (0: all)."""
+def read_tsv(spark: SparkSession, path: str, limit: int = 0, order: Column | None = None) -> DataFrame:
+    """A table with a header, tabs between columns; limit keeps the first rows by the order, which it needs (0: all)."""
     rows = spark.read.csv(path, sep="\t", header=True, quote="")
-    if limit:
-        rows = (rows.orderBy(order) if order else rows).limit(limit)
-    return rows
+    if limit and order is None:
+        raise ValueError("a limit needs an order: rows of a distributed table have none")
+    return rows.orderBy(order).limit(limit) if limit else rows
+
+
+def read_clips(spark: SparkSession, path: str, clips: DataFrame, order: Column, limit: int = 0, name: str = "path") -> DataFrame:
+    """Rows of a table of clips whose audio is there (clips: the names); the limit cuts first, so fewer rows may be left."""
+    return read_tsv(spark, path, limit, order).join(clips.select(F.col(clips.columns[0]).alias(name)).distinct(), name, "left_semi")
 
 
 def read_meta_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -126,3 +143,14 @@ def vox_manifest(segments: DataFrame, audio: DataFrame, n: int = 0) -> DataFrame
 def numbered(rows: DataFrame, order: Column, out: str = "ordinal") -> DataFrame:
     """rows with a running number by the order."""
     return rows.withColumn(out, F.row_number().over(Window.orderBy(order)) - 1)
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """(province, topic, rank, word) of what writers.write_lexicon has written; universal words have neither province nor topic."""
+    return spark.read.schema("province string, topic string, rank int, word string").json(path)
+
+
+def read_word_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, time_s) of JSON arrays of times, one document a record."""
+    rows = spark.read.text(path, wholetext=True).select(_record(F.col("_metadata.file_path")).alias("record_id"), F.from_json("value", "array<double>").alias("t"))
+    return rows.select("record_id", F.explode("t").alias("time_s"))

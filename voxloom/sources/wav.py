@@ -13,18 +13,25 @@ from pyspark.sql import types as T
 RATE = 16000
 _PROBE = T.StructType([
     T.StructField("rate", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("bits", T.IntegerType()), T.StructField("duration_s", T.DoubleType()),
+    T.StructField("subtype", T.StringType()), T.StructField("format", T.StringType()),
 ])
 
 
-def _header(data: bytes) -> tuple[int, int, int, float]:
-    with wave.open(io.BytesIO(data)) as w:
-        return w.getframerate(), w.getnchannels(), 8 * w.getsampwidth(), w.getnframes() / w.getframerate()
+def _header(data: bytes) -> tuple:
+    """What the header says; nulls for what is no PCM WAV."""
+    try:
+        with wave.open(io.BytesIO(data)) as w:
+            bits = 8 * w.getsampwidth()
+            return w.getframerate(), w.getnchannels(), bits, w.getnframes() / w.getframerate(), f"PCM_{'U' if bits == 8 else ''}{bits}", "WAV"
+    except (wave.Error, EOFError, ZeroDivisionError):
+        return (None,) * 6
 
 
 @F.pandas_udf(_PROBE)
 def probe(content: pd.Series) -> pd.DataFrame:
-    """struct<rate,channels,bits,duration_s> of WAV bytes."""
-    return pd.DataFrame([_header(bytes(c)) for c in content], columns=[f.name for f in _PROBE])
+    """struct<rate,channels,bits,duration_s,subtype,format> of WAV bytes; nulls for other content."""
+    rows = pd.DataFrame([_header(bytes(c)) for c in content], columns=[f.name for f in _PROBE])
+    return rows.astype({"rate": "Int32", "channels": "Int32", "bits": "Int32", "duration_s": "float64"})
 
 
 def resample_linear(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:

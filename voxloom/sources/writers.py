@@ -45,15 +45,40 @@ def write_transcripts(words: DataFrame, path: str, mode: str = "overwrite") -> N
     rows.repartition("record_id").write.mode(mode).partitionBy("record_id").text(path)
 
 
-def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    """A small result as one CSV or JSON file; CSV doubles get six digits."""
+def report_lines(rows: DataFrame, columns: list[str] | None = None, sep: str = ",") -> list[str]:
+    """A small result as text: a header in the given order, doubles with six digits."""
+    columns = columns or rows.columns
+    cell = lambda v: "" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
+    return [sep.join(columns), *(sep.join(cell(r[c]) for c in columns) for r in rows.select(*columns).collect())]
+
+
+def write_report(rows: DataFrame, path: str, kind: str = "csv", columns: list[str] | None = None) -> None:
+    """A small result as one CSV, JSON or TXT file, columns in the given order; CSV and TXT doubles get six digits, TXT is aligned."""
+    rows = rows.select(*(columns or rows.columns))
     if kind == "json":
         rows.coalesce(1).write.mode("overwrite").json(path)
         return
+    if kind == "txt":
+        cells = [line.split("\t") for line in report_lines(rows, sep="\t")]
+        width = [max(map(len, c)) for c in zip(*cells, strict=True)]
+        lines = ["  ".join(v.ljust(w) for v, w in zip(c, width, strict=True)).rstrip() for c in cells]
+        rows.sparkSession.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     cells = [F.format_string("%.6f", c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
     rows.select(*cells).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_by_record(rows: DataFrame, path: str, key: str = "record_id") -> None:
+    """Parquet in one folder a record; a record that is written again replaces its folder only."""
+    rows.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def write_lexicon(lexicon: DataFrame, universal: DataFrame, path: str) -> None:
+    """JSON lines (province, topic, rank, word); universal words without province and topic."""
+    both = universal.select(F.lit(None).cast("string").alias("province"), F.lit(None).cast("string").alias("topic"), F.col("rank").cast("int").alias("rank"), "word")
+    both.unionByName(lexicon.select("province", "topic", F.col("rank").cast("int").alias("rank"), "word")).write.mode("overwrite").json(path)
+
+
 def update_flagged(rows: DataFrame, tags: DataFrame, path: str, key: str = "chunk_id") -> DataFrame:
     """rows with the tags and scores of flagged ones (others get nulls), written to a new path and read back."""
     schemas.require(rows, "flagged")
@@ -70,6 +95,11 @@ def remaining_today(log: DataFrame, track: str, day: str | None = None) -> int:
     return max(0, DAILY_SUBMISSIONS - log.filter((F.col("track") == track) & (F.col("date") == day)).count())
 
 
+def remaining_slots(log: DataFrame) -> DataFrame:
+    """(track, date, remaining) of every track and UTC day in the log."""
+    return log.groupBy("track", "date").agg(F.greatest(F.lit(0), DAILY_SUBMISSIONS - F.count(F.lit(1))).cast("int").alias("remaining"))
+
+
 def record_submission(spark: SparkSession, log_path: str, track: str, package: str, record_ids: list[str], metadata: dict[str, str] | None = None, now: datetime | None = None) -> None:
     """Appends to the JSON log; ValueError when the day's submissions are used up. One driver at a time may call it."""
     now = now or datetime.now(timezone.utc)
