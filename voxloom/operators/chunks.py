@@ -30,62 +30,38 @@ def _mid(word: dict) -> float:
     return 0.5 * (word["start_s"] + word["end_s"])
 
 
-def reconcile(a: list[dict], b: list[dict], centre_a: float, centre_b: float) -> list[dict]:
-    """Two recognitions of the same stretch as one: common words (a longest common subsequence of the lower-cased words) as
-    ``a`` has them; other words where their own chunk's centre is the nearer one (ties: a)."""
-    if not a or not b:
-        return list(a or b)
-    x, y = ([w["word"].lower() for w in side] for side in (a, b))
-    # length[i, j]: common subsequence of the first i and the first j words
-    length = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i, word in enumerate(x):
-        hit = np.array([length[i, j] + 1 if word == other else 0 for j, other in enumerate(y)], np.int32)
-        length[i + 1, 1:] = np.maximum.accumulate(np.maximum(length[i, 1:], hit))
-    picked, i, j = [], len(x), len(y)
-    near_a = lambda w: abs(_mid(w) - centre_a) <= abs(_mid(w) - centre_b)
+def _prefix_lengths(x: list[str], y: list[str]) -> np.ndarray:
+    """length[i, j]: longest common subsequence of the first i words of x and the first j of y, a row at a time."""
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in side]) for side in (x, y))
+    length = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, word in enumerate(a):
+        length[i + 1, 1:] = np.maximum.accumulate(np.maximum(length[i, 1:], np.where(b == word, length[i, :-1] + 1, 0)))
+    return length
+
+
+def reconciled(left: list[dict], right: list[dict], border: float) -> list[tuple[bool, int]]:
+    """What stays of two recognitions of one stretch, as (is it left's, place), in order.
+
+    Words of a longest common subsequence (lower-cased) stay as left has them; other words stay where they lie on their own
+    side of the border, the point as far from one chunk's centre as from the other's (on the border: left's).
+    """
+    x, y = ([w["word"].lower() for w in side] for side in (left, right))
+    length = _prefix_lengths(x, y)
+    kept, i, j = [], len(x), len(y)
     while i or j:
         if i and j and x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
-            picked.append(a[i])
+            kept.append((True, i))
         elif i and (not j or length[i - 1, j] >= length[i, j - 1]):
             i -= 1
-            if near_a(a[i]):
-                picked.append(a[i])
+            if _mid(left[i]) <= border:
+                kept.append((True, i))
         else:
             j -= 1
-            if not near_a(b[j]):
-                picked.append(b[j])
-    return picked[::-1]
-
-
-def merge_record(chunks: list[tuple[float, float, list[dict]]]) -> list[dict]:
-    """One word stream of a record from (start, end, words) chunks: neighbours' overlaps are reconciled."""
-    merged: list[dict] = []
-    before = None
-    for start, end, words in sorted(chunks, key=lambda c: c[0]):
-        if before is None:
-            merged = list(words)
-        elif (stop := min(before[1], end)) <= start:
-            merged += words
-        else:
-            head = next((k for k, w in enumerate(words) if _mid(w) >= stop), len(words))
-            kept, shared = [], []
-            for w in merged:
-                (shared if _mid(w) >= start else kept).append(w)
-            merged = kept + reconcile(shared, list(words[:head]), sum(before) / 2, (start + end) / 2) + list(words[head:])
-        before = (start, end)
-    return merged
-
-
-def merge_chunks(chunks: DataFrame, key: str = "record_id") -> DataFrame:
-    """(record, words) from (record, start_s, end_s, words): a fold over each record's chunks, one record a task at a time."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.start_s, r.end_s, [dict(w) for w in r.words]) for r in group.itertuples()]
-        return pd.DataFrame({"key": [group["key"].iloc[0]], "words": [merge_record(rows)]})
-
-    rows = chunks.select(F.col(key).alias("key"), "start_s", "end_s", "words")
-    return rows.groupBy("key").applyInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, words {WORDS}").withColumnRenamed("key", key)
+            if _mid(right[j]) > border:
+                kept.append((False, j))
+    return kept[::-1]
 
 
 def transcript(words: Column) -> Column:
