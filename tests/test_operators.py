@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -22,6 +23,24 @@ def test_overlap_keeps_the_nearer_chunk():
     assert chunks.merge_record([]) == []
 
 
+def test_stretches_equal_the_plain_fold(spark):
+    rng = random.Random(4)
+    rows = []
+    for record in range(12):
+        t = 0.0
+        for _ in range(rng.randint(1, 7)):
+            size = rng.choice([0.5, 4.0, 10.0, 25.0])
+            words = sorted((w(rng.choice("abcd"), at, at + 0.4) for at in (t + rng.uniform(-0.5, size + 3) for _ in range(rng.randint(0, 12)))), key=lambda x: x["start_s"])
+            rows.append((f"r{record}", t, t + size, words))
+            t += rng.choice([0.5, 2.0, size * 0.8, size, size + 2])
+    rows.append(("none", 0.0, 1.0, None))
+    df = spark.createDataFrame(rows, f"record_id string, start_s double, end_s double, words {chunks.WORDS}")
+    got = {r.record_id: [x.asDict() for x in r.words] for r in chunks.merge_chunks(df).collect()}
+    want = {k: chunks.merge_record([(a, b, ws or []) for r, a, b, ws in rows if r == k]) for k in {r[0] for r in rows}}
+    assert got == want
+    assert chunks.merge_chunks(df.limit(0)).collect() == []
+
+
 def test_fusion_ablation(spark):
     got = [(round(r.raw_wer, 9), round(r.normalized_wer, 9), round(r.der, 6)) for r in pipelines.fusion_ablation(spark).collect()]
     assert got == [(0.3, 0.2, 0.046154), (0.2, 0.1, 0.046154), (0.1, 0.0, 0.046154), (0.0, 0.0, 0.046154), (0.0, 0.0, 0.0)]

@@ -40,12 +40,15 @@ def _prefix_lengths(x: list[str], y: list[str]) -> np.ndarray:
     return length
 
 
-def reconciled(left: list[dict], right: list[dict], border: float) -> list[tuple[bool, int]]:
+def reconciled(left: list[dict], right: list[dict], left_centre: float, right_centre: float) -> list[tuple[bool, int]]:
     """What stays of two recognitions of one stretch, as (is it left's, place), in order.
 
-    Words of a longest common subsequence (lower-cased) stay as left has them; other words stay where they lie on their own
-    side of the border, the point as far from one chunk's centre as from the other's (on the border: left's).
+    Words of a longest common subsequence (lower-cased) stay as left has them; other words stay where their own chunk's
+    centre is the nearer one (as near: left's). Where one side has no words, the other stays whole.
     """
+    if not left or not right:
+        return [(bool(left), k) for k in range(len(left or right))]
+    lefts = lambda w: abs(_mid(w) - left_centre) <= abs(_mid(w) - right_centre)
     x, y = ([w["word"].lower() for w in side] for side in (left, right))
     length = _prefix_lengths(x, y)
     kept, i, j = [], len(x), len(y)
@@ -55,15 +58,73 @@ def reconciled(left: list[dict], right: list[dict], border: float) -> list[tuple
             kept.append((True, i))
         elif i and (not j or length[i - 1, j] >= length[i, j - 1]):
             i -= 1
-            if _mid(left[i]) <= border:
+            if lefts(left[i]):
                 kept.append((True, i))
         else:
             j -= 1
-            if _mid(right[j]) > border:
+            if not lefts(right[j]):
                 kept.append((False, j))
     return kept[::-1]
 
 
+def merge_record(spans: list[tuple[float, float, list[dict]]]) -> list[dict]:
+    """One word stream of (start, end, words) in order of start: what a chunk shares with the one before is reconciled."""
+    said = list(spans[0][2]) if spans else []
+    for (a, b, _), (start, end, words) in zip(spans, spans[1:]):
+        stop = min(b, end)
+        if stop <= start:
+            said += words
+            continue
+        n = next((k for k, w in enumerate(words) if _mid(w) >= stop), len(words))
+        left = [w for w in said if _mid(w) >= start]
+        stay = reconciled(left, words[:n], (a + b) / 2, (start + end) / 2)
+        said = [w for w in said if _mid(w) < start] + [left[k] if of_left else words[k] for of_left, k in stay] + list(words[n:])
+    return said
+
+
+def _stretch(lead: pd.DataFrame, spans: pd.Series, rest: pd.Series) -> pd.Series:
+    """Words of a stretch of chunks: lead's words come in as far as the first chunk shares them, those from rest on go out."""
+
+    def one(before, each, cut) -> list[dict]:
+        rows = [(r["start_s"], r["end_s"], [dict(w) for w in r["words"]]) for r in each]
+        if before is not None:
+            rows.insert(0, (before["start_s"], before["end_s"], [dict(w) for w in before["words"] if _mid(w) >= rows[0][0]]))
+        said = merge_record(rows)
+        return said if pd.isna(cut) else [w for w in said if _mid(w) < cut]
+
+    leads = lead.to_dict("records")
+    return pd.Series([one(None if pd.isna(b["end_s"]) else b, each, cut) for b, each, cut in zip(leads, spans, rest)], dtype=object)
+
+
+def merge_chunks(chunks: DataFrame, key: str = "record_id") -> DataFrame:
+    """(record, words) from (record, start_s, end_s, words): neighbours' overlaps are reconciled (null words: none).
+
+    A record falls into stretches: one begins wherever all chunks but the last before it have ended, words included, since
+    only that last chunk can then share anything with it. Under even chunking each chunk is a stretch of its own, so that a
+    long record is many short rows for Python. Only records, and not stretches, are shuffled.
+    """
+    none, stretch_words = F.array().cast(WORDS), F.pandas_udf(_stretch, WORDS)
+    rows = chunks.select(F.col(key).alias("key"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), F.coalesce(F.col("words").cast(WORDS), none).alias("words"))
+    order = Window.partitionBy("key").orderBy("start_s", "end_s", "words")
+    span = F.struct("start_s", "end_s", "words")
+    reach = F.greatest("end_s", F.array_max(F.transform("words", lambda w: (w["start_s"] + w["end_s"]) * 0.5)))
+    past = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -2))
+    ahead = F.lead("start_s").over(order)
+    shares = F.least("end_s", F.lead("end_s").over(order)) > ahead
+    rows = rows.withColumn("reach", reach).select(
+        "key", span.alias("span"), F.lag(span).over(order).alias("lead"), F.when(shares, ahead).alias("rest"), F.row_number().over(order).alias("n"),
+        F.coalesce(past >= F.col("start_s"), F.lit(False)).alias("bound"),
+    )
+    rows = rows.withColumn("stretch", F.sum((~F.col("bound")).cast("int")).over(Window.partitionBy("key").orderBy("n")))
+    # a lead that shares nothing stays where it is
+    used = F.least("lead.end_s", "span.end_s") > F.col("span.start_s")
+    rows = rows.withColumn("lead", F.when(used, F.col("lead")))
+    parts = rows.groupBy("key", "stretch").agg(F.min_by("lead", "n").alias("lead"), F.array_sort(F.collect_list(F.struct("n", "span"))).alias("spans"), F.max_by("rest", "n").alias("rest"))
+    said = parts.select("key", "stretch", stretch_words(F.col("lead"), F.transform("spans", lambda s: s["span"]), F.col("rest")).alias("words"))
+    whole = said.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("stretch", "words"))).alias("w"))
+    return whole.select(F.col("key").alias(key), F.flatten(F.transform("w", lambda s: s["words"])).alias("words"))
+
+
 def transcript(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: w["word"]), " ")
 
