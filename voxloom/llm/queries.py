@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import audio, bpe, langid, license_scan, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from voxloom.llm import audio, bpe, langid, license_scan, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 from voxloom.llm.common import crc32_of_id, read_table
 
 
@@ -73,11 +73,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_language_id, op2_simhash, op3_license_scan, op4_bpe, op5_toxicity, op6_mixing, op7_url_filter, op8_media, op9_quality, op10_suffix_dedup,
+            op12_line_dedup,
         )
     }
 
@@ -138,6 +143,15 @@ SELECT page_id, host, path, rule, CASE WHEN CASE WHEN rule IS NULL THEN coalesce
   round(CASE WHEN rule IS NULL THEN score END, 6) AS score FROM r LEFT JOIN s USING (url), th"""
 
 
+_LINES_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, f.key IS NOT NULL AND doc_id <> last AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express: the others need XXH64, kernels or merges."""
-    return {"op7_url_filter": _URL_SQL, "op9_quality": _QUALITY_SQL}
+    return {"op7_url_filter": _URL_SQL, "op9_quality": _QUALITY_SQL, "op12_line_dedup": _LINES_SQL}
