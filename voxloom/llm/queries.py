@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import audio, bpe, langid, license_scan, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from voxloom.llm import audio, bpe, conversations, langid, license_scan, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 from voxloom.llm.common import crc32_of_id, read_table
 
 
@@ -73,6 +73,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, copies = conversations.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, copies=copies)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read_table(spark, sf_dir, "documents"))
 
@@ -82,7 +87,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_language_id, op2_simhash, op3_license_scan, op4_bpe, op5_toxicity, op6_mixing, op7_url_filter, op8_media, op9_quality, op10_suffix_dedup,
-            op12_line_dedup,
+            op11_conversation_repair, op12_line_dedup,
         )
     }
 
@@ -143,6 +148,56 @@ SELECT page_id, host, path, rule, CASE WHEN CASE WHEN rule IS NULL THEN coalesce
   round(CASE WHEN rule IS NULL THEN score END, 6) AS score FROM r LEFT JOIN s USING (url), th"""
 
 
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n))"
+_CRC = "xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def _path(cost: str, label: str, role: str, text: str, tail: str) -> str:
+    """A weight of the repair in SQL: cost, labels and lines to the end, from those after the next step."""
+    line = f"{role} || ':' || {text} || chr(10) || " if role else ""
+    return f"{{'c': {cost} + ({tail}).c, 'a': '{label}' || ({tail}).a, 't': {line}({tail}).t}}"
+
+
+def _row_weight(q: int) -> str:
+    to = conversations.INSERTED[q]
+    keep = " ".join(f"WHEN '{r}' THEN {_path('cut', 'K', 'role', 'text', f'v{n}')}" for r, n in conversations.GRAMMAR[q].items())
+    rerole = _path("3 + cut", "R", f"'{conversations.ROLES[to]}'", "text", f"v{to}")
+    free = f"list_filter([CASE substr(role, 1, 1) {keep} END, {rerole}], lambda x: x IS NOT NULL AND NOT forced)"
+    return f"list_min({free} || [{_path('4', 'D', '', '', f'v{q}')}]) AS w{q}"
+
+
+def _inserted_weight(q: int) -> str:
+    one = conversations.INSERTED[q]
+    two = conversations.INSERTED[one]
+    insert = lambda to, tail: _path("3", "I", f"'{conversations.ROLES[to]}'", "''", tail)
+    return f"list_min([w{q}, {insert(one, f'w{one}')}, {insert(one, insert(two, f'w{two}'))}]) AS v{q}"
+
+
+_INSERTIONS = ", ".join(_inserted_weight(q) for q in range(4))
+_REPAIR_SQL = rf"""WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc),
+h AS (SELECT *, {_CRC} % 20 AS code FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations), crc),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+  unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+n AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  NOT regexp_matches(text, '[^ 	-
+]') AS blank FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+f AS (SELECT *, blank OR again AS forced, CASE WHEN NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END AS cut FROM n),
+s AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (cut > 0) AS truncated, count(*) FILTER (i > 1 AND coalesce(substr(before, 1, 1) || substr(role, 1, 1), '') NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+e AS (SELECT {{'c': 0::BIGINT, 'a': '', 't': ''}} AS w0, {{'c': 1000000000000, 'a': '', 't': ''}} AS w1, {{'c': 1000000000000, 'a': '', 't': ''}} AS w2, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS w3),
+r AS (SELECT s.conv_id, n + 1 AS place, {_INSERTIONS} FROM s, e
+  UNION ALL
+  SELECT conv_id, place, {_INSERTIONS} FROM (SELECT r.conv_id, r.place - 1 AS place, {", ".join(_row_weight(q) for q in range(4))}
+    FROM r JOIN f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.place - 1)),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(regexp_replace(v0.t, '
+\z', ''), '')) AS repaired_sha256
+FROM o LEFT JOIN s ON o.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN r ON o.conv_id IS NOT DISTINCT FROM r.conv_id AND r.place = 1"""
+
+
 _LINES_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
@@ -154,4 +209,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express: the others need XXH64, kernels or merges."""
-    return {"op7_url_filter": _URL_SQL, "op9_quality": _QUALITY_SQL, "op12_line_dedup": _LINES_SQL}
+    return {"op7_url_filter": _URL_SQL, "op9_quality": _QUALITY_SQL, "op11_conversation_repair": _REPAIR_SQL, "op12_line_dedup": _LINES_SQL}
