@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import audio, bpe, conversations, langid, license_scan, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
+from voxloom.llm import audio, bpe, conversations, hard_negatives, langid, license_scan, line_dedup, mixing, quality, simhash, suffix_dedup, toxicity, url_filter
 from voxloom.llm.common import crc32_of_id, read_table
 
 
@@ -82,12 +82,18 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    changed = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=changed)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_language_id, op2_simhash, op3_license_scan, op4_bpe, op5_toxicity, op6_mixing, op7_url_filter, op8_media, op9_quality, op10_suffix_dedup,
-            op11_conversation_repair, op12_line_dedup,
+            op11_conversation_repair, op12_line_dedup, op13_hard_negatives,
         )
     }
 
@@ -207,6 +213,15 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
 
+_NEGATIVES_SQL = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express: the others need XXH64, kernels or merges."""
-    return {"op7_url_filter": _URL_SQL, "op9_quality": _QUALITY_SQL, "op11_conversation_repair": _REPAIR_SQL, "op12_line_dedup": _LINES_SQL}
+    return {"op7_url_filter": _URL_SQL, "op9_quality": _QUALITY_SQL, "op11_conversation_repair": _REPAIR_SQL, "op12_line_dedup": _LINES_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
