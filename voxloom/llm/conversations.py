@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from voxloom.llm.common import bounded_batches, materialize, maybe_broadcast
 
@@ -207,8 +207,12 @@ ORDER = ("turn", "role", "text")
 COUNTS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 
 
+def _with_fields(key: list[StructField], others: str) -> StructType:
+    return StructType([*key, *StructType.fromDDL(others).fields])
+
+
 def _report_schema(conv: DataType) -> StructType:
-    return StructType([StructField("conv", conv), *(StructField(c, LongType()) for c in COUNTS), StructField("audit", StringType()), StructField("repaired_sha256", StringType())])
+    return _with_fields([StructField("conv", conv)], ", ".join(f"{c} long" for c in COUNTS) + ", audit string, repaired_sha256 string")
 
 
 def _gaps(least: int | None, most: int | None, distinct: int) -> int:
@@ -272,11 +276,7 @@ def _planned(parts: DataFrame, conv: DataType) -> tuple[DataFrame, DataFrame]:
         ends = (run.roles[0][:1], run.roles[-1][:1])
         return [(*k, matrix(run.coded), run.blank, run.duplicate, run.truncated, run.illegal(), *ends, *_turn_counts(run.turns))]
 
-    schema = StructType(key)
-    schema = schema.add("m", "array<long>")
-    for c in ("blank", "duplicate", "truncated", "illegal"):
-        schema = schema.add(c, "long")
-    schema = schema.add("opens", "string").add("closes", "string").add("least", "long").add("most", "long").add("distinct", "long")
+    schema = _with_fields(key, "m array<long>, blank long, duplicate long, truncated long, illegal long, opens string, closes string, least long, most long, distinct long")
     sums = materialize(_mapped(rows, ["conv", "seg"], order, summed, schema), "conversation-sums")
 
     def totals(held: pd.DataFrame) -> pd.DataFrame:
@@ -294,9 +294,7 @@ def _planned(parts: DataFrame, conv: DataType) -> tuple[DataFrame, DataFrame]:
             **{c: int(held[c].sum()) for c in ("blank", "duplicate", "truncated")}, "illegal": int(held["illegal"].sum()) + across, "cost": v[0],
         })
 
-    schema = StructType([*key]).add("v", "array<long>").add("last", "boolean")
-    for c in COUNTS:
-        schema = schema.add(c, "long")
+    schema = _with_fields(key, "v array<long>, last boolean, " + ", ".join(f"{c} long" for c in COUNTS))
     plan = materialize(_along(sums, totals, schema), "conversation-plan")
 
     def exits(k: tuple, held: list[tuple]) -> list[tuple]:
@@ -310,7 +308,7 @@ def _planned(parts: DataFrame, conv: DataType) -> tuple[DataFrame, DataFrame]:
         return [(*k, found)]
 
     joined = _by_segment(rows, plan.select("conv", "seg", "v", "last")).select("conv", "seg", *ORDER, "copies", "first", "v", "last")
-    left = _mapped(joined, ["conv", "seg"], order, exits, StructType([*key]).add("exits", "array<int>"))
+    left = _mapped(joined, ["conv", "seg"], order, exits, _with_fields(key, "exits array<int>"))
 
     def entries(held: pd.DataFrame) -> pd.DataFrame:
         state, found = 0, []
@@ -319,7 +317,7 @@ def _planned(parts: DataFrame, conv: DataType) -> tuple[DataFrame, DataFrame]:
             state = int(e[state])
         return pd.DataFrame({"conv": held["conv"], "seg": held["seg"], "entry": found})
 
-    entry = _along(left, entries, StructType([*key]).add("entry", "int"))
+    entry = _along(left, entries, _with_fields(key, "entry int"))
     plan = materialize(_by_segment(plan, entry), "conversation-entries")
     return plan.select("conv", "seg", "v", "last", "entry"), plan.filter("last").select("conv", *COUNTS)
 
@@ -355,7 +353,7 @@ def _large_reports(rows: DataFrame, conv: DataType) -> DataFrame:
         lines = [":".join(x) for step in path if (x := run.line(*step))]
         return [(*k, "".join(s[0] for s in path), "\n".join(lines) if lines else None)]
 
-    pieces = materialize(_edited(parts, plan, piece, StructType([*key]).add("audit", "string").add("body", "string")), "conversation-pieces")
+    pieces = materialize(_edited(parts, plan, piece, _with_fields(key, "audit string, body string")), "conversation-pieces")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of() -> Iterator[tuple]:
@@ -366,7 +364,7 @@ def _large_reports(rows: DataFrame, conv: DataType) -> DataFrame:
             audit, digest = _digest(r[2:] for r in held)
             yield pa.RecordBatch.from_pylist([{"d_conv": k, "audit": audit, "repaired_sha256": digest}], schema=arrow)
 
-    schema = StructType([StructField("d_conv", conv)]).add("audit", "string").add("repaired_sha256", "string")
+    schema = _with_fields([StructField("d_conv", conv)], "audit string, repaired_sha256 string")
     arrow = to_arrow_schema(schema)
     digests = pieces.repartition("conv").sortWithinPartitions("conv", "seg").mapInArrow(stream, schema)
     return totals.join(digests, F.col("conv").eqNullSafe(F.col("d_conv"))).select("conv", *COUNTS, "audit", "repaired_sha256")
@@ -417,7 +415,7 @@ def repaired(
     """The rows of the repaired conversations: id, seg, pos (rows come by seg, pos), edit (K, R or I), turn, role, text."""
     bounded_batches(df.sparkSession)
     kind = df.schema[conv].dataType
-    schema = StructType([StructField("conv", kind)]).add("seg", "long").add("pos", "long").add("edit", "string").add("turn", "long").add("role", "string").add("text", "string")
+    schema = _with_fields([StructField("conv", kind)], "seg long, pos long, edit string, turn long, role string, text string")
     small, large = _split(_prepared(df, conv, turn, role, text, copies), limits)
     small = small.select("conv", *ORDER, "copies", F.lit(None).cast("boolean").alias("first"))
 
