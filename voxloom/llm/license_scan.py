@@ -31,6 +31,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from voxloom.llm.common import bounded_batches, materialize, maybe_broadcast
 
@@ -171,7 +172,8 @@ def own_license(text: str, index: Index, threshold: float = THRESHOLD) -> tuple[
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD, rows: list[tuple[str, int, str]] | None = None) -> DataFrame:
-    """(path, license, similarity, license_words, n_words) of each of (path, text), in one pass over the texts."""
+    """(path, license, similarity, license_words, n_words) of each of (path, text), in one pass over the texts; further columns
+    of files come after these."""
     spark = files.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Index(templates() if rows is None else rows))  # bounded by the templates
@@ -183,9 +185,12 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, rows: list[tupl
             found = [own_license(t, index, threshold) if t else (None, None, 0) for t in texts]
             name, similarity, words = zip(*found, strict=True) if found else ((), (), ())
             columns = [pa.array(name, pa.string()), pa.array(similarity, pa.float64()), pa.array(words, pa.int64()), pa.array([len((t or "").split()) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["path", "license", "similarity", "license_words", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], ["path", "license", "similarity", "license_words", "n_words", *more])
 
-    return files.select("path", "text").mapInArrow(run, "path string, license string, similarity double, license_words long, n_words long")
+    more = [c for c in files.columns if c not in ("path", "text")]
+    files = files.select("path", "text", *more)
+    schema = files.selectExpr("path", "'' AS license", "0D AS similarity", "0L AS license_words", "0L AS n_words", *(f"`{c}`" for c in more)).schema
+    return files.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))
 
 
 def ancestors(path: Column) -> Column:
@@ -195,7 +200,9 @@ def ancestors(path: Column) -> Column:
 
 
 def inherit(placed: DataFrame) -> DataFrame:
-    """(path, license, similarity, license_from, effective_license) from what own_licenses gives, by joins of paths."""
+    """(path, license, similarity, license_from, effective_license) from what own_licenses gives, by joins of paths; further
+    columns of placed come after these."""
+    more = [c for c in placed.columns if c not in ("path", "license", "similarity", "license_words", "n_words")]
     placed = placed.withColumn("home", F.when(F.col("path").isNotNull(), F.get(ancestors(F.col("path")), 0)))
     givers = (
         placed.filter(F.col("license").isNotNull() & F.col("path").isNotNull() & (2 * F.col("license_words") >= F.col("n_words")))
@@ -214,7 +221,7 @@ def inherit(placed: DataFrame) -> DataFrame:
     inherits = F.col("license").isNull() & F.col("h").isNotNull()
     return out.select(
         "path", "license", "similarity", F.when(F.col("license").isNotNull(), F.col("path")).when(inherits, F.col("h.giver")).alias("license_from"),
-        F.coalesce("license", F.col("h.given")).alias("effective_license"),
+        F.coalesce("license", F.col("h.given")).alias("effective_license"), *more,
     )
 
 
@@ -225,9 +232,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """scan over documents, whose path is ``source/lang/doc_id``: (doc_id, license, similarity, license_from, effective_license)."""
-    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
-    path = F.concat(level("source"), F.lit("/"), level("lang"), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    found = scan(docs.select(path.alias("path"), "text"))
-    name = F.element_at(F.split("path", "/"), -1)
-    return found.select(F.nullif(name, F.lit("")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "license", "similarity", "license_from", "effective_license")
+    """scan over documents, whose path is ``source/lang/doc_id`` (with / as %2F and % as %25 in each): (doc_id, license, similarity, license_from, effective_license)."""
+    step = lambda c, none: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit(none)), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    path = F.concat(step("source", "_"), F.lit("/"), step("lang", "_"), F.lit("/"), step("doc_id", ""))
+    rows = docs.select(path.alias("path"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc_id"))
+    found = inherit(materialize(own_licenses(rows), "licenses"))
+    return found.select("doc_id", "license", "similarity", "license_from", "effective_license")

@@ -18,7 +18,7 @@ def vocabulary_path() -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    held_out = crc32_of_id(F.col("doc_id")) % 4 == 2
+    held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False))  # a null id is not held out
     model = langid.train(docs.filter(~held_out).select("text", "lang"))
     found = langid.identify(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -40,7 +40,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    held_out = crc32_of_id(F.col("doc_id")) % 3 == 1
+    held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 3 == 1, F.lit(False))
     model = toxicity.train(docs, labels.filter(~held_out))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

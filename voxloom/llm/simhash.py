@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.common import materialize, maybe_broadcast, bounded_batches
+from voxloom.llm.common import bounded_batches, free_name, materialize, maybe_broadcast
 
 SEED = 42
 BLOCK_ROWS = 8192
@@ -122,8 +122,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array(rows, np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, w]) for w in range(words))], ["id", *(f"w{w}" for w in range(words))])
 
-    schema = "id long, " + ", ".join(f"w{w} long" for w in range(words))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"w{w} long" for w in range(words))
+    return rows.mapInArrow(run, schema)
 
 
 class BitSliced:
@@ -511,8 +512,9 @@ def _set_prints(docs: DataFrame, id_col: str, text_col: str, width: int, words:
             names = ["id", "k0", "k1", "node", "n", *(f"w{w}" for w in range(words)), "keys"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.list_(pa.int64()))], names)
 
-    schema = "id long, k0 long, k1 long, node long, n long, " + "".join(f"w{w} long, " for w in range(words)) + "keys array<long>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), *_row_key(docs), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(id_col).alias("id"), *_row_key(docs), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, k0 long, k1 long, node long, n long, " + "".join(f"w{w} long, " for w in range(words)) + "keys array<long>"
+    return rows.mapInArrow(run, schema)
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -521,11 +523,12 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A row goes only where its own text is in the class of a row that stays, whatever rows share its id.
     """
     rows = materialize(near_duplicate_rows(docs, id_col, text_col, **options), "neardup-rows")
+    n0, n1 = free_name(docs, "k0"), free_name(docs, "k1")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k0", "k1")).alias("row"))
-    gone = rows.join(first.select("row.k0", "row.k1"), ["k0", "k1"], "left_anti").select(F.col("k0").alias("__k0"), F.col("k1").alias("__k1")).distinct()
+    gone = rows.join(first.select("row.k0", "row.k1"), ["k0", "k1"], "left_anti").select(F.col("k0").alias(n0), F.col("k1").alias(n1)).distinct()
     k0, k1 = _row_key(docs)
-    named = docs.select("*", k0.alias("__k0"), k1.alias("__k1"))
-    return named.join(gone, ["__k0", "__k1"], "left_anti").dropDuplicates(["__k0", "__k1"]).select(*docs.columns)
+    named = docs.select("*", k0.alias(n0), k1.alias(n1))
+    return named.join(gone, [n0, n1], "left_anti").dropDuplicates([n0, n1]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
