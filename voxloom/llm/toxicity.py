@@ -148,8 +148,6 @@ class Landmarks:
 
     def near(self, tokens: list[str]) -> None:
         """Fills ``known`` for the tokens: kernel values with each landmark, or None if all are below NEAR."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         parts, owner = [], []
         for k, token in enumerate(tokens):
             for piece in pieces(token):
@@ -265,6 +263,8 @@ class Landmarks:
         low = [t.lower() if t else "" for t in texts]
         bags = [{*t.split(), *spelled(t)} for t in low]
         known = self.known
+        if len(known) > CACHE_WORDS:  # between batches only: all words of this batch must be known below
+            known.clear()
         new = list({w for bag in bags for w in bag if w not in known})
         for i in range(0, len(new), 20_000):
             self.near(new[i : i + 20_000])
@@ -359,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     top = {y: min(2**63 - 1, int(2.0**63 * sample_rows / n)) for y, n in counts.items()}
     turn = F.call_function("shiftrightunsigned", F.xxhash64(F.lit("toxic"), "__id"), F.lit(1))
-    chosen = labels.filter(turn <= F.when(F.col("__y"), F.lit(top[True])).otherwise(F.lit(top[False]))).limit(4 * sample_rows)
+    chosen = labels.filter(turn <= F.when(F.col("__y"), F.lit(top[True])).otherwise(F.lit(top[False]))).orderBy(turn, "__id").limit(4 * sample_rows)
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("t"), "__y").filter("t is not null").collect()
     rows = sorted((r["t"], r["__y"]) for r in rows)
     return fit_texts([t for t, _ in rows], [y for _, y in rows])
