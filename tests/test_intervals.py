@@ -55,8 +55,8 @@ def test_snap(spark):
 def test_outside(spark):
     points = spark.createDataFrame([("r", 15.0), ("r", 45.0), ("r", 75.0), ("r", 60.0), ("q", 45.0)], "record_id string, at double")
     music = spark.createDataFrame([("r", 40.0, 60.0)], "record_id string, start_s double, end_s double")
-    for bin_s in (None, 7.0):
-        assert rows(intervals.outside(points, music, F.col("at"), bin_s=bin_s), "record_id", "at") == [("q", 45.0), ("r", 15.0), ("r", 60.0), ("r", 75.0)]
+    for widths in (None, intervals.Widths(7.0, 70.0), intervals.Widths(0.5, 3.0)):
+        assert rows(intervals.outside(points, music, F.col("at"), widths=widths), "record_id", "at") == [("q", 45.0), ("r", 15.0), ("r", 60.0), ("r", 75.0)]
 
 
 def test_lengths(spark):
@@ -102,3 +102,56 @@ def test_overlap_assignment(spark):
 def test_runs(spark):
     df = spark.createDataFrame([("r", i, i in range(5, 30) or i in range(40, 45)) for i in range(50)], "record_id string, frame int, flag boolean")
     assert rows(intervals.runs(df, 0.01), "start_s", "end_s") == [(0.05, 0.3)]
+
+
+def random_intervals(rng, n, records):
+    """Mostly short ones, some long, some empty or inverted; most of them in one record."""
+    out = []
+    for i in range(n):
+        record = "hot" if rng.random() < 0.9 else rng.choice(records)
+        start = round(rng.uniform(-50, 500), 2)
+        length = rng.choice([rng.uniform(0, 2), rng.uniform(0, 2), rng.uniform(0, 2), 0.0, -1.0, rng.uniform(50, 400), 1000.0])
+        out.append((record, i, start, round(start + length, 2)))
+    return out
+
+
+@pytest.mark.parametrize("widths", [None, intervals.Widths(0.3, 4.0), intervals.Widths(1000.0, 5000.0)])
+def test_pairs_and_points_equal_all_pairs(spark, widths):
+    rng = random.Random(11)
+    a, b = random_intervals(rng, 120, "xyz"), random_intervals(rng, 150, "xyz")
+    a += [("hot", 900, None, 3.0), (None, 901, 1.0, 2.0)]
+    schema = "record_id string, id int, start_s double, end_s double"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    got = [(r.id, r.r_id, round(r.overlap_s, 6)) for r in intervals.overlaps(left, right, widths=widths).collect()]
+    want = [(i, j, round(min(e, f) - max(s, t), 6)) for k, i, s, e in a for m, j, t, f in b if k == m and s is not None and s < f and t < e]
+    assert sorted(got) == sorted(want) and len(want) > 1000
+    free = intervals.outside(left.filter("start_s is not null"), right, F.col("start_s"), widths=widths)
+    assert sorted(r.id for r in free.collect()) == [i for k, i, s, _ in a if s is not None and not any(k == m and t <= s < f for m, _, t, f in b)]
+    assert intervals.overlaps(left.limit(0), right).count() == 0 and intervals.outside(left, right.limit(0), F.col("start_s")).count() == len(a)
+
+
+def test_intervals_are_listed_a_bounded_number_of_times(spark):
+    """A few intervals of a million seconds among many of one second."""
+    rows_ = [("r", float(i), i + 1.0) for i in range(2000)] + [("r", 0.0, 1e6)] * 3
+    df = spark.createDataFrame(rows_, "record_id string, start_s double, end_s double")
+    widths = intervals.Widths.of(df)
+    for left in (True, False):
+        n = df.select(F.sum(F.size(widths.listed(F.col("start_s"), F.col("end_s"), left)))).first()[0]
+        assert n <= 6 * len(rows_)
+    assert intervals.Widths.of(df.limit(0)) == intervals.Widths() and widths.fine == 1.0
+
+
+def test_frames_are_counted_not_listed(spark):
+    rng = random.Random(12)
+    side = lambda: [(rng.choice("pq"), round(rng.uniform(-1, 6), 3), 0.0, rng.choice("ab")) for _ in range(25)]
+    ref, hyp = ([(k, s, round(s + rng.uniform(-0.1, 2), 3), w) for k, s, _, w in side()] for _ in range(2))
+    frames = lambda seg, k, w: {f for x, s, e, y in seg if (x, y) == (k, w) for f in range(max(0, min(500, round(s / 0.01))), max(0, min(500, round(e / 0.01))))}
+    want = []
+    for k in "pq":
+        error = sum(len(frames(ref, k, w) ^ frames(hyp, k, w)) for w in "ab")
+        size = sum(len(frames(ref, k, w)) for w in "ab")
+        want.append((k, error, size))
+    df = lambda x: spark.createDataFrame(x, SEG)
+    assert rows(intervals.frame_error(df(ref), df(hyp), F.lit(5.0)), "record_id", "error_frames", "reference_frames") == want
+    days = df([("r", 0.0, 1e9, "a")])
+    assert rows(intervals.frame_error(days, days.withColumn("end_s", F.lit(1e9 - 5)), F.lit(1e9)), "error_frames", "reference_frames") == [(500, 100_000_000_000)]

@@ -1,7 +1,7 @@
 """Interval algebra over timelines: half-open intervals [start_s, end_s) keyed by a record.
 
-Every join carries the record key, so it is an equi join with a residual. Where records hold very many intervals, the
-binned variants add a time bin to the key: each interval is listed in the bins that it touches.
+Every join carries the record key and a bin of time (``interval_join``), so that a record with most of all intervals is
+dealt over tasks like any others.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.operators import interval_join
+from voxloom.operators.interval_join import Widths
+
 MIN_SEGMENT_S = 0.20
 MERGE_GAP_S = 0.50
 SNAP_RADIUS_S = 0.20
@@ -18,16 +21,9 @@ def midpoint(start: str = "start_s", end: str = "end_s") -> Column:
     return 0.5 * (F.col(start) + F.col(end))
 
 
-def outside(points: DataFrame, intervals: DataFrame, at: Column, key: str = "record_id", bin_s: float | None = None) -> DataFrame:
+def outside(points: DataFrame, intervals: DataFrame, at: Column, key: str = "record_id", widths: Widths | None = None) -> DataFrame:
     """Rows of points whose time lies in no interval of their record (point-in-interval anti join)."""
-    spans = intervals.select(F.col(key).alias("__k"), F.col("start_s").alias("__s"), F.col("end_s").alias("__e"))
-    rows = points.withColumn("__at", at)
-    inside = (F.col(key) == F.col("__k")) & (F.col("__at") >= F.col("__s")) & (F.col("__at") < F.col("__e"))
-    if bin_s:
-        spans = spans.filter("__e > __s").withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / bin_s), F.floor(F.col("__e") / bin_s))))
-        rows = rows.withColumn("__bin", F.floor(F.col("__at") / bin_s))
-        inside = inside & (F.col("__bin") == F.col("__b"))
-    return rows.join(spans, inside, "left_anti").drop("__at", "__bin")
+    return interval_join.outside(points, intervals, at, key, widths)
 
 
 def mask_words(words: Column, intervals: Column) -> Column:
@@ -35,11 +31,10 @@ def mask_words(words: Column, intervals: Column) -> Column:
     return F.filter(words, lambda w: ~F.exists(intervals, lambda i: (0.5 * (w.start_s + w.end_s) >= i.start_s) & (0.5 * (w.start_s + w.end_s) < i.end_s)))
 
 
-def overlaps(left: DataFrame, right: DataFrame, key: str = "record_id") -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, key: str = "record_id", widths: Widths | None = None) -> DataFrame:
     """Pairs of overlapping intervals with ``overlap_s``; right's columns get the prefix ``r_``."""
-    other = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    hit = (F.col(key) == F.col(f"r_{key}")) & (F.col("start_s") < F.col("r_end_s")) & (F.col("r_start_s") < F.col("end_s"))
-    return left.join(other, hit).withColumn("overlap_s", F.least("end_s", "r_end_s") - F.greatest("start_s", "r_start_s"))
+    pairs = interval_join.overlapping(left, right, key, widths=widths)
+    return pairs.withColumn("overlap_s", F.least("end_s", "r_end_s") - F.greatest("start_s", "r_start_s"))
 
 
 def coverage_ratio(chunks: DataFrame, spans: DataFrame, id_col: str = "chunk_id", key: str = "record_id", out: str = "speech_ratio") -> DataFrame:
@@ -190,18 +185,22 @@ def frame_error(reference: DataFrame, hypothesis: DataFrame, duration_s: Column,
     """(record, error_frames, reference_frames, rate): frames and speakers that one side has alone, by the reference's.
 
     A confused frame counts twice. Bounds round half to even; frames lie within the record's duration. Nothing is mapped.
+    Frames are counted between the bounds of a speaker's segments, so that rows grow with segments and not with time.
     """
 
-    def frames(df: DataFrame, side: str) -> DataFrame:
+    def steps(df: DataFrame, side: str) -> DataFrame:
         n = F.rint(duration_s / frame_s).cast("long")
         first, last = (F.least(F.greatest(F.rint(F.col(c) / frame_s).cast("long"), F.lit(0).cast("long")), n) for c in ("start_s", "end_s"))
         rows = df.select(F.col(key).alias("k"), F.col("speaker").alias("who"), first.alias("a"), last.alias("b")).filter("b > a")
-        return rows.select("k", "who", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("f")).distinct().withColumn(side, F.lit(1))
-
-    both = frames(reference, "r").join(frames(hypothesis, "h"), ["k", "who", "f"], "full_outer")
-    out = both.groupBy(F.col("k").alias(key)).agg(
-        F.sum((F.col("r").isNull() | F.col("h").isNull()).cast("long")).alias("error_frames"), F.count("r").alias("reference_frames")
-    )
+        rows = rows.select("k", "who", F.explode(F.array(F.struct(F.col("a").alias("f"), F.lit(1).alias("d")), F.struct(F.col("b").alias("f"), F.lit(-1).alias("d")))).alias("x"))
+        return rows.select("k", "who", "x.f", *(F.col("x.d").alias(c) if c == side else F.lit(0).alias(c) for c in ("r", "h")))
+
+    both = steps(reference, "r").unionByName(steps(hypothesis, "h")).groupBy("k", "who", "f").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
+    order = Window.partitionBy("k", "who").orderBy("f")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    between = both.select("k", (F.lead("f").over(order) - F.col("f")).alias("n"), (F.sum("r").over(upto) > 0).alias("r"), (F.sum("h").over(upto) > 0).alias("h"))
+    count = lambda some: F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).cast("long")
+    out = between.groupBy(F.col("k").alias(key)).agg(count(F.col("r") != F.col("h")).alias("error_frames"), count(F.col("r")).alias("reference_frames"))
     return out.withColumn("rate", F.when(F.col("reference_frames") == 0, 0.0).otherwise(F.col("error_frames") / F.col("reference_frames")))
 
 

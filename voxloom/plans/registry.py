@@ -284,8 +284,36 @@ def ev_point_in_interval_anti(spark, sf_dir):
 
 @query(_SQL["ev_point_in_interval_anti"])
 def ev_point_in_interval_binned(spark, sf_dir):
+    """Widths of bins by hand: four hours for short intervals, ten days for long ones."""
     ev = events(spark, sf_dir)
-    return intervals.outside(ev.filter("speaker = 'click'"), ev.filter("speaker = 'error'"), 0.5 * (F.col("start_s") + F.col("end_s")), bin_s=14400.0).select("record_id", "event_id")
+    widths = intervals.Widths(14_400.0, 864_000.0)
+    return intervals.outside(ev.filter("speaker = 'click'"), ev.filter("speaker = 'error'"), 0.5 * (F.col("start_s") + F.col("end_s")), widths=widths).select("record_id", "event_id")
+
+
+_WHOLE = "wh AS (SELECT 'all' AS record_id, event_id, speaker, start_s, CASE WHEN event_id % 100 = 0 THEN start_s + 86400 ELSE end_s END AS end_s FROM ev)"
+
+
+@query(f"""WITH {EVENTS_SQL}, {_WHOLE}, o AS (SELECT c.event_id, e.event_id AS other, least(c.end_s, e.end_s) - greatest(c.start_s, e.start_s) AS overlap_s
+  FROM wh c JOIN wh e ON c.speaker = 'view' AND e.speaker = 'error' AND c.start_s < e.end_s AND e.start_s < c.end_s)
+SELECT event_id, count(*) AS n, min(other) AS first, max(other) AS last, round(sum(overlap_s), 2) AS overlap_s FROM o GROUP BY event_id""")
+def ev_overlaps_of_one_record(spark, sf_dir):
+    """All events as one record's, every hundredth a day long: overlaps of views with errors."""
+    ev = events(spark, sf_dir).withColumn("record_id", F.lit("all"))
+    ev = ev.withColumn("end_s", F.when(F.col("event_id") % 100 == 0, F.col("start_s") + 86_400).otherwise(F.col("end_s")))
+    cols = ["record_id", "event_id", "start_s", "end_s"]
+    pairs = intervals.overlaps(ev.filter("speaker = 'view'").select(cols), ev.filter("speaker = 'error'").select(cols))
+    return pairs.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("r_event_id").alias("first"), F.max("r_event_id").alias("last"), F.round(F.sum("overlap_s"), 2).alias("overlap_s")
+    )
+
+
+@query(f"""WITH {EVENTS_SQL}, {_WHOLE} SELECT event_id FROM wh c WHERE speaker = 'click' AND NOT EXISTS (SELECT 1 FROM wh e
+  WHERE e.speaker = 'error' AND e.event_id % 100 <> 0 AND (c.start_s + c.end_s) * 0.5 >= e.start_s AND (c.start_s + c.end_s) * 0.5 < e.end_s)""")
+def ev_points_outside_one_record(spark, sf_dir):
+    """Clicks that no error of whatever user covers, days of errors left out."""
+    ev = events(spark, sf_dir).withColumn("record_id", F.lit("all"))
+    ev = ev.withColumn("end_s", F.when(F.col("event_id") % 100 == 0, F.col("start_s") + 86_400).otherwise(F.col("end_s")))
+    return intervals.outside(ev.filter("speaker = 'click'"), ev.filter("speaker = 'error' and event_id % 100 <> 0"), 0.5 * (F.col("start_s") + F.col("end_s"))).select("event_id")
 
 
 @query(f"""WITH {EVENTS_SQL}, s AS (SELECT record_id, event_id, start_s, end_s FROM ev WHERE speaker = 'purchase'),
@@ -340,12 +368,28 @@ j AS (SELECT coalesce(r.record_id, h.record_id) AS record_id, r.f AS rf, h.f AS
 SELECT record_id, count(*) FILTER (rf IS NULL OR hf IS NULL) AS error_frames, count(rf) AS reference_frames,
   round(CASE WHEN count(rf) = 0 THEN 0 ELSE count(*) FILTER (rf IS NULL OR hf IS NULL) / count(rf)::DOUBLE END, 6) AS rate FROM j GROUP BY record_id""")
 def frame_der(spark, sf_dir):
+    """At frames of 300 s."""
     ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
     moved = ev.withColumn("start_s", F.col("start_s") + 600).withColumn("end_s", F.col("end_s") + 600)
     out = intervals.frame_error(ev, moved, F.lit(1e9), frame_s=300.0)
     return out.select("record_id", "error_frames", "reference_frames", F.round("rate", 6).alias("rate"))
 
 
+@query(f"""WITH {EVENTS_SQL}, sd AS (SELECT record_id, speaker, start_s, end_s, 0 AS side FROM ev UNION ALL SELECT record_id, speaker, start_s + 0.014, end_s + 0.014, 1 FROM ev),
+fr AS (SELECT record_id, speaker, side, least(greatest(round_even(start_s / 0.01::DOUBLE, 0)::BIGINT, 0), 100000000000) AS a, least(greatest(round_even(end_s / 0.01::DOUBLE, 0)::BIGINT, 0), 100000000000) AS b FROM sd),
+ok AS (SELECT * FROM fr WHERE b > a), cu AS (SELECT record_id, speaker, a AS t FROM ok UNION SELECT record_id, speaker, b FROM ok),
+el AS (SELECT *, lead(t) OVER (PARTITION BY record_id, speaker ORDER BY t) AS u FROM cu),
+co AS (SELECT el.record_id, el.speaker, t, u, bool_or(side = 0) AS r, bool_or(side = 1) AS h FROM el JOIN ok USING (record_id, speaker) WHERE a <= t AND b >= u GROUP BY ALL)
+SELECT record_id, sum(u - t) FILTER (r <> h)::BIGINT AS error_frames, sum(u - t) FILTER (r)::BIGINT AS reference_frames, round(sum(u - t) FILTER (r <> h) / (sum(u - t) FILTER (r))::DOUBLE, 6) AS rate
+FROM co GROUP BY record_id""")
+def frame_der_fine(spark, sf_dir):
+    """At frames of 0.01 s, against events that come 0.014 s late: minutes of events are millions of frames."""
+    ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
+    moved = ev.withColumn("start_s", F.col("start_s") + 0.014).withColumn("end_s", F.col("end_s") + 0.014)
+    out = intervals.frame_error(ev, moved, F.lit(1e9), frame_s=0.01)
+    return out.select("record_id", "error_frames", "reference_frames", F.round("rate", 6).alias("rate"))
+
+
 _DER_SQL = f"""{EVENTS_SQL}, rf AS (SELECT record_id, speaker, start_s, end_s FROM ev), hy AS (SELECT record_id, upper(speaker) AS speaker, start_s + {{shift}} AS start_s, end_s FROM ev WHERE end_s > start_s + {{shift}}),
 cu AS (SELECT DISTINCT record_id, t FROM (SELECT record_id, start_s AS t FROM rf UNION SELECT record_id, end_s FROM rf UNION SELECT record_id, start_s FROM hy UNION SELECT record_id, end_s FROM hy)),
 el AS (SELECT record_id, t AS s, lead(t) OVER (PARTITION BY record_id ORDER BY t) AS e FROM cu),
