@@ -15,28 +15,73 @@ def w(word, s, e):
     return {"word": word, "start_s": s, "end_s": e, "confidence": 1.0}
 
 
-def test_overlap_keeps_the_nearer_chunk():
-    got = chunks.merge_record([(0.0, 10.0, [w("hola", 9.3, 9.7)]), (9.0, 19.0, [w("ola", 9.3, 9.7)])])
-    assert [x["word"] for x in got] == ["hola"]
-    got = chunks.merge_record([(5.0, 10.0, [w("b", 6.0, 7.0)]), (0.0, 5.0, [w("a", 1.0, 2.0)])])
-    assert [x["word"] for x in got] == ["a", "b"]
-    assert chunks.merge_record([]) == []
-
-
-def test_stretches_equal_the_plain_fold(spark):
-    rng = random.Random(4)
+def plain_settled(left, right, a, b):
+    """By recursion on what is left of both, from the end."""
+    import functools
+
+    x, y = [v["word"].lower() for v in left], [v["word"].lower() for v in right]
+    near = lambda v, own, other: abs((v["start_s"] + v["end_s"]) / 2 - own) - abs((v["start_s"] + v["end_s"]) / 2 - other)
+
+    @functools.cache
+    def common(i, j):
+        if not i or not j:
+            return 0
+        return common(i - 1, j - 1) + 1 if x[i - 1] == y[j - 1] else max(common(i - 1, j), common(i, j - 1))
+
+    def kept(i, j):
+        if i and j and x[i - 1] == y[j - 1]:
+            return [*kept(i - 1, j - 1), left[i - 1]]
+        if i and (not j or common(i - 1, j) >= common(i, j - 1)):
+            return kept(i - 1, j) + [v for v in [left[i - 1]] if near(v, a, b) <= 0]
+        return kept(i, j - 1) + [v for v in [right[j - 1]] if near(v, b, a) < 0] if j else []
+
+    return kept(len(x), len(y)) if x and y else [*left, *right]
+
+
+def plain_merge(spans):
+    """The stream of chunks by order of start, by recursion on the last chunk."""
+    if not spans:
+        return []
+    *before, (start, end, words) = sorted(spans, key=lambda s: (s[0], s[1], [tuple(v.values()) for v in s[2]]))
+    said = plain_merge(before)
+    last = sorted(before, key=lambda s: (s[0], s[1], [tuple(v.values()) for v in s[2]]))[-1] if before else None
+    if last is None or min(last[1], end) <= start:
+        return said + words
+    mid = lambda v: (v["start_s"] + v["end_s"]) * 0.5
+    n = 0
+    while n < len(words) and mid(words[n]) < min(last[1], end):
+        n += 1
+    early, late = [v for v in said if mid(v) < start], [v for v in said if mid(v) >= start]
+    return early + plain_settled(late, words[:n], (last[0] + last[1]) / 2, (start + end) / 2) + words[n:]
+
+
+def test_overlap_keeps_the_nearer_chunk(spark):
+    def merged(*spans):
+        df = spark.createDataFrame([("r", *s) for s in spans], f"record_id string, start_s double, end_s double, words {chunks.WORDS}")
+        return [x.word for r in chunks.merge_chunks(df).collect() for x in r.words]
+
+    assert merged((0.0, 10.0, [w("hola", 9.3, 9.7)]), (9.0, 19.0, [w("ola", 9.3, 9.7)])) == ["hola"]
+    assert merged((0.0, 10.0, [w("hola", 9.4, 9.7)]), (9.0, 19.0, [w("hola", 9.4, 9.7), w("mundo", 11.0, 11.5)])) == ["hola", "mundo"]
+    assert merged((5.0, 10.0, [w("b", 6.0, 7.0)]), (0.0, 5.0, [w("a", 1.0, 2.0)])) == ["a", "b"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merged_chunks_equal_the_plain_form(spark, seed):
+    rng = random.Random(seed)
     rows = []
-    for record in range(12):
+    for record in range(16):
         t = 0.0
         for _ in range(rng.randint(1, 7)):
             size = rng.choice([0.5, 4.0, 10.0, 25.0])
-            words = sorted((w(rng.choice("abcd"), at, at + 0.4) for at in (t + rng.uniform(-0.5, size + 3) for _ in range(rng.randint(0, 12)))), key=lambda x: x["start_s"])
+            words = sorted((w(rng.choice(["a", "b", "C", "c"]), at, at + 0.4) for at in (t + rng.uniform(-0.5, size + 3) for _ in range(rng.randint(0, 12)))), key=lambda x: x["start_s"])
+            if rng.random() < 0.2:
+                rng.shuffle(words)
             rows.append((f"r{record}", t, t + size, words))
             t += rng.choice([0.5, 2.0, size * 0.8, size, size + 2])
     rows.append(("none", 0.0, 1.0, None))
     df = spark.createDataFrame(rows, f"record_id string, start_s double, end_s double, words {chunks.WORDS}")
     got = {r.record_id: [x.asDict() for x in r.words] for r in chunks.merge_chunks(df).collect()}
-    want = {k: chunks.merge_record([(a, b, ws or []) for r, a, b, ws in rows if r == k]) for k in {r[0] for r in rows}}
+    want = {k: plain_merge([(a, b, ws or []) for r, a, b, ws in rows if r == k]) for k in {r[0] for r in rows}}
     assert got == want
     assert chunks.merge_chunks(df.limit(0)).collect() == []
 

@@ -26,102 +26,116 @@ def word_edges(words: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(words, lambda w: F.array(w["start_s"], w["end_s"]))))
 
 
-def _mid(word: dict) -> float:
-    return 0.5 * (word["start_s"] + word["end_s"])
+def middle(word: Column) -> Column:
+    return (word["start_s"] + word["end_s"]) * 0.5
 
 
-def _prefix_lengths(x: list[str], y: list[str]) -> np.ndarray:
-    """length[i, j]: longest common subsequence of the first i words of x and the first j of y, a row at a time."""
-    number: dict[str, int] = {}
-    a, b = (np.array([number.setdefault(w, len(number)) for w in side]) for side in (x, y))
-    length = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, word in enumerate(a):
-        length[i + 1, 1:] = np.maximum.accumulate(np.maximum(length[i, 1:], np.where(b == word, length[i, :-1] + 1, 0)))
-    return length
+def _middles(words: list[dict]) -> np.ndarray:
+    return np.array([0.5 * (w["start_s"] + w["end_s"]) for w in words], float)
 
 
-def reconciled(left: list[dict], right: list[dict], left_centre: float, right_centre: float) -> list[tuple[bool, int]]:
-    """What stays of two recognitions of one stretch, as (is it left's, place), in order.
+def settled(left: list[dict], right: list[dict], left_centre: float, right_centre: float) -> list[dict]:
+    """One reading of a stretch that two chunks heard.
 
-    Words of a longest common subsequence (lower-cased) stay as left has them; other words stay where their own chunk's
-    centre is the nearer one (as near: left's). Where one side has no words, the other stays whole.
+    Words of a longest common subsequence (lower-cased) stay as left has them; any other word stays if its own chunk's
+    centre is the nearer one (as near: left's).
     """
-    if not left or not right:
-        return [(bool(left), k) for k in range(len(left or right))]
-    lefts = lambda w: abs(_mid(w) - left_centre) <= abs(_mid(w) - right_centre)
-    x, y = ([w["word"].lower() for w in side] for side in (left, right))
-    length = _prefix_lengths(x, y)
-    kept, i, j = [], len(x), len(y)
-    while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
-            i, j = i - 1, j - 1
-            kept.append((True, i))
-        elif i and (not j or length[i - 1, j] >= length[i, j - 1]):
-            i -= 1
-            if lefts(left[i]):
-                kept.append((True, i))
-        else:
-            j -= 1
-            if not lefts(right[j]):
-                kept.append((False, j))
-    return kept[::-1]
+    if not (left and right):
+        return [*left, *right]
+    steps = align.common_path([w["word"].lower() for w in left], [w["word"].lower() for w in right])
+    nearer = [np.append(np.abs(m - left_centre) <= np.abs(m - right_centre), False) for m in (_middles(left), _middles(right))]
+    of_left, of_right = steps.T
+    stays = np.where(of_left < 0, ~nearer[1][of_right], (of_right >= 0) | nearer[0][of_left])
+    return [left[i] if i >= 0 else right[j] for i, j in steps[stays].tolist()]
+
 
+def _settled_pieces(pieces: pd.DataFrame) -> pd.Series:
+    return pd.Series([
+        None if r.left is None else settled([dict(w) for w in r.left], [dict(w) for w in r.right], r.left_centre, r.right_centre) for r in pieces.itertuples()
+    ], dtype=object)
 
-def merge_record(spans: list[tuple[float, float, list[dict]]]) -> list[dict]:
-    """One word stream of (start, end, words) in order of start: what a chunk shares with the one before is reconciled."""
-    said = list(spans[0][2]) if spans else []
-    for (a, b, _), (start, end, words) in zip(spans, spans[1:]):
-        stop = min(b, end)
-        if stop <= start:
-            said += words
-            continue
-        n = next((k for k, w in enumerate(words) if _mid(w) >= stop), len(words))
-        left = [w for w in said if _mid(w) >= start]
-        stay = reconciled(left, words[:n], (a + b) / 2, (start + end) / 2)
-        said = [w for w in said if _mid(w) < start] + [left[k] if of_left else words[k] for of_left, k in stay] + list(words[n:])
-    return said
 
+def linked(spans: list[tuple[float, float, list[dict]]], given: list[dict], given_span: tuple[float, float] | None) -> list[dict]:
+    """The words of chunks (start, end, words) that share words with each other beyond their neighbours, by order of start.
 
-def _stretch(lead: pd.DataFrame, spans: pd.Series, rest: pd.Series) -> pd.Series:
-    """Words of a stretch of chunks: lead's words come in as far as the first chunk shares them, those from rest on go out."""
+    given: words that the chunk before them (given_span) has in the first one's time.
+    """
+    words = [*given, *(w for _, _, own in spans for w in own)]
+    middles = _middles(words)
+    place = np.arange(len(given))
+    at, before = len(given), given_span
+    for start, end, own in spans:
+        mine = np.arange(at, at + len(own))
+        at += len(own)
+        until = min(before[1], end) if before else start
+        if until > start:
+            open_ = place[middles[place] >= start]
+            n = int(np.append(middles[mine] >= until, True).argmax())
+            number = {id(words[k]): k for k in (*open_, *mine[:n])}
+            agreed = settled([words[k] for k in open_], [words[k] for k in mine[:n]], sum(before) / 2, (start + end) / 2)
+            place = np.concatenate([place[middles[place] < start], np.array([number[id(w)] for w in agreed], np.int64), mine[n:]])
+        else:
+            place = np.concatenate([place, mine])
+        before = (start, end)
+    return [words[k] for k in place]
 
-    def one(before, each, cut) -> list[dict]:
-        rows = [(r["start_s"], r["end_s"], [dict(w) for w in r["words"]]) for r in each]
-        if before is not None:
-            rows.insert(0, (before["start_s"], before["end_s"], [dict(w) for w in before["words"] if _mid(w) >= rows[0][0]]))
-        said = merge_record(rows)
-        return said if pd.isna(cut) else [w for w in said if _mid(w) < cut]
 
-    leads = lead.to_dict("records")
-    return pd.Series([one(None if pd.isna(b["end_s"]) else b, each, cut) for b, each, cut in zip(leads, spans, rest)], dtype=object)
+def _linked_groups(lead: pd.DataFrame, spans: pd.Series, until: pd.Series) -> pd.Series:
+    """Of each group of linked chunks the words before ``until``, from where the next chunk has a say."""
+    out = []
+    for b, each, cut in zip(lead.itertuples(), spans, until):
+        given = [dict(w) for w in b.words] if b.words is not None else []
+        said = linked([(r["start_s"], r["end_s"], [dict(w) for w in r["words"]]) for r in each], given, None if pd.isna(b.end_s) else (b.start_s, b.end_s))
+        out.append(said if pd.isna(cut) else [w for w, m in zip(said, _middles(said)) if m < cut])
+    return pd.Series(out, dtype=object)
 
 
 def merge_chunks(chunks: DataFrame, key: str = "record_id") -> DataFrame:
-    """(record, words) from (record, start_s, end_s, words): neighbours' overlaps are reconciled (null words: none).
+    """(record, words) from (record, start_s, end_s, words): where neighbours overlap, their words are settled (null words: none).
 
-    A record falls into stretches: one begins wherever all chunks but the last before it have ended, words included, since
-    only that last chunk can then share anything with it. Under even chunking each chunk is a stretch of its own, so that a
-    long record is many short rows for Python. Only records, and not stretches, are shuffled.
+    Each chunk's words fall into what the chunk before it heard too (its head), what it gives to the next chunk's start,
+    and the rest, by filters in the JVM. Only a pair of pieces that both have words goes to Python, as a row of its own.
+    Where a chunk shares words with others than its neighbours, or a piece would be settled twice, such chunks are linked:
+    a run of them is one row for Python.
     """
-    none, stretch_words = F.array().cast(WORDS), F.pandas_udf(_stretch, WORDS)
+    none, pieces_udf, groups_udf = F.array().cast(WORDS), F.pandas_udf(_settled_pieces, WORDS), F.pandas_udf(_linked_groups, WORDS)
     rows = chunks.select(F.col(key).alias("key"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), F.coalesce(F.col("words").cast(WORDS), none).alias("words"))
     order = Window.partitionBy("key").orderBy("start_s", "end_s", "words")
-    span = F.struct("start_s", "end_s", "words")
-    reach = F.greatest("end_s", F.array_max(F.transform("words", lambda w: (w["start_s"] + w["end_s"]) * 0.5)))
-    past = F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -2))
-    ahead = F.lead("start_s").over(order)
-    shares = F.least("end_s", F.lead("end_s").over(order)) > ahead
+    reach = F.array_max(F.transform("words", middle))
+    until = F.least(F.lag("end_s").over(order), F.col("end_s"))
     rows = rows.withColumn("reach", reach).select(
-        "key", span.alias("span"), F.lag(span).over(order).alias("lead"), F.when(shares, ahead).alias("rest"), F.row_number().over(order).alias("n"),
-        F.coalesce(past >= F.col("start_s"), F.lit(False)).alias("bound"),
+        "key", "start_s", "end_s", "words", F.row_number().over(order).alias("n"), F.when(until > F.col("start_s"), until).alias("until"),
+        F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -2)).alias("past"), F.lag("reach").over(order).alias("b_reach"),
+        F.lag("start_s").over(order).alias("b_start"), F.lag("end_s").over(order).alias("b_end"),
     )
-    rows = rows.withColumn("stretch", F.sum((~F.col("bound")).cast("int")).over(Window.partitionBy("key").orderBy("n")))
-    # a lead that shares nothing stays where it is
-    used = F.least("lead.end_s", "span.end_s") > F.col("span.start_s")
-    rows = rows.withColumn("lead", F.when(used, F.col("lead")))
-    parts = rows.groupBy("key", "stretch").agg(F.min_by("lead", "n").alias("lead"), F.array_sort(F.collect_list(F.struct("n", "span"))).alias("spans"), F.max_by("rest", "n").alias("rest"))
-    said = parts.select("key", "stretch", stretch_words(F.col("lead"), F.transform("spans", lambda s: s["span"]), F.col("rest")).alias("words"))
-    whole = said.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("stretch", "words"))).alias("w"))
+    by_n = Window.partitionBy("key").orderBy("n")
+    twice = F.col("until").isNotNull() & (F.lag("until").over(by_n) > F.col("start_s"))
+    beyond = F.col("until").isNull() & (F.col("b_reach") >= F.col("start_s"))
+    tied = [F.coalesce(c, F.lit(False)) for c in (F.col("past") >= F.col("start_s"), twice, beyond)]
+    rows = rows.withColumn("tied", tied[0] | tied[1] | tied[2])
+    rows = rows.withColumn("ties_next", F.coalesce(F.lead("tied").over(by_n), F.lit(False))).withColumn("next", F.when(F.lead("until").over(by_n).isNotNull(), F.lead("start_s").over(by_n)))
+    gives = F.when(F.col("next").isNotNull() & ~F.col("ties_next"), F.filter("words", lambda w: middle(w) >= F.col("next"))).otherwise(none)
+    rows = rows.withColumn("given", F.coalesce(F.lag(gives).over(by_n), none)).withColumn("run", F.sum((~F.col("tied")).cast("int")).over(by_n))
+
+    at = F.coalesce(F.nullif(F.array_position(F.transform("words", lambda w: middle(w) >= F.col("until")), True), F.lit(0).cast("long")).cast("int") - 1, F.size("words"))
+    head = F.when(F.col("until").isNull(), none).otherwise(F.slice("words", F.lit(1), at))
+    rest = F.when(F.col("until").isNull(), F.col("words")).otherwise(F.slice("words", at + 1, F.size("words")))
+    body = F.when(F.col("next").isNull(), rest).otherwise(F.filter(rest, lambda w: middle(w) < F.col("next")))
+    alone = rows.filter(~F.col("tied") & ~F.col("ties_next")).select("key", "run", "given", head.alias("head"), body.alias("body"), "start_s", "end_s", "b_start", "b_end")
+    both = (F.size("given") > 0) & (F.size("head") > 0)
+    centre = lambda a, b: (F.col(a) + F.col(b)) / 2
+    piece = F.struct(
+        F.when(both, F.col("given")).alias("left"), F.when(both, F.col("head")).alias("right"), centre("b_start", "b_end").alias("left_centre"), centre("start_s", "end_s").alias("right_centre")
+    )
+    agreed = F.coalesce(pieces_udf(piece), F.concat("given", "head"))
+    said = alone.select("key", "run", F.concat(agreed, "body").alias("words"))
+
+    groups = rows.filter(F.col("tied") | F.col("ties_next")).groupBy("key", "run").agg(
+        F.min_by(F.struct(F.col("given").alias("words"), F.col("b_start").alias("start_s"), F.col("b_end").alias("end_s")), "n").alias("lead"),
+        F.array_sort(F.collect_list(F.struct("n", F.struct("start_s", "end_s", "words").alias("span")))).alias("spans"), F.max_by("next", "n").alias("cut"),
+    )
+    said = said.unionByName(groups.select("key", "run", groups_udf(F.col("lead"), F.transform("spans", lambda s: s["span"]), F.col("cut")).alias("words")))
+    whole = said.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("run", "words"))).alias("w"))
     return whole.select(F.col("key").alias(key), F.flatten(F.transform("w", lambda s: s["words"])).alias("words"))
 
 

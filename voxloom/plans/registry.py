@@ -126,6 +126,29 @@ def turn_wer(spark, sf_dir):
     return score.scored_pairs(turn_pairs(spark, sf_dir)).select("record_id", "turn", "errors", "words", F.round(F.col("errors") / F.greatest("words", F.lit(1)), 6).alias("wer"))
 
 
+_STEP = 1 << 42
+_INS, _DEL, _SUB = 1 << 28, 1 << 14, 1
+
+
+def _edit_split(a: str, b: str) -> str:
+    """Packed (edits, insertions, deletions, substitutions) of the path that is taken from the end: a match or substitution
+    before a deletion, that before an insertion."""
+    costs = f"list_transform({a}, lambda r: list_transform({b}, lambda h: (r <> h)::BIGINT))"
+    diagonal, up, left = f"p[j[1]] + x[j[1]] * {_STEP + _SUB}", f"p[j[1] + 1] + {_STEP + _DEL}", f"r[j[1]] + {_STEP + _INS}"
+    cell = f"CASE WHEN ({diagonal}) >> 42 <= least(({up}) >> 42, ({left}) >> 42) THEN {diagonal} WHEN ({up}) >> 42 <= ({left}) >> 42 THEN {up} ELSE {left} END"
+    row = f"list_reduce(list_prepend([p[1] + {_STEP + _DEL}], list_transform(range(1, len(p)), lambda j: [j])), lambda r, j: list_append(r, {cell}))"
+    return f"list_last(list_reduce(list_prepend(list_transform(range(0, len({b}) + 1), lambda j: j * {_STEP + _INS}), {costs}), lambda p, x: {row}))"
+
+
+@query(f"""WITH {_WORD_PAIRS}, e AS (SELECT record_id, turn, {_edit_split('a', 'b')} AS e FROM wp)
+SELECT record_id, turn, ((e >> 28) & 16383)::INT AS insertions, ((e >> 14) & 16383)::INT AS deletions, (e & 16383)::INT AS substitutions FROM e""")
+def turn_edit_split(spark, sf_dir):
+    """Kinds of edits between each turn and the next."""
+    pairs = turn_pairs(spark, sf_dir)
+    counts = align.edit_counts_of(text.tokens(F.col("ref")), text.tokens(F.col("hyp")))
+    return pairs.select("record_id", "turn", counts.alias("c")).select("record_id", "turn", "c.*")
+
+
 @query(f"""WITH {_NORM_PAIRS}, e AS (SELECT role, {_NORM_ERRORS} AS errors, len(a) AS words FROM np)
 SELECT role, sum(errors) AS errors, sum(words) AS words, round(sum(errors) / greatest(sum(words), 1)::DOUBLE, 6) AS wer FROM e GROUP BY role""")
 def corpus_wer_by_role(spark, sf_dir):
@@ -475,13 +498,45 @@ def rover_fuse(spark, sf_dir):
     return chunks.fuse(rows).select("chunk_id", F.array_join("words", " ").alias("text"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT conv_id, turn, {_words("coalesce(text, '')")} AS w FROM conversations),
+c AS (SELECT conv_id::VARCHAR AS record_id, sum(len(w)) AS n, string_agg(array_to_string(w, ' '), ' ' ORDER BY turn) AS t FROM w GROUP BY conv_id)
+SELECT record_id, n, {_raw('t')} AS text FROM c""")
 def merged_transcripts(spark, sf_dir):
+    """Turns whose time runs two seconds into the next one's, words within their own ten seconds."""
     rows = turn_words(spark, sf_dir).withColumn("end_s", F.col("end_s") + 2)
     merged = chunks.merge_chunks(rows.select("record_id", "start_s", "end_s", "words"))
     return merged.select("record_id", F.size("words").alias("n"), text.post_edit_raw(chunks.transcript(F.col("words"))).alias("text"))
 
 
+_CELL = "{{'l': {l}, 't': {t}}}"
+_TAKE = "CASE WHEN {k} THEN {w} || ' ' ELSE '' END"
+# forward along the only way that leads to a cell from the end: what it keeps, and how many words are common
+_SETTLE = f"""list_last(list_reduce(list_prepend(
+  list_transform(range(0, len(b) + 1), lambda j: {_CELL.format(l="0::BIGINT", t=f"array_to_string(list_transform(b[:j], lambda y: {_TAKE.format(k='y.k', w='y.w')}), '')")}),
+  list_transform(a, lambda y: [{_CELL.format(l="y.k::BIGINT", t="y.w")}])), lambda p, x:
+  list_reduce(list_prepend([{_CELL.format(l="0::BIGINT", t=f"p[1].t || {_TAKE.format(k='x[1].l = 1', w='x[1].t')}")}], list_transform(range(1, len(p)), lambda j: [{_CELL.format(l="j", t="''")}])),
+    lambda r, e: list_append(r, CASE WHEN lower(x[1].t) = lower(b[e[1].l].w) THEN {_CELL.format(l="p[e[1].l].l + 1", t="p[e[1].l].t || x[1].t || ' '")}
+      WHEN p[e[1].l + 1].l >= r[e[1].l].l THEN {_CELL.format(l="p[e[1].l + 1].l", t=f"p[e[1].l + 1].t || {_TAKE.format(k='x[1].l = 1', w='x[1].t')}")}
+      ELSE {_CELL.format(l="r[e[1].l].l", t=f"r[e[1].l].t || {_TAKE.format(k='b[e[1].l].k', w='b[e[1].l].w')}")} END)))).t"""
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_words("coalesce(text, '')")} AS ws FROM conversations),
+s AS (SELECT *, turn * 10.0::DOUBLE AS s, 12.0::DOUBLE / len(ws) AS z, lag(turn) OVER o = turn - 1 AS prev, lead(turn) OVER o = turn + 1 AS next FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+m AS (SELECT *, list_transform(range(0, len(ws)), lambda i: {{'w': ws[i + 1], 'm': ((s + i * z) + (s + (i + 1) * z)) * 0.5}}) AS x FROM s),
+q AS (SELECT *, list_transform(list_filter(x, lambda y: coalesce(prev, false) AND y.m < s + 2), lambda y: {{'w': y.w, 'k': abs(y.m - (s - 4)) > abs(y.m - (s + 6))}}) AS b,
+  list_transform(list_filter(x, lambda y: coalesce(next, false) AND y.m >= s + 10), lambda y: {{'w': y.w, 'k': abs(y.m - (s + 6)) <= abs(y.m - (s + 16))}}) AS gives,
+  array_to_string(list_transform(list_filter(x, lambda y: NOT (coalesce(prev, false) AND y.m < s + 2) AND NOT (coalesce(next, false) AND y.m >= s + 10)), lambda y: y.w), ' ') AS body FROM m),
+g AS (SELECT *, CASE WHEN prev THEN lag(gives) OVER (PARTITION BY conv_id ORDER BY turn) ELSE gives[:0] END AS a FROM q),
+k AS (SELECT conv_id, turn, body, CASE WHEN len(a) > 0 AND len(b) > 0 THEN {_SETTLE} ELSE array_to_string(list_transform(coalesce(a, []) || b, lambda y: y.w), ' ') END AS head FROM g)
+SELECT conv_id::VARCHAR AS record_id, {_collapse("string_agg(head || ' ' || body, ' ' ORDER BY turn)")} AS text FROM k GROUP BY conv_id""")
+def merged_overlaps(spark, sf_dir):
+    """Turns that are spoken over twelve seconds, so that the words of two seconds are settled with the next one's."""
+    rows = turn_words(spark, sf_dir)
+    end = F.col("start_s") + 12
+    rows = rows.select("record_id", "start_s", end.alias("end_s"), chunks.even_spans(F.transform("words", lambda w: w["word"]), F.col("start_s"), end).alias("words"))
+    return chunks.merge_chunks(rows).select("record_id", chunks.transcript(F.col("words")).alias("text"))
+
+
 _LEX = f"""t AS (SELECT coalesce(nullif(lang, ''), '_') AS lang, coalesce(nullif(source, ''), '_') AS source, doc_id, {_terms('text')} AS w FROM documents),
 x AS (SELECT lang, source, doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM t)"""
 
