@@ -29,13 +29,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from voxloom.plans import io_queries  # noqa: F401  registers its queries
+    from voxloom.plans import io_queries, model_queries  # noqa: F401  registers their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from voxloom.plans import io_queries  # noqa: F401
+    from voxloom.plans import io_queries, model_queries  # noqa: F401
 
     return dict(_SQL)
 
@@ -636,11 +636,6 @@ def plda_neighbours(spark, sf_dir):
     return rows.join(nxt, "vec_id").select("vec_id", "label", "other_label", F.round(scorer("embedding", "other"), 3).alias("score"))
 
 
-@query()
-def ahc_clusters(spark, sf_dir):
-    return embed.cluster(table(spark, sf_dir, "embeddings"), "label", threshold=0.9)
-
-
 _GRADES = " UNION ALL ".join(
     f"SELECT '{n}' AS name, {limit}::DOUBLE AS threshold, round({n.lower()}, 6) AS measured, {n.lower()} {sign} {limit} AS passed FROM m" for n, _, sign, limit in report.EXPECTATIONS
 )
