@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxloom.operators import ctc, embed, vbx
+from voxloom.operators import ctc, embed, ngram_model, vbx
 from voxloom.plans.derived import table
-from voxloom.plans.registry import query
+from voxloom.plans.registry import _words, query
+from voxloom.sources.shared import scratch
 
 _D = "::DOUBLE"
 #: Tokens of the frames that are made of vectors: the blank, two letters and the gap between words.
@@ -75,3 +76,53 @@ def vbx_speakers(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("record_id", F.floor(F.col("vec_id") / 40))
     found = vbx.cluster(rows, embed.Plda.fit(rows), config=vbx.VbxConfig(threshold=0.9))
     return found.select("record_id", "vec_id", "cluster", "rounds", F.round("bound", 3).alias("bound"))
+
+
+_ORDER = 5
+
+
+def _model_sql(order: int) -> str:
+    """Tables p1 .. of a model of the benchmark's texts, strings as lists of words."""
+    parts = [f"""w AS (SELECT list_concat(['<s>'], {_words('text')}, ['</s>']) AS w FROM benchmark),
+c{order} AS (SELECT g, count(*) AS c FROM (SELECT w[i:i + {order - 1}] AS g FROM (SELECT w, unnest(range(1, len(w) - {order - 2})) AS i FROM w)) GROUP BY g)"""]
+    for n in range(order - 1, 0, -1):
+        opening = f" UNION ALL SELECT w[:{n}], count(*) FROM w WHERE len(w) >= {n} GROUP BY 1" if n > 1 else ""
+        parts.append(f"c{n} AS (SELECT g[2:] AS g, count(*) AS c FROM c{n + 1} GROUP BY 1{opening})")
+    for n in range(1, order + 1):
+        parts.append(f"""k{n} AS (SELECT count(*) FILTER (c = 1){_D} AS a, count(*) FILTER (c = 2) AS b, count(*) FILTER (c = 3) AS d, count(*) FILTER (c = 4) AS e FROM c{n}),
+y{n} AS (SELECT *, 1 - 2 * a / (a + 2 * b) * b / a AS x, 2 - 3 * a / (a + 2 * b) * d / b AS y, 3 - 4 * a / (a + 2 * b) * e / d AS z, a * b * d * e > 0 AS all_ FROM k{n}),
+d{n} AS (SELECT CASE WHEN ok THEN [x, y, z] ELSE [0.5{_D}, 1.0{_D}, 1.5{_D}] END AS d FROM (SELECT *, coalesce(all_ AND x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 2 AND z BETWEEN 0 AND 3, false) AS ok FROM y{n})),
+x{n} AS (SELECT g[:-2] AS h, sum(c) AS total, sum(d[least(c, 3)]) AS lost FROM c{n}, d{n} GROUP BY 1)""")
+    parts.append(f"""u AS (SELECT lost / total / ((SELECT count(*) FROM c1) + 1) AS rest, total FROM x1),
+p1 AS (SELECT g, (c - d[least(c, 3)]) / total + rest AS p FROM c1, d1, u UNION ALL SELECT ['<unk>'], rest FROM u UNION ALL SELECT ['<s>'], 0 FROM u)""")
+    for n in range(2, order + 1):
+        parts.append(f"p{n} AS (SELECT c.g, (c - d[least(c, 3)]) / total + lost / total * s.p AS p FROM c{n} c JOIN x{n} x ON x.h = c.g[:-2] JOIN p{n - 1} s ON s.g = c.g[2:], d{n})")
+    rows = " UNION ALL ".join(
+        f"SELECT {n} AS n, p{n}.g, p, " + (f"log10(lost / total) AS backoff FROM p{n} LEFT JOIN x{n + 1} x ON x.h = p{n}.g" if n < order else f"NULL::DOUBLE FROM p{n}") for n in range(1, order + 1)
+    )
+    parts.append(f"m AS (SELECT n, g, round(CASE WHEN p > 0 THEN log10(p) ELSE -99 END, 8) AS logp, round(backoff, 8) AS backoff FROM ({rows}))")
+    return ",\n".join(parts)
+
+
+@query(f"WITH {_model_sql(_ORDER)} SELECT n::INT AS n, array_to_string(g, ' ') AS gram, round(logp, 5) AS logp, round(backoff, 5) AS backoff FROM m")
+def arpa_rows(spark, sf_dir):
+    """A model of order 5 of the benchmark's texts, written as an ARPA file and read back."""
+    path = scratch(spark, "arpa")
+    ngram_model.write_arpa(ngram_model.train(table(spark, sf_dir, "benchmark"), _ORDER), path)
+    return ngram_model.read_arpa(spark, path).select("n", "gram", F.round("logp", 5).alias("logp"), F.round("backoff", 5).alias("backoff"))
+
+
+@query(f"""WITH {_model_sql(_ORDER)}, t AS (SELECT conv_id, turn, list_concat(['<s>'], {_words('text')}, ['</s>']) AS w FROM conversations WHERE text IS NOT NULL),
+v AS (SELECT conv_id, turn, w[greatest(1, i - {_ORDER - 1}):i] AS v FROM (SELECT *, unnest(range(2, len(w) + 1)) AS i FROM t)),
+q AS (SELECT DISTINCT v FROM v), e AS (SELECT v, unnest(range(1, len(v) + 1)) AS n FROM q),
+l AS (SELECT v, max(e.n) AS n, arg_max(logp, e.n) AS logp FROM e JOIN m ON m.g = v[len(v) - e.n + 1:] GROUP BY v),
+b AS (SELECT e.v, sum(backoff) AS b FROM e LEFT JOIN l ON l.v = e.v JOIN m ON e.n < len(e.v) AND e.n >= coalesce(l.n, 1) AND m.g = e.v[len(e.v) - e.n:len(e.v) - 1] GROUP BY e.v),
+s AS (SELECT q.v, coalesce(l.logp, (SELECT logp FROM m WHERE g = ['<unk>'])) + coalesce(b.b, 0) AS lp, (l.v IS NULL)::INT AS lost FROM q LEFT JOIN l USING (v) LEFT JOIN b USING (v))
+SELECT conv_id, turn, round(sum(lp), 4) AS lm, sum(lost)::BIGINT AS unknown FROM v JOIN s USING (v) GROUP BY conv_id, turn""")
+def arpa_scores(spark, sf_dir):
+    """Conversation turns scored by the model as the file has it."""
+    path = scratch(spark, "arpa")
+    ngram_model.write_arpa(ngram_model.train(table(spark, sf_dir, "benchmark"), _ORDER), path)
+    turns = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    found = ngram_model.score(ngram_model.read_arpa(spark, path), turns, "key")
+    return found.select("key.conv_id", "key.turn", F.round("lm", 4).alias("lm"), "unknown")
