@@ -11,7 +11,7 @@ sums of kernels are kernels. Landmarks are one-word sentences, the words that di
 the sample best; the Nyström map (the inverse square root of the landmarks' own kernel) turns a sentence into features on
 which the support vector machine is linear. It is trained on sentences: those of clean texts are clean, and of each
 toxic text the sentence that the machine of the round before (at first, the kernel alone) finds most toxic is toxic. A text is as toxic as
-its most toxic sentence; Platt's scaling makes margins of texts scores.
+its most toxic sentence; Platt's scaling, fitted on margins of texts that a machine has not seen, makes margins scores.
 
 The classifier is fitted on a bounded sample of labelled texts (``SAMPLE_ROWS`` a class); every text is scored whole.
 Words of more than ``TOKEN_CHARS`` characters are compared window by window. Kernel values under ``NEAR`` count as 0: they
@@ -323,6 +323,36 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS)
     return [w for _, w in sorted(scored)[:most]]
 
 
+def fit_sentences(found: list[np.ndarray], y: np.ndarray, project: np.ndarray) -> np.ndarray:
+    """Weights of the machine over sentences (kernel values with the landmarks) of labelled texts."""
+    order = [np.argsort(-x.sum(axis=1), kind="stable") for x in found]
+    none = np.zeros((1, len(project)), np.float32)
+    for _ in range(ROUNDS):
+        rows, signs = [], []
+        for x, by, label in zip(found, order, y, strict=True):
+            chosen = x[by[: 1 if label else CLEAN_SENTENCES]]
+            if not len(chosen):
+                chosen = none
+            rows.append(chosen)
+            signs.append(np.full(len(chosen), 1.0 if label else -1.0))
+        weights = linear_svm.fit(np.vstack(rows) @ project, np.concatenate(signs), c=1.0)
+        order = [np.argsort(-m, kind="stable") for m in largest_margins(found, project, weights)[1]]
+    return weights
+
+
+def unseen_margins(found: list[np.ndarray], y: np.ndarray, project: np.ndarray) -> np.ndarray:
+    """Margins of each half of the texts (every other one of a class) from a machine that is fitted on the other half."""
+    half = np.zeros(len(y), bool)
+    for label in (False, True):
+        half[np.flatnonzero(y == label)[::2]] = True
+    margins = np.zeros(len(y))
+    for own in (half, ~half):
+        fitted = ~own if len(np.unique(y[~own])) == 2 else np.ones(len(y), bool)  # a class of one text can't be held out
+        weights = fit_sentences([found[k] for k in np.flatnonzero(fitted)], y[fitted], project)
+        margins[own] = largest_margins([found[k] for k in np.flatnonzero(own)], project, weights)[0]
+    return margins
+
+
 def fit_texts(texts: list[str], toxic: list[bool]) -> Model | None:
     """A model from labelled texts, on the driver; None without both classes or without a landmark."""
     y = np.array(toxic, bool)
@@ -335,20 +365,8 @@ def fit_texts(texts: list[str], toxic: list[bool]) -> Model | None:
     values, vectors = np.linalg.eigh(np.where(marks.gram >= NEAR, marks.gram, 0.0) ** POWER + 1e-3 * np.eye(len(words)))
     project = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
     found = [x for i in range(0, len(texts), 200) for x in marks.sentences(texts[i : i + 200])]
-    order = [np.argsort(-x.sum(axis=1), kind="stable") for x in found]
-    none = np.zeros((1, len(words)), np.float32)
-    for _ in range(ROUNDS):
-        rows, signs = [], []
-        for x, by, label in zip(found, order, y, strict=True):
-            chosen = x[by[: 1 if label else CLEAN_SENTENCES]]
-            if not len(chosen):
-                chosen = none
-            rows.append(chosen)
-            signs.append(np.full(len(chosen), 1.0 if label else -1.0))
-        weights = linear_svm.fit(np.vstack(rows) @ project, np.concatenate(signs), c=1.0)
-        margins, each = largest_margins(found, project, weights)
-        order = [np.argsort(-m, kind="stable") for m in each]
-    return Model(words, project, weights, linear_svm.calibrate(margins, np.where(y, 1.0, -1.0)))
+    weights = fit_sentences(found, y, project)
+    return Model(words, project, weights, linear_svm.calibrate(unseen_margins(found, y, project), np.where(y, 1.0, -1.0)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model | None:
