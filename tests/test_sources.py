@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +75,38 @@ def test_update_flagged(spark, tmp_path):
     writers.write_report(spark.createDataFrame([(1.5,)], "x double"), str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).first()[0] == "1.500000"
     assert F is not None
+
+
+def test_resampling_keeps_what_the_new_rate_can_hold():
+    tone = lambda rate, hz, s=0.5: np.sin(2 * np.pi * hz * np.arange(int(rate * s)) / rate)
+    for rate in (8000, 11025, 22050, 44100, 48000):
+        y = wav.resample(tone(rate, 440.0), rate)
+        want = tone(16000, 440.0)
+        assert len(y) == math.ceil(rate // 2 * 16000 / rate) and np.abs(y[200:-200] - want[200 : len(y) - 200]).max() < 2e-3
+    for hz in (9500.0, 12000.0, 20000.0):  # above the new Nyquist frequency: interpolation would fold it down
+        assert np.abs(wav.resample(tone(44100, hz), 44100)[200:-200]).max() < 5e-3
+    assert np.allclose(wav.resample(np.ones(2000), 44100)[100:-100], 1, atol=1e-6)
+    assert len(wav.resample(np.zeros(0), 8000)) == 0 and wav.resample(tone(16000, 5.0), 16000).shape == (8000,)
+    blocks = wav.resample(tone(44100, 440.0, 3.0), 44100)
+    assert len(blocks) > wav.RESAMPLE_BLOCK and np.abs(blocks[300:-300] - tone(16000, 440.0, 3.0)[300:-300]).max() < 2e-3
+
+
+def test_the_last_slot_goes_to_one_of_many_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    (tmp_path / "z.zip").write_bytes(b"zip")
+    log = str(tmp_path / "log")
+
+    def submit(k):
+        try:
+            writers.record_submission(spark, log, "asr", str(tmp_path / "z.zip"), [f"r{k}"])
+        except ValueError:
+            return False
+        return True
+
+    with ThreadPoolExecutor(6) as pool:
+        assert sum(pool.map(submit, range(6))) == writers.DAILY_SUBMISSIONS
+    rows = readers.read_log(spark, log)
+    assert rows.count() == writers.DAILY_SUBMISSIONS and writers.remaining_today(rows, "asr") == 0
+    assert writers.put_if_absent(spark, f"{log}/x.json", "a") and not writers.put_if_absent(spark, f"{log}/x.json", "b")
+    assert (tmp_path / "log" / "x.json").read_text() == "a"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions import align, text
+from voxloom.operators import ranks
 
 # Tags of evaluation sources.
 BENCH_SOURCES = ("cv_es", "cv_multilingual", "voxconverse", "synthetic", "synth_coser")
@@ -39,14 +40,14 @@ def stratum(province: Column, age: Column, topic: Column) -> Column:
 def stratified_split(rows: DataFrame, key: str, by: Column, fraction: float = 0.1, seed: int = 20260501, least: int = 5) -> DataFrame:
     """rows with ``split``: in strata of ``least`` rows or more, the ceil(fraction * n) of lowest hash are dev, at least one.
 
-    The order inside a stratum is needed in full, so a stratum is sorted by one task (it spills); only key and hash travel.
+    A stratum of any size is dealt over tasks (``ranks.numbered``).
     """
     keyed = rows.withColumn("__stratum", by).withColumn("__hash", text.stable_fraction(F.col(key).cast("string"), seed))
-    group = Window.partitionBy("__stratum")
-    rank = F.row_number().over(group.orderBy("__hash", key))
-    size = F.count(F.lit(1)).over(group)
-    dev = (size >= least) & (rank <= F.greatest(F.lit(1), F.ceil(F.lit(float(fraction)) * size)))
-    return keyed.withColumn("split", F.when(dev, "dev").otherwise("train")).drop("__stratum", "__hash")
+    sizes = keyed.groupBy("__stratum").agg(F.count(F.lit(1)).alias("__size")).withColumnRenamed("__stratum", "__s")
+    keyed = keyed.join(sizes, F.col("__stratum").eqNullSafe(F.col("__s"))).drop("__s")
+    ranked = ranks.numbered(keyed, [F.col("__hash"), F.col(key)], ["__stratum"], "__rank")
+    dev = (F.col("__size") >= least) & (F.col("__rank") <= F.greatest(F.lit(1), F.ceil(F.lit(float(fraction)) * F.col("__size"))))
+    return ranked.withColumn("split", F.when(dev, "dev").otherwise("train")).drop("__stratum", "__hash", "__size", "__rank")
 
 
 def snr_bucket(snr: Column, config: GateConfig = GateConfig()) -> Column:
@@ -147,8 +148,10 @@ def quota(rows: DataFrame, by: Column, order: Column, listed: tuple[str, ...], e
     ``other_cap`` rows stay (default: as many as of a listed value)."""
     grouped = rows.withColumn("quota_group", F.when(by.isin(*listed), by).otherwise(other))
     place = F.row_number().over(Window.partitionBy("quota_group").orderBy(order))
-    most = F.when(F.col("quota_group") == other, each if other_cap is None else other_cap).otherwise(each)
-    return grouped.withColumn("__place", place).filter(F.col("__place") <= most).drop("__place")
+    rest = each if other_cap is None else other_cap
+    most = F.when(F.col("quota_group") == other, rest).otherwise(each)
+    # the plain limit is one that each task can apply before rows are shuffled
+    return grouped.withColumn("__place", place).filter(F.col("__place") <= max(each, rest)).filter(F.col("__place") <= most).drop("__place")
 
 
 def min_count(rows: DataFrame, by: str, least: int) -> DataFrame:
@@ -159,9 +162,9 @@ def min_count(rows: DataFrame, by: str, least: int) -> DataFrame:
 
 def stride_sample(rows: DataFrame, order: Column, most: int = 200) -> DataFrame:
     """Every k-th row, k = max(1, n // most), at most ``most`` rows."""
-    n = rows.count()
-    rank = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("__i", rank).filter(F.col("__i") % max(1, n // most) == 0).orderBy("__i").limit(most).drop("__i")
+    placed = ranks.numbered(rows, [order], out="__i")
+    step = max(1, placed.count() // most)
+    return placed.filter((F.col("__i") - 1) % step == 0).orderBy("__i").limit(most).drop("__i")
 
 
 def id_differences(have: DataFrame, want: DataFrame, key: str = "record_id") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.functions import text
@@ -543,3 +546,35 @@ def neural_rescore(spark, sf_dir):
 
     rows = score_texts(nbest(spark, sf_dir), lambda: lambda t: -0.02 * len(t))
     return chunks.rescore(rows, alpha=0.3, beta=1.0, lm_scale=1.0).select("chunk_id", "text")
+
+
+def _resampled_sql(rate: int) -> str:
+    """Sums over the vectors' samples, taken as audio of a rate and brought to 16 kHz."""
+    common = math.gcd(rate, wav.RATE)
+    up, down = wav.RATE // common, rate // common
+    band = wav.ROLL_OFF * min(1.0, up / down)
+    half = math.ceil(wav.ZEROS / band)
+    distance = f"(k - {half - 1} - p / {up}{_D})"
+    return f"""SELECT vec_id, {rate} AS rate, count(*) AS n, round(sum(y), 4) AS total, round(sum(y * y), 4) AS energy FROM (
+  SELECT vec_id, n, coalesce(sum(w * s[i + 1]), 0) AS y FROM (SELECT vec_id, s, unnest(range(0, (len(s) * {up} + {down - 1}) // {down})) AS n FROM q)
+  JOIN (SELECT p, k, w / sum(w) OVER (PARTITION BY p) AS w FROM (SELECT p, k, CASE WHEN abs({distance}) < {half} THEN (0.5 + 0.5 * cos(pi() * {distance} / {half})) ELSE 0 END
+    * CASE WHEN {distance} = 0 THEN 1 ELSE sin(pi() * {band}{_D} * {distance}) / (pi() * {band}{_D} * {distance}) END AS w
+    FROM (SELECT unnest(range({up})) AS p) CROSS JOIN (SELECT unnest(range({2 * half})) AS k))) b ON b.p = n * {down} % {up},
+  LATERAL (SELECT n * {down} // {up} + k - {half - 1} AS i) WHERE true GROUP BY vec_id, n) GROUP BY vec_id"""
+
+
+@query(f"""WITH q AS (SELECT vec_id, list_transform(embedding{_D}[], lambda x: round_even(greatest(-32768, least(32767, x * 32767)), 0) / 32768) AS s FROM embeddings)
+{_resampled_sql(8000)} UNION ALL {_resampled_sql(44100)}""".replace("s[i + 1]", "CASE WHEN i >= 0 AND i < len(s) THEN s[i + 1] ELSE 0 END"))
+def resampled_audio(spark, sf_dir):
+    """Vectors as audio of 8 and of 44.1 kHz, brought to 16 kHz."""
+    parts = []
+    for rate in (8000, 44100):
+
+        @F.pandas_udf("binary")
+        def sound(v, rate=rate):
+            return v.map(lambda x: wav.dump_mono(np.asarray(x, np.float64), rate))
+
+        rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(rate).alias("rate"), wav.resampled(sound("embedding")).alias("s"))
+        total = lambda f: F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x.cast("double"))), 4)
+        parts.append(rows.select("vec_id", "rate", F.size("s").cast("long").alias("n"), total(lambda x: x).alias("total"), total(lambda x: x * x).alias("energy")))
+    return parts[0].unionByName(parts[1])

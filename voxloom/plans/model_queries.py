@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxloom.operators import ctc, embed, ngram_model, vbx
-from voxloom.plans.derived import table
-from voxloom.plans.registry import _words, query
+from voxloom.plans.derived import EVENTS_SQL, events, table
+from voxloom.plans.registry import _SQL, _words, query
 from voxloom.sources.shared import scratch
+from voxloom.streaming import intervals as streams
 
 _D = "::DOUBLE"
 #: Tokens of the frames that are made of vectors: the blank, two letters and the gap between words.
@@ -126,3 +127,25 @@ def arpa_scores(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))
     found = ngram_model.score(ngram_model.read_arpa(spark, path), turns, "key")
     return found.select("key.conv_id", "key.turn", F.round("lm", 4).alias("lm"), "unknown")
+
+
+@query(_SQL["ev_intervals_merge"])
+def stream_merge(spark, sf_dir):
+    """Events as they come, file by file, merged by a stream; a last row of each record, far in the future, closes it."""
+    ev = events(spark, sf_dir).select("record_id", "speaker", "start_s", "end_s")
+    last = ev.agg(F.max("end_s")).first()[0] or 0.0
+    closing = ev.select("record_id").distinct().select("record_id", F.lit("").alias("speaker"), F.lit(last + 1e6).alias("start_s"), F.lit(last + 1e6 + 1).alias("end_s"))
+    stream = streams.replay(spark, ev.unionByName(closing), "start_s", scratch(spark, "replay"), 4)
+    out = streams.drained(streams.merge_gaps(stream, gap_s=3600.0), scratch(spark, "merged"), scratch(spark, "checkpoint"))
+    return out.select("record_id", "speaker", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+
+
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT * FROM ev WHERE end_s - start_s <= 7200)
+SELECT v.event_id, e.event_id AS r_event_id, round(least(v.end_s, e.end_s) - greatest(v.start_s, e.start_s), 3) AS overlap_s
+FROM e v JOIN e ON v.speaker = 'view' AND e.speaker = 'error' AND v.record_id = e.record_id AND v.start_s < e.end_s AND e.start_s < v.end_s""")
+def stream_overlaps(spark, sf_dir):
+    """Views that come as a stream with the errors of another stream that they overlap, both of two hours at most."""
+    ev = events(spark, sf_dir).select("record_id", "event_id", "speaker", "start_s", "end_s")
+    side = lambda who: streams.replay(spark, ev.filter(F.col("speaker") == who).drop("speaker"), "start_s", scratch(spark, "replay"), 4)
+    out = streams.drained(streams.overlaps(side("view"), side("error"), 7200.0, "30 days"), scratch(spark, "pairs"), scratch(spark, "checkpoint"))
+    return out.select("event_id", "r_event_id", F.round("overlap_s", 3).alias("overlap_s"))

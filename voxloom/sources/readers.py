@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom import schemas
 from voxloom.functions import text
+from voxloom.operators import ranks
 from voxloom.sources import wav
 
 
@@ -141,8 +142,8 @@ def vox_manifest(segments: DataFrame, audio: DataFrame, n: int = 0) -> DataFrame
 
 
 def numbered(rows: DataFrame, order: Column, out: str = "ordinal") -> DataFrame:
-    """rows with a running number by the order."""
-    return rows.withColumn(out, F.row_number().over(Window.orderBy(order)) - 1)
+    """rows with a running number by the order, from 0."""
+    return ranks.numbered(rows, [order], out=out).withColumn(out, F.col(out) - 1)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
+import uuid
 import zipfile
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voxloom import schemas
 from voxloom.functions import text
@@ -33,10 +37,11 @@ def write_rttm(segments: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def soft_labels_to_rttm(turns: DataFrame, path: str) -> int:
-    """Primary speakers of soft labels as RTTM; the number of segments written."""
+    """Primary speakers of soft labels as RTTM; the number of segments written, counted as they are."""
+    seen = Observation()
     rows = turns.select("record_id", "start_s", "end_s", "speaker").filter("end_s > start_s")
-    write_rttm(rows, path)
-    return rows.count()
+    write_rttm(rows.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return seen.get["n"]
 
 
 def write_transcripts(words: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -101,19 +106,56 @@ def remaining_slots(log: DataFrame) -> DataFrame:
 
 
 def record_submission(spark: SparkSession, log_path: str, track: str, package: str, record_ids: list[str], metadata: dict[str, str] | None = None, now: datetime | None = None) -> None:
-    """Appends to the JSON log; ValueError when the day's submissions are used up. One driver at a time may call it."""
+    """Adds to the JSON log; ValueError when the day's submissions are used up.
+
+    Each submission of a track and day is a slot, a file of the log whose name is fixed: whoever puts it there first has it.
+    So any number of drivers may call this at once, and the last slot goes to one of them.
+    """
     now = now or datetime.now(timezone.utc)
+    day = now.date().isoformat()
     try:
-        left = remaining_today(read_log(spark, log_path), track, now.date().isoformat())
+        left = remaining_today(read_log(spark, log_path), track, day)
     except Exception as e:  # a log that isn't there yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         left = DAILY_SUBMISSIONS
-    if not left:
-        raise ValueError(f"{track} has no submissions left on {now.date().isoformat()}")
     digest = hashlib.sha256(Path(package).read_bytes()).hexdigest()
-    row = (now.date().isoformat(), now.isoformat(), track, package, digest, len(record_ids), sorted(record_ids), metadata or {})
-    spark.createDataFrame([row], schemas.SUBMISSIONS).coalesce(1).write.mode("append").json(log_path)
+    row = (day, now.isoformat(), track, package, digest, len(record_ids), sorted(record_ids), metadata or {})
+    entry = json.dumps(dict(zip(StructType.fromDDL(schemas.SUBMISSIONS).names, row, strict=True)), ensure_ascii=False)
+    slots = range(DAILY_SUBMISSIONS) if left else ()
+    if not any(put_if_absent(spark, f"{log_path}/{track}-{day}-{slot}.json", entry + "\n") for slot in slots):
+        raise ValueError(f"{track} has no submissions left on {day}")
+
+
+def put_if_absent(spark: SparkSession, path: str, content: str) -> bool:
+    """Writes a small file whole unless there is one of that name: False then. Of several writers at once one succeeds.
+
+    The content goes to a name of its own first. Giving it the final name fails where that is taken: by a hard link on a local
+    disk, elsewhere by the store's rename, which doesn't replace.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    name = f".{target.getName()}-{uuid.uuid4().hex}"
+    if store.getUri().getScheme() == "file":
+        final = Path(target.toUri().getPath())
+        final.parent.mkdir(parents=True, exist_ok=True)
+        own = final.with_name(name)
+        own.write_text(content, encoding="utf-8")
+        try:
+            os.link(own, final)
+        except FileExistsError:
+            return False
+        finally:
+            own.unlink()
+        return True
+    own = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), name)
+    out = store.create(own, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    done = not store.exists(target) and store.rename(own, target)
+    if not done:
+        store.delete(own, False)
+    return done
 
 
 def build_package(spark: SparkSession, folder: str, track: str, expected: list[str], out: str) -> str:
