@@ -49,3 +49,8 @@ def test_stable_fraction(col):
 
     want = int(hashlib.sha1(b"7:abc").hexdigest()[:12], 16) / 0xFFFFFFFFFFFF
     assert col(lambda c: text.stable_fraction(c, 7), ["abc"]) == [want]
+
+
+def test_open_markup_before_a_long_text(col):
+    long = "palabra " * 40_000
+    assert col(text.clean_markup, [f"a [HS:E1 {long}", f"a [HS:E1 {long}[b] {long}] c"]) == [f"a E1 {long}".strip(), "a c"]

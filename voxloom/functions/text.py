@@ -75,7 +75,8 @@ def post_edit_raw(text: Column, compose: bool = True) -> Column:
 def clean_markup(text: Column, compose: bool = True) -> Column:
     """Transcript markup off: embedded speakers, brackets, repairs ``said=standard`` (the standard stays), mid-word pauses."""
     text = _composed(text, compose)
-    text = F.regexp_replace(text, rf"\[H{WORD_CHAR}*:(?:[^\[\]]|\[[^\[\]]*\])*\]", " ")
+    # possessive, as no other way can match: a bracket that stays open before a long text would else exhaust the stack
+    text = F.regexp_replace(text, rf"\[H{WORD_CHAR}*+:(?:[^\[\]]++|\[[^\[\]]*+\])*+\]", " ")
     text = F.regexp_replace(text, r"\[[^\[\]]*\]", " ")
     text = F.regexp_replace(text, rf"\[H{WORD_CHAR}*:", " ")
     text = F.translate(text, "[]", "  ")

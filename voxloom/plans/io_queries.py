@@ -269,22 +269,31 @@ def vox_manifest(spark, sf_dir):
 # text rules
 
 
-_CASES = "concat(substr(text, 1, 40), ' [RISAS] voy pa casa comío [HS:E1 sí] a=b me·sa … el pueblo')"
+_CASES = "concat(text, ' [RISAS] voy pa casa comío [HS:E1 sí] a=b me·sa … el pueblo')"
+_BORDER = r"[^\p{L}\p{M}\p{N}\p{Pc}]"
+
+
+def _swap_word(expr: str, word: str, other: str) -> str:
+    """Whole words in any case; a second pass finds those that share a border with one of the first."""
+    once = lambda e: f"regexp_replace({e}, '(?i)(^|{_BORDER}){word}($|{_BORDER})', '\\1{other}\\2', 'g')"
+    return once(once(expr))
 
 
 @query(rf"""WITH c AS (SELECT doc_id, {_CASES} AS t, lang FROM documents WHERE text IS NOT NULL),
-e AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(t, '\[HS:[^\]]*\]', ' ', 'g'), '\[[^\]]+\]', ' ', 'g'), '·', ' '), '…', ' '), '[\p{{L}}\p{{N}}_]+=[\p{{L}}\p{{N}}_]+', ' ', 'g'), '[\t-\r \x{{0085}}\p{{Z}}]+', ' ', 'g'), ' ') AS cleaned FROM c)
-SELECT doc_id, md5(cleaned) AS cleaned, replace(replace(right(t, 62), ' pa ', ' para '), 'comío', CASE WHEN lang = 'es' THEN 'comido' ELSE 'comío' END) AS canonical,
-  CASE WHEN lang = 'es' THEN replace(right(t, 62), 'el pueblo', 'er pueblo') ELSE right(t, 62) END AS dialect FROM e""")
+e AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(t, '\[HS:[^\]]*\]', ' ', 'g'), '\[[^\]]+\]', ' ', 'g'), '·', ' '), '…', ' '), '[\p{{L}}\p{{N}}_]+=[\p{{L}}\p{{N}}_]+', ' ', 'g'), '[\t-\r \x{{0085}}\p{{Z}}]+', ' ', 'g'), ' ') AS cleaned,
+  {_swap_word("t", "pa", "para")} AS para FROM c)
+SELECT doc_id, md5(cleaned) AS cleaned, md5(CASE WHEN lang = 'es' THEN regexp_replace(para, '(?i)ío($|{_BORDER})', 'ido\1', 'g') ELSE para END) AS canonical,
+  md5(CASE WHEN lang = 'es' THEN {_swap_word("t", "el", "er")} ELSE t END) AS dialect FROM e""")
 def text_rules(spark, sf_dir):
-    """The report's cleaner and dialect rules in both directions."""
+    """The report's cleaner and dialect rules in both directions, on whole texts with some markup and dialect added."""
     rules = [text.DialectRule("para", ("pa",)), text.DialectRule("ido", ("ío",), "word_suffix", ("es",))]
     back = [text.DialectRule("el", ("er",), "word_whole", ("es",))]
-    said = F.concat(F.substring("text", 1, 40), F.lit(" [RISAS] voy pa casa comío [HS:E1 sí] a=b me·sa … el pueblo"))
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "lang", said.alias("t")).withColumn("r", F.expr("right(t, 62)"))
-    lang = F.coalesce("lang", F.lit(""))
+    said = F.concat("text", F.lit(" [RISAS] voy pa casa comío [HS:E1 sí] a=b me·sa … el pueblo"))
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "lang", said.alias("t"))
+    lang, digest = F.coalesce("lang", F.lit("")), lambda c: F.md5(c.cast("binary"))
     return rows.select(
-        "doc_id", F.md5(text.explore_clean(F.col("t")).cast("binary")).alias("cleaned"), text.dialect_to_canonical(F.col("r"), lang, rules).alias("canonical"), text.canonical_to_dialect(F.col("r"), lang, back).alias("dialect")
+        "doc_id", digest(text.explore_clean(F.col("t"))).alias("cleaned"), digest(text.dialect_to_canonical(F.col("t"), lang, rules)).alias("canonical"),
+        digest(text.canonical_to_dialect(F.col("t"), lang, back)).alias("dialect"),
     )
 
 
@@ -374,14 +383,14 @@ def top_tags(spark, sf_dir):
 _SPLITS = "CASE doc_id % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'longform' ELSE 'train' END"
 
 
-@query(f"""WITH m AS (SELECT doc_id, doc_id || '.wav' AS audio_path, left(text, 20) AS transcript, {_SPLITS} AS split FROM documents)
-SELECT audio_path, transcript, split FROM m WHERE split IN ('train', 'dev') UNION ALL SELECT item_id || '.flac', left(text, 20), 'train' FROM benchmark""")
+@query(f"""WITH m AS (SELECT doc_id, doc_id || '.wav' AS audio_path, text AS transcript, {_SPLITS} AS split FROM documents)
+SELECT audio_path, transcript, split FROM m WHERE split IN ('train', 'dev') UNION ALL SELECT item_id || '.flac', text, 'train' FROM benchmark""")
 def training_rows(spark, sf_dir):
     """Train and dev rows of a manifest, and pseudo-labelled rows as train."""
     i = F.col("doc_id") % 5
     split = F.when(i == 0, "dev").when(i == 1, "longform").otherwise("train")
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_path"), F.expr("left(text, 20)").alias("transcript"), split.alias("split"), "source")
-    pseudo = table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".flac")).alias("audio_path"), F.expr("left(text, 20)").alias("transcript"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_path"), F.col("text").alias("transcript"), split.alias("split"), "source")
+    pseudo = table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".flac")).alias("audio_path"), F.col("text").alias("transcript"))
     return baselines.training_rows(rows, pseudo)
 
 
@@ -397,10 +406,10 @@ def manifest_joins(spark, sf_dir):
     return select.with_metadata(joined, train, ["source"], "doc_id")
 
 
-@query(f"""SELECT doc_id || '' AS segment_id, left(coalesce(text, ''), 30) AS transcript, 'cv_es' AS source, 'bench' AS split FROM documents WHERE doc_id IN (3, 5, 8, 13)""")
+@query(f"""SELECT doc_id || '' AS segment_id, coalesce(text, '') AS transcript, 'cv_es' AS source, 'bench' AS split FROM documents WHERE doc_id IN (3, 5, 8, 13)""")
 def bench_rows(spark, sf_dir):
     """Some records by id (the filter is the operator) as rows of an evaluation source."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.substring(F.coalesce("text", F.lit("")), 1, 30).alias("sentence"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("sentence"))
     return select.bench_rows(select.allow_records(rows, ["3", "5", "8", "13"], "id"), "cv_es", segment_id="id", transcript="sentence")
 
 
@@ -510,7 +519,7 @@ def synthetic_turns(spark, sf_dir):
     """Seeded conversations of a pool of clips."""
     rows = table(spark, sf_dir, "documents").select(
         F.coalesce("source", F.lit("x")).alias("speaker_id"), F.col("doc_id").cast("string").alias("segment_id"), F.when(F.col("doc_id") % 4 == 0, "ca").otherwise("es").alias("language"),
-        F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("transcript"), (1.0 + F.col("n_chars") % 50 / 10).alias("duration_s"),
+        F.coalesce("text", F.lit("")).alias("transcript"), (1.0 + F.col("n_chars") % 50 / 10).alias("duration_s"),
     )
     return synth.build_recordings(rows, 20, synth.SynthConfig(target_s=60.0, switch=0.2))
 

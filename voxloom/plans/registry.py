@@ -106,7 +106,7 @@ def raw_post_edit_by_source(spark, sf_dir):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("t")).alias("chars"), digest.alias("digest"))
 
 
-_MARKED = "concat(text, ' [HS:E1 sí [Asent].] pa=para [RISAS] me·sa [HX: abierto ', substr(text, 1, 20), ' b=c')"
+_MARKED = "concat(text, ' [HS:E1 sí [Asent].] pa=para [RISAS] me·sa [HX: abierto ', text, ' b=c')"
 _clean = _sub(f"nfc_normalize({_MARKED})", rf"\[H{_WC}*:(?:[^\[\]]|\[[^\[\]]*\])*\]", " ")
 _clean = _sub(_sub(_clean, r"\[[^\[\]]*\]", " "), rf"\[H{_WC}*:", " ")
 _clean = _collapse(f"translate({_sub(f'translate({_clean}, {chr(39)}[]{chr(39)}, {chr(39)}  {chr(39)})', f'{_WC}+=({_WC}+)', chr(92) + '1')}, '·', '')")
@@ -115,7 +115,7 @@ _clean = _collapse(f"translate({_sub(f'translate({_clean}, {chr(39)}[]{chr(39)},
 @query(f"SELECT doc_id, length({_clean}) AS chars, md5({_clean}) AS digest FROM documents WHERE text IS NOT NULL")
 def markup_clean(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").filter("text is not null")
-    marked = F.concat("text", F.lit(" [HS:E1 sí [Asent].] pa=para [RISAS] me·sa [HX: abierto "), F.substring("text", 1, 20), F.lit(" b=c"))
+    marked = F.concat("text", F.lit(" [HS:E1 sí [Asent].] pa=para [RISAS] me·sa [HX: abierto "), "text", F.lit(" b=c"))
     rows = rows.select("doc_id", text.clean_markup(marked).alias("t"))
     return rows.select("doc_id", F.length("t").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
