@@ -87,7 +87,7 @@ def test_merged_chunks_equal_the_plain_form(spark, seed):
 
 
 def test_fusion_ablation(spark):
-    got = [(round(r.raw_wer, 9), round(r.normalized_wer, 9), round(r.der, 6)) for r in pipelines.fusion_ablation(spark).collect()]
+    got = [(round(r.raw_wer, 9), round(r.normalized_wer, 9), round(r.der, 6)) for r in pipelines.fusion_ablation(pipelines.fixed_fusion(spark)).collect()]
     assert got == [(0.3, 0.2, 0.046154), (0.2, 0.1, 0.046154), (0.1, 0.0, 0.046154), (0.0, 0.0, 0.046154), (0.0, 0.0, 0.0)]
 
 
@@ -219,3 +219,45 @@ def test_model_slots(spark):
 def test_front_end_ablation(spark):
     got = [(round(r.raw_wer, 6), round(r.normalized_wer, 6), r.chunks, r.skipped) for r in pipelines.front_end_ablation(spark).collect()]
     assert got == [(1.363636, 1.272727, 6, 0), (0.818182, 0.727273, 4, 0), (0.090909, 0.0, 2, 2), (0.0, 0.0, 2, 2)]
+
+
+def test_settings_from_files():
+    from dataclasses import dataclass
+    from pathlib import Path
+
+    from voxloom.config import from_mapping
+
+    @dataclass
+    class Inner:
+        rate: int = 16
+
+    globals()["Inner"] = Inner
+
+    @dataclass
+    class Settings:
+        out: Path
+        data: Path | None = None
+        sizes: tuple[int, ...] = (1,)
+        name: str = "x"
+        inner: Inner | None = None
+
+    found = from_mapping(Settings, {"out": "a/b", "data": None, "sizes": [1, 2], "unknown": 3, "inner": {"rate": 8, "other": 1}})
+    assert found == Settings(Path("a/b"), None, (1, 2), "x", Inner(8))
+    assert from_mapping(Inner, None) == Inner()
+
+
+def test_data_report(spark):
+    turns = spark.createDataFrame([("r1", 0.0, 4.0, "E1"), ("r1", 3.0, 9.0, "I1"), ("r1", 9.0, 12.0, "X")], "record_id string, start_s double, end_s double, speaker string")
+    audio = spark.createDataFrame([("r1", 10.0), ("r2", 50.0)], "record_id string, duration_s double")
+    profile = report.record_profile(turns, audio)
+    rows = {r.record_id: r for r in profile.collect()}
+    assert (rows["r1"].n_turns, rows["r1"].n_e, rows["r1"].n_i, rows["r1"].n_other, rows["r1"].speech_s, rows["r1"].overlap_s, rows["r1"].overshoot_s) == (3, 1, 1, 1, 10.0, 1.0, 2.0)
+    assert rows["r2"].n_turns == 0 and rows["r2"].speech_ratio == 0 and rows["r1"].speech_ratio == 1
+    said = report.data_report("Corpus", profile, {"Markup": spark.createDataFrame([("[RISAS]", 3)], "markup string, n int")})
+    assert said.startswith("# Corpus\n\n## Totals") and "| 2 | 0:01:00 | 0:00:10 | 3 |" in said and "## Markup" in said and "| r1 |" in said and "| r2 |" in said
+
+
+def test_sources_without_references(spark):
+    rows = spark.createDataFrame([("a", "one two", "one x"), ("a", None, "words of nobody"), ("a", "...", "more"), (None, "x", "x")], "source string, ref string, hyp string")
+    got = {(r.source, r.total): (r.n, r.errors, r.words, r.raw_words) for r in score.source_wer(rows).collect()}
+    assert got == {("a", False): (3, 1, 2, 3), (None, False): (1, 0, 1, 1), (None, True): (4, 1, 3, 4)}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.functions import text
+from voxloom.operators import intervals
+
 #: Expectations: what is measured, how it compares, and with what.
 EXPECTATIONS = (
     ("H1", "single-language error rate", "<=", 0.25),
@@ -63,6 +66,37 @@ def render(rows: DataFrame, digits: int = 4) -> str:
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in found)])
 
 
+def record_profile(turns: DataFrame, audio: DataFrame, groups: dict[str, str] | None = None) -> DataFrame:
+    """A row a record of audio (record_id, duration_s): its turns and speakers, how long they speak, alone or at once, and the
+    turns' lengths. turns: record_id, start_s, end_s, speaker. ``groups`` counts speakers by the start of their name."""
+    groups = {"n_e": "E", "n_i": "I"} if groups is None else groups
+    known = turns.join(audio.select("record_id", "duration_s"), "record_id")
+    size = F.col("end_s") - F.col("start_s")
+    starts = lambda p: F.count_distinct(F.when(F.col("speaker").startswith(p), F.col("speaker")))
+    per = known.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("n_turns"), F.count_distinct("speaker").alias("n_speakers"), *(starts(p).alias(n) for n, p in groups.items()),
+        F.avg(size).alias("mean_turn_s"), F.median(size).alias("median_turn_s"), F.array_join(F.array_sort(F.collect_set("speaker")), ",").alias("speakers"),
+    )
+    spans = known.select("record_id", "start_s", "end_s", "duration_s")
+    out = audio.join(per, "record_id", "left").join(intervals.union_seconds(spans, cap_s=F.col("duration_s")), "record_id", "left")
+    out = out.join(intervals.overlap_seconds(spans), "record_id", "left").join(intervals.overshoot(spans, F.col("duration_s")), "record_id", "left")
+    zeros = ["n_turns", "n_speakers", *groups, "mean_turn_s", "median_turn_s", "speech_s", "overlap_s", "overshoot_s"]
+    out = out.na.fill(0, zeros).na.fill("", ["speakers"]).withColumn("n_other", F.col("n_speakers") - sum((F.col(g) for g in groups), F.lit(0)))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return out.withColumn("speech_ratio", share("speech_s", "duration_s")).withColumn("overlap_ratio", share("overlap_s", "speech_s"))
+
+
+def data_report(title: str, profile: DataFrame, tables: dict[str, DataFrame]) -> str:
+    """A corpus as a Markdown report: totals over the profile's records, the records themselves, and further small tables."""
+    total = profile.agg(
+        F.count(F.lit(1)).alias("records"), text.duration_text(F.sum("duration_s")).alias("audio"), text.duration_text(F.sum("speech_s")).alias("speech"),
+        F.sum("n_turns").alias("turns"), (F.sum("speech_s") / F.nullif(F.sum("duration_s"), F.lit(0.0))).alias("speech_ratio"),
+        (F.sum("overlap_s") / F.nullif(F.sum("speech_s"), F.lit(0.0))).alias("overlap_ratio"),
+    )
+    parts = {"Totals": total, "Records": profile.orderBy("record_id"), **tables}
+    return "\n\n".join([f"# {title}", *(f"## {name}\n\n{render(rows)}" for name, rows in parts.items())]) + "\n"
+
+
 def language_mix(turns: DataFrame, key: str = "record_id", primary: str = "es") -> DataFrame:
     """(record, n_languages, code_switch_count): the primary language always counts."""
     langs = F.array_union(F.collect_set("language"), F.array(F.lit(primary)))

@@ -30,6 +30,24 @@ def corpus_wer(pairs: DataFrame, by: list[str] | None = None, track: str = "norm
     return rows.groupBy(*(by or [])).agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"), rate().alias("wer"))
 
 
+def source_wer(pairs: DataFrame, source: str = "source", **names) -> DataFrame:
+    """(source, n, raw_errors, raw_words, raw_wer, errors, words, wer) of each source, and of all in a row without one.
+
+    On either track a pair without a reference adds neither errors nor words.
+    """
+    rows = dual_track(pairs, keep=(source,), **names)
+    counted = lambda e, w: F.when(F.col(w) > 0, F.col(e)).otherwise(0)
+    rows = rows.select(F.struct(source).alias("__s"), counted("raw_errors", "raw_words").alias("raw_errors"), "raw_words", counted("errors", "words").alias("errors"), "words")
+    sums = [F.sum(c).alias(c) for c in ("raw_errors", "raw_words", "errors", "words")]
+    both = rows.rollup("__s").agg(F.count(F.lit(1)).alias("n"), *sums, F.grouping("__s").alias("total"))
+    per = lambda e, w: F.col(e) / F.greatest(w, F.lit(1))
+    # a null source is a source of its own: the total is told by its mark
+    return both.select(
+        F.col(f"__s.{source}").alias(source), (F.col("total") == 1).alias("total"), "n", "raw_errors", "raw_words", per("raw_errors", "raw_words").alias("raw_wer"),
+        "errors", "words", per("errors", "words").alias("wer"),
+    )
+
+
 def micro_wer(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Accumulated insertions, deletions and substitutions by reference words; rows with neither side are left out."""
     total = F.col("insertions") + F.col("deletions") + F.col("substitutions")

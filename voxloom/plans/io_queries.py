@@ -524,29 +524,60 @@ def synthetic_turns(spark, sf_dir):
     return synth.build_recordings(rows, 20, synth.SynthConfig(target_s=60.0, switch=0.2))
 
 
-_V = lambda rows, names: f"SELECT * FROM (VALUES {', '.join(rows)}) t({names})"
-
-
-@query(_V(["('—+—+—+—', 0.3, 0.2, 0.046154)", "('MBR+—+—+—', 0.2, 0.1, 0.046154)", "('MBR+ROVER+—+—', 0.1, 0.0, 0.046154)", "('MBR+ROVER+MASK+—', 0.0, 0.0, 0.046154)", "('MBR+ROVER+MASK+SNAP', 0.0, 0.0, 0.0)"], "config, a, b, c")
-       .replace("SELECT *", f"SELECT config, a{_D} AS raw_wer, b{_D} AS normalized_wer, c{_D} AS der"))
+_CONFIGS = "'—+—+—+—', 'MBR+—+—+—', 'MBR+ROVER+—+—', 'MBR+ROVER+MASK+—', 'MBR+ROVER+MASK+SNAP'"
+_FRAME = "unnest(range(least(greatest(round_even({a} / 0.01{d}, 0)::BIGINT, 0), n), least(greatest(round_even({b} / 0.01{d}, 0)::BIGINT, 0), n)))"
+
+
+def _frames_of(rows: str) -> str:
+    return f"SELECT DISTINCT conv_id, role, {_FRAME.format(a='s', b='e', d=_D)} AS f FROM (SELECT x.*, round_even(z / 0.01{_D}, 0)::BIGINT AS n FROM {rows} x JOIN en USING (conv_id))"
+
+
+# hypotheses lack words of the reference and have no others, so errors are the words that are gone
+@query(f"""WITH t AS (SELECT conv_id, turn, role, {_words("coalesce(text, '')")} AS w, turn * 10.0{_D} AS s FROM conversations),
+p AS (SELECT *, list_filter(list_zip(w, range(0, len(w))), lambda y: NOT ((s + y[2] * (10.0{_D} / len(w)) + (s + (y[2] + 1) * (10.0{_D} / len(w)))) * 0.5 >= s + 2.013 AND (s + y[2] * (10.0{_D} / len(w)) + (s + (y[2] + 1) * (10.0{_D} / len(w)))) * 0.5 < s + 4.027)) AS k FROM t),
+h AS (SELECT *, array_to_string(w, ' ') AS whole, array_to_string(w[:-2], ' ') AS cut, array_to_string(list_transform(k, lambda y: y[1]), ' ') AS kept FROM p),
+r AS (SELECT conv_id, string_agg(whole, ' ' ORDER BY turn) AS whole, string_agg(cut, ' ' ORDER BY turn) AS cut, string_agg(kept, ' ' ORDER BY turn) AS kept FROM h GROUP BY conv_id),
+l AS (SELECT len({_words('whole')}) AS w, len({_words('cut')}) AS c, len({_words('kept')}) AS k, len({_words(_norm('whole'))}) AS nw, len({_words(_norm('cut'))}) AS nc, len({_words(_norm('kept'))}) AS nk FROM r),
+rt AS (SELECT unnest([{_CONFIGS}]) AS config, unnest([sum(w - c), 0, 0, sum(w - k), sum(w - k)]) / greatest(sum(w), 1){_D} AS raw_wer, unnest([sum(nw - nc), 0, 0, sum(nw - nk), sum(nw - nk)]) / greatest(sum(nw), 1){_D} AS normalized_wer FROM l),
+en AS (SELECT conv_id, max(turn) * 10.0{_D} + 10 AS z FROM t GROUP BY conv_id),
+rf AS (SELECT conv_id, role, s, s + 10 AS e FROM t), hy AS (SELECT conv_id, turn, role, s - 0.15 AS s, s + 9.85 AS e FROM t),
+ed AS (SELECT DISTINCT conv_id, unnest([s + y * (10.0{_D} / n), s + (y + 1) * (10.0{_D} / n)]) AS x FROM (SELECT conv_id, s, len(w) AS n, unnest(list_transform(k, lambda y: y[2])) AS y FROM p)),
+a AS (SELECT conv_id, turn, arg_min(x, struct_pack(g := round(abs(x - s), 9), b := -x)) AS x FROM hy JOIN ed USING (conv_id) WHERE abs(x - s) <= 0.2 GROUP BY 1, 2),
+b AS (SELECT conv_id, turn, arg_min(x, struct_pack(g := round(abs(x - e), 9), b := -x)) AS x FROM hy JOIN ed USING (conv_id) WHERE abs(x - e) <= 0.2 GROUP BY 1, 2),
+q AS (SELECT conv_id, role, coalesce(a.x, s) AS s, coalesce(b.x, e) AS e FROM hy LEFT JOIN a USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)),
+cl AS (SELECT conv_id, role, greatest(s, 0) AS s, least(CASE WHEN e <= s THEN greatest(s + 0.2, e) ELSE e END, z) AS e FROM q JOIN en USING (conv_id)),
+o AS (SELECT *, row_number() OVER v AS rn, lag(role) OVER v AS lr FROM cl WHERE e - s >= 0.2 WINDOW v AS (PARTITION BY conv_id ORDER BY s, e, role)),
+u AS (SELECT *, sum(CASE WHEN lr IS DISTINCT FROM role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY rn) AS run FROM o),
+g AS (SELECT *, max(e) OVER (PARTITION BY conv_id, run ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
+i AS (SELECT *, sum(CASE WHEN s - reach >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, run ORDER BY rn) AS island FROM g),
+sn AS (SELECT conv_id, role, min(s) AS s, max(e) AS e FROM i GROUP BY conv_id, run, island, role),
+fr AS ({_frames_of('rf')}), fh AS ({_frames_of('hy')}), fs AS ({_frames_of('sn')}),
+dr AS (SELECT (SELECT count(*) FILTER (fr.f IS NULL OR fh.f IS NULL) FROM fr FULL JOIN fh ON fr.conv_id = fh.conv_id AND fr.role = fh.role AND fr.f = fh.f) / (SELECT count(*) FROM fr){_D} AS moved,
+  (SELECT count(*) FILTER (fr.f IS NULL OR fs.f IS NULL) FROM fr FULL JOIN fs ON fr.conv_id = fs.conv_id AND fr.role = fs.role AND fr.f = fs.f) / (SELECT count(*) FROM fr){_D} AS snapped)
+SELECT config, round(raw_wer, 6) AS raw_wer, round(normalized_wer, 6) AS normalized_wer, round(CASE WHEN config LIKE '%SNAP' THEN snapped ELSE moved END, 6) AS der FROM rt, dr""")
 def fusion_ablation(spark, sf_dir):
-    out = pipelines.fusion_ablation(spark)
+    """Conversations as records whose turns are chunks of ten seconds: the likeliest hypothesis lacks a turn's last word, a mask
+    takes two seconds of each turn, and speakers come 0.15 s early. Each setting has one step more than the one before."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("record_id"), F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), (F.col("turn") * 10.0).alias("start_s"), (F.col("turn") * 10.0 + 10.0).alias("end_s"),
+        "turn", "role", text.tokens(F.col("text")).alias("words"),
+    )
+    whole = F.array_join("words", " ")
+    cut = F.array_join(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), " ")
+    heard = F.array(*(F.struct(F.lit(k).alias("rank"), t.alias("text"), F.lit(s).alias("score")) for k, (t, s) in enumerate(((cut, -0.1), (whole, -0.2), (whole, -0.25)))))
+    others = F.array(*(F.struct(F.lit(k).alias("system"), whole.alias("text")) for k in (1, 2)))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", whole.alias("t")))), lambda x: x["t"]), " ")
+    speakers = turns.select("record_id", "start_s", "end_s", F.col("role").alias("speaker"))
+    data = pipelines.Recognitions(
+        turns.select("chunk_id", "record_id", "start_s", "end_s"), turns.select("chunk_id", F.explode(heard).alias("x")).select("chunk_id", "x.*"),
+        turns.select("chunk_id", F.explode(others).alias("x")).select("chunk_id", "x.*"), turns.select("record_id", (F.col("start_s") + 2.013).alias("start_s"), (F.col("start_s") + 4.027).alias("end_s")),
+        turns.groupBy("record_id").agg(said.alias("ref")), speakers, speakers.withColumn("start_s", F.col("start_s") - 0.15).withColumn("end_s", F.col("end_s") - 0.15),
+        turns.groupBy("record_id").agg(F.max("end_s").alias("end_s")),
+    )
+    out = pipelines.fusion_ablation(data)
     return out.select("config", *(F.round(c, 6).alias(c) for c in ("raw_wer", "normalized_wer", "der")))
 
 
-@query(_V(["('—+—+—', 1.363636, 1.272727, 6, 0)", "('VAD+—+—', 0.818182, 0.727273, 4, 0)", "('VAD+MUSIC-ROUTE+—', 0.090909, 0.0, 2, 2)", "('VAD+MUSIC-ROUTE+MASK', 0.0, 0.0, 2, 2)"], "config, a, b, c, d")
-       .replace("SELECT *", f"SELECT config, a{_D} AS raw_wer, b{_D} AS normalized_wer, c::BIGINT AS chunks, d::BIGINT AS skipped"))
-def front_end_ablation(spark, sf_dir):
-    out = pipelines.front_end_ablation(spark)
-    return out.select("config", F.round("raw_wer", 6).alias("raw_wer"), F.round("normalized_wer", 6).alias("normalized_wer"), "chunks", "skipped")
-
-
-@query(f"SELECT 0.0{_D} AS raw_wer, 0.0{_D} AS normalized_wer, 0.0{_D} AS der, round(1{_D} / 30, 6) AS der_before")
-def synthetic_run(spark, sf_dir):
-    out = pipelines.synthetic_run(spark)
-    return out.select(*(F.round(c, 6).alias(c) for c in ("raw_wer", "normalized_wer", "der", "der_before")))
-
-
 @query(f"""SELECT conv_id::VARCHAR AS chunk_id, arg_max(text, struct_pack(t := round(-0.05{_D} * turn + 0.3 * (-0.02{_D} * length(text)) + 1.0 * len({_words('text')}), 9), r := -turn)) AS text FROM conversations GROUP BY conv_id""")
 def neural_rescore(spark, sf_dir):
     """Rescoring with a neural model's weights, its scores from a model slot."""
@@ -587,3 +618,53 @@ def resampled_audio(spark, sf_dir):
         total = lambda f: F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + f(x.cast("double"))), 4)
         parts.append(rows.select("vec_id", "rate", F.size("s").cast("long").alias("n"), total(lambda x: x).alias("total"), total(lambda x: x * x).alias("energy")))
     return parts[0].unionByName(parts[1])
+
+
+_NEAREST = "arg_min(t, struct_pack(g := round(abs(t - {at}), 9), b := -t))"
+
+
+@query(f"""WITH {EVENTS_SQL}, z AS (SELECT record_id, event_id, start_s, end_s, 'SPEAKER_' || lpad((event_id % 3)::VARCHAR, 2, '0') AS speaker FROM ev WHERE speaker <> 'error'),
+ed AS (SELECT record_id, start_s + 0.1 AS t FROM ev WHERE event_id % 2 = 0 UNION ALL SELECT record_id, end_s - 0.15 FROM ev WHERE event_id % 3 = 0),
+a AS (SELECT event_id, {_NEAREST.format(at='start_s')} AS t FROM z JOIN ed ON z.record_id = ed.record_id AND abs(t - start_s) <= 0.2 GROUP BY event_id, start_s),
+b AS (SELECT event_id, {_NEAREST.format(at='end_s')} AS t FROM z JOIN ed ON z.record_id = ed.record_id AND abs(t - end_s) <= 0.2 GROUP BY event_id, end_s),
+r AS (SELECT z.record_id, z.speaker, coalesce(a.t, start_s) AS x, coalesce(b.t, end_s) AS y FROM z LEFT JOIN a USING (event_id) LEFT JOIN b USING (event_id)),
+s AS (SELECT record_id, speaker, greatest(x, 0) AS start_s, CASE WHEN y <= x THEN greatest(x + 0.2, y) ELSE y END AS end_s FROM r),
+o AS (SELECT *, row_number() OVER w AS rn, lag(speaker) OVER w AS ls FROM s WHERE end_s - start_s >= 0.2 WINDOW w AS (PARTITION BY record_id ORDER BY start_s, end_s, speaker)),
+q AS (SELECT *, sum(CASE WHEN ls IS DISTINCT FROM speaker THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY rn) AS run FROM o),
+g AS (SELECT *, max(end_s) OVER (PARTITION BY record_id, run ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q),
+i AS (SELECT *, sum(CASE WHEN start_s - reach >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY record_id, run ORDER BY rn) AS island FROM g)
+SELECT record_id, speaker, round(min(start_s), 3) AS start_s, round(max(end_s), 3) AS end_s FROM i GROUP BY record_id, run, island, speaker""")
+def diarized_events(spark, sf_dir):
+    """A diarization from end to end: segments with cluster labels, snapped to edges near by, cleaned up."""
+    from pyspark.sql import Window
+
+    ev = events(spark, sf_dir)
+    order = Window.partitionBy("record_id").orderBy("event_id")
+    segments = ev.filter("speaker <> 'error'").drop("speaker").withColumn("ordinal", F.row_number().over(order) - 1)
+    labels = segments.select("record_id", "ordinal", (F.col("event_id") % 3).cast("int").alias("label"))
+    edges = ev.filter("event_id % 2 = 0").select("record_id", (F.col("start_s") + 0.1).alias("time_s")).unionAll(ev.filter("event_id % 3 = 0").select("record_id", (F.col("end_s") - 0.15).alias("time_s")))
+    out = pipelines.diarize(segments, labels, edges)
+    return out.select("record_id", "speaker", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+
+
+@query(f"""WITH {EVENTS_SQL}, au AS (SELECT record_id, max(start_s) AS duration_s FROM ev WHERE record_id::INT % 5 <> 0 GROUP BY 1),
+tn AS (SELECT ev.record_id, upper(speaker) AS speaker, start_s, end_s, duration_s FROM ev JOIN au USING (record_id) WHERE record_id::INT % 7 <> 1),
+pr AS (SELECT record_id, count(*) AS n_turns, count(DISTINCT speaker) AS n_speakers, count(DISTINCT speaker) FILTER (speaker LIKE 'E%') AS n_e, count(DISTINCT speaker) FILTER (speaker LIKE 'I%') AS n_i,
+  avg(end_s - start_s) AS mean_turn_s, median(end_s - start_s) AS median_turn_s, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers, greatest(0, max(end_s) - any_value(duration_s)) AS overshoot_s FROM tn GROUP BY 1),
+cl AS (SELECT record_id, start_s, least(end_s, duration_s) AS end_s FROM tn WHERE least(end_s, duration_s) > start_s),
+un AS (SELECT *, max(end_s) OVER (PARTITION BY record_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM cl),
+sp AS (SELECT record_id, sum(greatest(0, end_s - greatest(start_s, coalesce(pm, start_s)))) AS speech_s FROM un GROUP BY 1),
+ee AS (SELECT record_id, t, sum(d) AS d FROM (SELECT record_id, start_s AS t, 1 AS d FROM tn UNION ALL SELECT record_id, end_s, -1 FROM tn) GROUP BY 1, 2),
+oo AS (SELECT record_id, t, sum(d) OVER o AS n, lead(t) OVER o AS nt FROM ee WINDOW o AS (PARTITION BY record_id ORDER BY t)), ov AS (SELECT record_id, sum(CASE WHEN n >= 2 THEN nt - t ELSE 0 END) AS overlap_s FROM oo GROUP BY 1)
+SELECT record_id, coalesce(n_turns, 0) AS n_turns, coalesce(n_speakers, 0) AS n_speakers, coalesce(n_e, 0) AS n_e, coalesce(n_speakers - n_e - n_i, 0) AS n_other, coalesce(speakers, '') AS speakers,
+  round(coalesce(mean_turn_s, 0), 3) AS mean_turn_s, round(coalesce(median_turn_s, 0), 3) AS median_turn_s, round(coalesce(speech_s, 0), 2) AS speech_s, round(coalesce(overlap_s, 0), 2) AS overlap_s,
+  round(coalesce(overshoot_s, 0), 2) AS overshoot_s, round(CASE WHEN duration_s > 0 THEN coalesce(speech_s, 0) / duration_s ELSE 0 END, 6) AS speech_ratio, round(CASE WHEN speech_s > 0 THEN overlap_s / speech_s ELSE 0 END, 6) AS overlap_ratio
+FROM au LEFT JOIN pr USING (record_id) LEFT JOIN sp USING (record_id) LEFT JOIN ov USING (record_id)""")
+def record_profile(spark, sf_dir):
+    """Records of events as a corpus report has them; some have no turns."""
+    ev = events(spark, sf_dir)
+    audio = ev.filter("cast(record_id AS int) % 5 <> 0").groupBy("record_id").agg(F.max("start_s").alias("duration_s"))
+    turns = ev.filter("cast(record_id AS int) % 7 <> 1").withColumn("speaker", F.upper("speaker"))
+    digits = {"mean_turn_s": 3, "median_turn_s": 3, "speech_s": 2, "overlap_s": 2, "overshoot_s": 2, "speech_ratio": 6, "overlap_ratio": 6}
+    out = report.record_profile(turns, audio)
+    return out.select("record_id", "n_turns", "n_speakers", "n_e", "n_other", "speakers", *(F.round(c, d).alias(c) for c, d in digits.items()))

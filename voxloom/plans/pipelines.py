@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import align, text
 from voxloom.operators import chunks, diarization, intervals, models, select
 from voxloom.plans import fixtures
+from voxloom.sources.shared import materialize
 
 
 def transcribe(chunk_rows: DataFrame, recognizer, music: DataFrame | None = None, nonspeech: DataFrame | None = None) -> DataFrame:
@@ -23,7 +24,11 @@ def transcribe(chunk_rows: DataFrame, recognizer, music: DataFrame | None = None
 
 def masked_transcripts(recognized: DataFrame, nonspeech: DataFrame | None = None) -> DataFrame:
     """(record_id, words) of recognized chunks, merged by record, without the words inside of nonspeech intervals."""
-    merged = chunks.merge_chunks(recognized)
+    return without_masked(chunks.merge_chunks(recognized), nonspeech)
+
+
+def without_masked(merged: DataFrame, nonspeech: DataFrame | None) -> DataFrame:
+    """(record_id, words) without the words inside of nonspeech intervals, if there are any."""
     if nonspeech is None:
         return merged
     spans = nonspeech.groupBy("record_id").agg(F.collect_list(F.struct("start_s", "end_s")).alias("__spans"))
@@ -84,68 +89,101 @@ class Knobs:
 STEPS = (Knobs(False, False, False, False), Knobs(True, False, False, False), Knobs(True, True, False, False), Knobs(True, True, True, False), Knobs())
 
 
-def fused_words(spark: SparkSession, cases: list[tuple], knobs: Knobs, mask: tuple[float, float]) -> DataFrame:
-    """(record_id, words) of one record made of chunk cases."""
-    best = spark.createDataFrame([(c, k, t, s) for c, _, _, nbest, _ in cases for k, (t, s) in enumerate(nbest)], "chunk_id string, rank int, text string, score double")
+@dataclass(frozen=True)
+class Recognitions:
+    """What an ablation needs of any number of records: chunks (chunk_id, record_id, start_s, end_s), the first system's nbest
+    (chunk_id, rank, text, score), others' words (chunk_id, system from 1, text), masks (record_id, start_s, end_s), references
+    (record_id, ref), and the speakers of reference and hypothesis (record_id, start_s, end_s, speaker; ends (record_id, end_s))."""
+
+    chunks: DataFrame
+    nbest: DataFrame
+    others: DataFrame
+    masks: DataFrame
+    references: DataFrame
+    speakers: DataFrame
+    hypothesis: DataFrame
+    ends: DataFrame
+
+
+def fused_words(data: Recognitions, knobs: Knobs) -> DataFrame:
+    """(record_id, words) of each record, picked and fused by the steps that are on; masks come after it."""
     if knobs.mbr:
-        picked = chunks.minimum_risk(best).select("chunk_id", "text")
+        picked = chunks.minimum_risk(data.nbest).select("chunk_id", "text")
     else:
-        picked = best.groupBy("chunk_id").agg(F.max_by("text", F.struct("score", -F.col("rank"))).alias("text"))
+        picked = data.nbest.groupBy("chunk_id").agg(F.max_by("text", F.struct("score", -F.col("rank"))).alias("text"))
     if knobs.rover:
-        others = spark.createDataFrame([(c, k + 1, t) for c, _, _, _, more in cases for k, t in enumerate(more)], "chunk_id string, system int, text string")
-        systems = picked.select("chunk_id", F.lit(0).alias("system"), "text").unionByName(others)
+        systems = picked.select("chunk_id", F.lit(0).alias("system"), "text").unionByName(data.others.select("chunk_id", "system", "text"))
         token = F.transform(text.tokens(F.col("text")), lambda w: F.struct(w.alias("word"), F.lit(1.0).alias("confidence")))
         said = chunks.fuse(systems.select("chunk_id", "system", token.alias("words")))
     else:
         said = picked.select("chunk_id", text.tokens(F.col("text")).alias("words"))
-    spans = spark.createDataFrame([c[:3] for c in cases], "chunk_id string, start_s double, end_s double")
-    rows = said.join(spans, "chunk_id").select(F.lit("r").alias("record_id"), "start_s", "end_s", chunks.even_spans(F.col("words"), F.col("start_s"), F.col("end_s")).alias("words"))
-    merged = chunks.merge_chunks(rows)
-    if knobs.mask:
-        span = F.array(F.struct(F.lit(mask[0]).alias("start_s"), F.lit(mask[1]).alias("end_s")))
-        merged = merged.withColumn("words", intervals.mask_words(F.col("words"), span))
-    return merged
-
-
-def speaker_error(spark: SparkSession, reference: list[tuple], hypothesis: list[tuple], end_s: float, edges: DataFrame | None) -> DataFrame:
-    """One row (rate): frame error of a record, the hypothesis snapped and cleaned up if edges are given."""
-    table = lambda rows: spark.createDataFrame([("r", *r) for r in rows], "record_id string, start_s double, end_s double, speaker string")
-    hyp = table(hypothesis)
+    rows = said.join(data.chunks, "chunk_id").select("record_id", "start_s", "end_s", chunks.even_spans(F.col("words"), F.col("start_s"), F.col("end_s")).alias("words"))
+    return chunks.merge_chunks(rows)
+
+
+def speaker_error(data: Recognitions, edges: DataFrame | None) -> DataFrame:
+    """One row (der): frame errors of all records by their reference frames; the hypothesis is snapped and cleaned up if edges are given."""
+    hyp = data.hypothesis
     if edges is not None:
-        hyp = intervals.merge_gaps(intervals.snap(hyp, edges), max_end=F.lit(end_s))
-    return intervals.frame_error(table(reference), hyp, F.lit(end_s)).select("record_id", "rate")
-
-
-def evaluate(spark: SparkSession, cases: list[tuple], knobs: Knobs, mask: tuple[float, float], reference: str, speakers: list[tuple], misaligned: list[tuple], end_s: float) -> DataFrame:
-    """(config, raw_wer, normalized_wer, der) of one setting; word edges always come from the full pipeline."""
-    said = fused_words(spark, cases, knobs, mask).select("record_id", chunks.transcript(F.col("words")).alias("hyp"), F.lit(reference).alias("ref"))
-    rates = [
-        align.wer(text.tokens(f(F.col("ref"))), text.tokens(f(F.col("hyp")))).alias(n)
-        for n, f in (("raw_wer", lambda c: c), ("normalized_wer", text.normalize_for_eval))
-    ]
-    edges = None
-    if knobs.snap:
-        edges = fused_words(spark, cases, Knobs(), mask).select("record_id", F.explode(chunks.word_edges(F.col("words"))).alias("time_s")).distinct()
-    der = speaker_error(spark, speakers, misaligned, end_s, edges)
-    return said.select("record_id", *rates).join(der, "record_id").select(F.lit(knobs.name).alias("config"), "raw_wer", "normalized_wer", F.col("rate").alias("der"))
-
-
-def fusion_ablation(spark: SparkSession) -> DataFrame:
-    """One row a setting, each with one step more than the one before."""
-    f = fixtures
+        snapped = intervals.snap(hyp, edges).join(data.ends.withColumnRenamed("end_s", "record_end"), "record_id")
+        hyp = intervals.merge_gaps(snapped, max_end=F.col("record_end"))
+    last = data.ends.select("record_id", F.col("end_s").alias("record_end"))
+    sides = [df.join(last, "record_id") for df in (data.speakers, hyp)]
+    found = intervals.frame_error(*sides, F.col("record_end"))
+    return found.agg((F.sum("error_frames") / F.greatest(F.sum("reference_frames"), F.lit(1))).alias("der"))
+
+
+def rates(data: Recognitions, said: DataFrame, name: str) -> DataFrame:
+    """One row (config, raw_wer, normalized_wer) of all records' words."""
+    pairs = said.select("record_id", chunks.transcript(F.col("words")).alias("hyp")).join(data.references, "record_id")
+    sums = []
+    for track, prepare in (("raw_wer", lambda c: c), ("normalized_wer", text.normalize_for_eval)):
+        ref, hyp = (text.tokens(prepare(F.col(c))) for c in ("ref", "hyp"))
+        sums.append((F.sum(align.wer_errors(ref, hyp)) / F.greatest(F.sum(F.size(ref)), F.lit(1))).alias(track))
+    return pairs.agg(*sums).select(F.lit(name).alias("config"), "raw_wer", "normalized_wer")
+
+
+def fusion_ablation(data: Recognitions, steps: tuple[Knobs, ...] = STEPS) -> DataFrame:
+    """(config, raw_wer, normalized_wer, der): one row a setting over all records; word edges always come from the full pipeline.
+
+    Settings share what they have in common: words are fused once for each way to do it, and speakers are scored once with
+    edges and once without.
+    """
+    fused = {(k.mbr, k.rover): k for k in (*steps, Knobs())}
+    fused = {key: materialize(fused_words(data, knobs), "ablation-words") for key, knobs in fused.items()}
+    edges = without_masked(fused[True, True], data.masks).select("record_id", F.explode(chunks.word_edges(F.col("words"))).alias("time_s")).distinct()
+    der = {snap: materialize(speaker_error(data, edges if snap else None), "ablation-speakers") for snap in {k.snap for k in steps}}
     out = None
-    for knobs in STEPS:
-        row = evaluate(spark, f.FUSION_CHUNKS, knobs, f.FUSION_MASK, f.REFERENCE, f.FUSION_SPEAKERS, f.FUSION_MISALIGNED, f.FUSION_END)
+    for knobs in steps:
+        said = without_masked(fused[knobs.mbr, knobs.rover], data.masks if knobs.mask else None)
+        row = rates(data, said, knobs.name).withColumn("der", der[knobs.snap].scalar())
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def fixed_recognitions(spark: SparkSession, cases: list[tuple], mask: tuple[float, float], reference: str, speakers: list[tuple], misaligned: list[tuple], end_s: float) -> Recognitions:
+    """One record of the fixtures."""
+    table = spark.createDataFrame
+    turns = lambda rows: table([("r", *r) for r in rows], "record_id string, start_s double, end_s double, speaker string")
+    return Recognitions(
+        table([(c, "r", a, b) for c, a, b, _, _ in cases], "chunk_id string, record_id string, start_s double, end_s double"),
+        table([(c, k, t, s) for c, _, _, nbest, _ in cases for k, (t, s) in enumerate(nbest)], "chunk_id string, rank int, text string, score double"),
+        table([(c, k + 1, t) for c, _, _, _, more in cases for k, t in enumerate(more)], "chunk_id string, system int, text string"),
+        table([("r", *mask)], "record_id string, start_s double, end_s double"), table([("r", reference)], "record_id string, ref string"),
+        turns(speakers), turns(misaligned), table([("r", end_s)], "record_id string, end_s double"),
+    )
+
+
+def fixed_fusion(spark: SparkSession) -> Recognitions:
+    f = fixtures
+    return fixed_recognitions(spark, f.FUSION_CHUNKS, f.FUSION_MASK, f.REFERENCE, f.FUSION_SPEAKERS, f.FUSION_MISALIGNED, f.FUSION_END)
+
+
 def synthetic_run(spark: SparkSession) -> DataFrame:
     """One row: error rates of the overlapping fixture, and its diarization error before and after snapping."""
     f = fixtures
-    full = evaluate(spark, f.SYNTHETIC_CHUNKS, Knobs(), f.SYNTHETIC_MASK, f.REFERENCE, f.SYNTHETIC_SPEAKERS, f.SYNTHETIC_MISALIGNED, f.SYNTHETIC_END)
-    before = speaker_error(spark, f.SYNTHETIC_SPEAKERS, f.SYNTHETIC_MISALIGNED, f.SYNTHETIC_END, None)
-    return full.withColumn("der_before", before.select("rate").scalar())
+    data = fixed_recognitions(spark, f.SYNTHETIC_CHUNKS, f.SYNTHETIC_MASK, f.REFERENCE, f.SYNTHETIC_SPEAKERS, f.SYNTHETIC_MISALIGNED, f.SYNTHETIC_END)
+    return fusion_ablation(data, (Knobs(),)).withColumn("der_before", speaker_error(data, None).scalar())
 
 
 def fixed_words(chunk_rows: DataFrame) -> DataFrame:

@@ -162,12 +162,19 @@ def long_form_wer(spark, sf_dir):
     return score.corpus_wer(turn_pairs(spark, sf_dir), ["record_id"]).withColumn("wer", F.round("wer", 6))
 
 
-@query(f"""WITH {_NORM_PAIRS}, e AS (SELECT s.source, {_NORM_ERRORS} AS errors, len(a) AS words FROM np JOIN (SELECT doc_id::VARCHAR AS record_id, source FROM documents) s USING (record_id))
-SELECT source, sum(errors) AS errors, sum(words) AS words, round(sum(errors) / greatest(sum(words), 1)::DOUBLE, 6) AS wer FROM e GROUP BY source""")
+_SUMS = """count(*) AS n, sum(re)::BIGINT AS raw_errors, sum(rw)::BIGINT AS raw_words, round(sum(re) / greatest(sum(rw), 1)::DOUBLE, 6) AS raw_wer,
+  sum(e)::BIGINT AS errors, sum(w)::BIGINT AS words, round(sum(e) / greatest(sum(w), 1)::DOUBLE, 6) AS wer FROM c"""
+
+
+@query(f"""WITH {_NORM_PAIRS}, x AS (SELECT np.*, s.source, turn % 7 = 3 AS lost FROM np JOIN (SELECT doc_id::VARCHAR AS record_id, source FROM documents) s USING (record_id)),
+c AS MATERIALIZED (SELECT source, CASE WHEN lost OR len(ra) = 0 THEN 0 ELSE {_edits("ra", "rb")} END AS re, CASE WHEN lost THEN 0 ELSE len(ra) END AS rw,
+  CASE WHEN lost OR len(a) = 0 THEN 0 ELSE {_edits("a", "b")} END AS e, CASE WHEN lost THEN 0 ELSE len(a) END AS w FROM x)
+SELECT source, false AS total, {_SUMS} GROUP BY source UNION ALL SELECT NULL, true, {_SUMS}""")
 def source_wer(spark, sf_dir):
-    """Error rates by the source of the document of the conversation's number."""
+    """Error rates by the source of the document of the conversation's number; every seventh pair has no reference."""
     sources = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), "source")
-    return score.corpus_wer(turn_pairs(spark, sf_dir).join(sources, "record_id"), ["source"]).withColumn("wer", F.round("wer", 6))
+    pairs = turn_pairs(spark, sf_dir).join(sources, "record_id").withColumn("ref", F.when(F.col("turn") % 7 != 3, F.col("ref")))
+    return score.source_wer(pairs).withColumn("raw_wer", F.round("raw_wer", 6)).withColumn("wer", F.round("wer", 6))
 
 
 @query(f"""WITH {_WORD_PAIRS}, e AS (SELECT role, {_edits("a", "b")} AS errors, len(a) AS words FROM wp)
