@@ -69,11 +69,15 @@ def resample(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
     for at in range(0, len(out), RESAMPLE_BLOCK):
         n = np.arange(at, min(len(out), at + RESAMPLE_BLOCK), dtype=np.int64) * down
         out[at : at + len(n)] = np.einsum("nk,nk->n", windows[n // up], bank[n % up])
-    return out.astype(np.float32)
+    return out
 
 
 def load_mono(data: bytes, rate: int = RATE) -> np.ndarray:
     """float32 samples in [-1, 1], channels averaged."""
+    return _mono(data, rate).astype(np.float32)
+
+
+def _mono(data: bytes, rate: int) -> np.ndarray:
     with wave.open(io.BytesIO(data)) as w:
         raw, width, channels, own = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
     if width == 1:
@@ -83,7 +87,7 @@ def load_mono(data: bytes, rate: int = RATE) -> np.ndarray:
         x = ((parts[:, 0] << 8 | parts[:, 1] << 16 | parts[:, 2] << 24) >> 8).astype(np.float32) / 2**23
     else:
         x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / 2.0 ** (8 * width - 1)
-    return resample(x.reshape(-1, channels).mean(axis=1).astype(np.float32), own, rate)
+    return resample(x.reshape(-1, channels).mean(axis=1), own, rate)
 
 
 def dump_mono(x: np.ndarray, rate: int = RATE) -> bytes:
@@ -98,11 +102,11 @@ def dump_mono(x: np.ndarray, rate: int = RATE) -> bytes:
 
 
 def resampled(content: Column, rate: int = RATE) -> Column:
-    """WAV bytes as mono samples at a rate: array<float>."""
+    """WAV bytes as mono samples at a rate: array<double>."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda c: load_mono(bytes(c), rate))
+        return values.map(lambda c: _mono(bytes(c), rate).astype(np.float64))
 
     return run(content)
 
