@@ -166,7 +166,8 @@ def mix(
     names gives what these five are called in rows: names that docs doesn't have.
     """
     keep = docs.columns if keep is None else keep
-    names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "rate", "copies", "source", "turn", "place", "of", "multiplier", "cutoff", "take", "extra")}
+    names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "rate", "copies", "source", "turn", "place")}
+    inner = {c: free_name(docs, f"mix_{c}") for c in ("of", "multiplier", "cutoff", "take", "extra")}
     turn = F.xxhash64(F.lit("mix"), F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(
         *(F.col(f"`{c}`") for c in keep), F.col(source_col).cast("string").alias(names["source"]), size_of(F.col(text_col)).alias(names["size"]), turn.alias(names["turn"])
@@ -187,19 +188,19 @@ def mix(
     plan = materialize(plan, "mix-plan")
     n_plan = plan.count()
     named = plan.select(
-        F.col("of").alias(names["of"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
-        F.col("multiplier").alias(names["multiplier"]), F.col("cutoff").alias(names["cutoff"]), F.col("take").alias(names["take"]),
+        F.col("of").alias(inner["of"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]),
+        F.col("multiplier").alias(inner["multiplier"]), F.col("cutoff").alias(inner["cutoff"]), F.col("take").alias(inner["take"]),
     )
-    joined = rows.join(maybe_broadcast(named, n_plan, BROADCAST_ROWS), F.col(names["source"]).eqNullSafe(F.col(names["of"])))
-    joined = joined.withColumn(names["rate"], rate_of(F.col(names["size"]), F.col(names["multiplier"]), max_rate))
+    joined = rows.join(maybe_broadcast(named, n_plan, BROADCAST_ROWS), F.col(names["source"]).eqNullSafe(F.col(inner["of"])))
+    joined = joined.withColumn(names["rate"], rate_of(F.col(names["size"]), F.col(inner["multiplier"]), max_rate))
     joined = joined.withColumn(names["place"], place_of(F.col(names["rate"]), F.col(names["turn"])))
-    at_end = F.coalesce((F.col(names["place"]) == F.col(names["cutoff"])) & (F.col(names["take"]) > 0), F.lit(False))
-    extra = F.coalesce(F.col(names["place"]) < F.coalesce(names["cutoff"], F.lit(2**62).cast("long")), F.lit(False))
+    at_end = F.coalesce((F.col(names["place"]) == F.col(inner["cutoff"])) & (F.col(inner["take"]) > 0), F.lit(False))
+    extra = F.coalesce(F.col(names["place"]) < F.coalesce(inner["cutoff"], F.lit(2**62).cast("long")), F.lit(False))
     # rows of the place where words run out: one document and its repeats, or by chance another of the same place
     turns = Window.partitionBy(names["source"]).orderBy(names["size"], names["turn"])
-    last = joined.filter(at_end).withColumn(names["extra"], F.row_number().over(turns) <= F.col(names["take"]))
-    both = joined.filter(~at_end).withColumn(names["extra"], extra).unionByName(last)
-    both = both.withColumn(names["copies"], _whole(F.col(names["rate"])) + F.col(names["extra"]).cast("int"))
+    last = joined.filter(at_end).withColumn(inner["extra"], F.row_number().over(turns) <= F.col(inner["take"]))
+    both = joined.filter(~at_end).withColumn(inner["extra"], extra).unionByName(last)
+    both = both.withColumn(names["copies"], _whole(F.col(names["rate"])) + F.col(inner["extra"]).cast("int"))
     out = [names[c] for c in ("size", "source_size", "target", "rate", "copies")]
     return both.select(*(F.col(f"`{c}`") for c in keep), *out), names
 
