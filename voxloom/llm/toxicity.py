@@ -52,6 +52,7 @@ CLEAN_SENTENCES, ROUNDS = 3, 3
 TOKEN_CHARS = 24
 #: Words whose kernel values are summed at once, so that they stay in the processor's cache.
 WORDS_AT_ONCE = 128
+#: Words whose kernel values a worker keeps, and as many again that it may fall back on.
 CACHE_WORDS = 400_000
 EDGES = "\"'.,;:!?()[]{}<>*#$%&|-_…»«“”‘’¡¿"
 SENTENCE_END = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -144,7 +145,9 @@ class Landmarks:
         self.slot[self.codes & np.uint64(_SLOTS - 1)] = True
         self.gram = np.array([[kernel(a, b) for b in maps] for a in maps]) if maps else np.zeros((0, 0))
         self.common = [self._least_common(w) for w in words]
+        #: Words of late; those before them, from which a word comes back when it is met again.
         self.known: dict[str, np.ndarray | None] = {}
+        self.before: dict[str, np.ndarray | None] = {}
 
     def near(self, tokens: list[str]) -> None:
         """Fills ``known`` for the tokens: kernel values with each landmark, or None if all are below NEAR."""
@@ -262,10 +265,12 @@ class Landmarks:
         """For each text its sentences' kernel values with each landmark, those of sentences that are near none left out."""
         low = [t.lower() if t else "" for t in texts]
         bags = [{*t.split(), *spelled(t)} for t in low]
-        known = self.known
-        if len(known) > CACHE_WORDS:  # between batches only: all words of this batch must be known below
-            known.clear()
-        new = list({w for bag in bags for w in bag if w not in known})
+        if len(self.known) > CACHE_WORDS:  # between batches only: all words of this batch must be known below
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        asked = {w for bag in bags for w in bag if w not in known}
+        known.update((w, before[w]) for w in asked if w in before)
+        new = [w for w in asked if w not in before]
         for i in range(0, len(new), 20_000):
             self.near(new[i : i + 20_000])
         out = []
