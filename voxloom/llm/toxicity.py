@@ -27,7 +27,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,6 +148,8 @@ class Landmarks:
         #: Words of late; those before them, from which a word comes back when it is met again.
         self.known: dict[str, np.ndarray | None] = {}
         self.before: dict[str, np.ndarray | None] = {}
+        #: Those of ``known`` that are near a landmark.
+        self.hits: dict[str, np.ndarray] = {}
 
     def near(self, tokens: list[str]) -> None:
         """Fills ``known`` for the tokens: kernel values with each landmark, or None if all are below NEAR."""
@@ -196,7 +198,13 @@ class Landmarks:
                         mine = np.where(values[k] >= NEAR, values[k], np.float32(0))
                         old = result[owner[chosen[k]]]
                         result[owner[chosen[k]]] = mine if old is None else np.maximum(old, mine)
-        self.known.update(zip(tokens, result, strict=True))
+        self._keep(zip(tokens, result, strict=True))
+
+    def _keep(self, values: Iterable[tuple[str, np.ndarray | None]]) -> None:
+        for word, value in values:
+            self.known[word] = value
+            if value is not None:
+                self.hits[word] = value
 
     def _may_be_near(self, parts: list[str]) -> np.ndarray:
         """False where a word has too few characters in common with every landmark to reach NEAR."""
@@ -266,26 +274,38 @@ class Landmarks:
         low = [t.lower() if t else "" for t in texts]
         bags = [{*t.split(), *spelled(t)} for t in low]
         if len(self.known) > CACHE_WORDS:  # between batches only: all words of this batch must be known below
-            self.known, self.before = {}, self.known
-        known, before = self.known, self.before
-        asked = {w for bag in bags for w in bag if w not in known}
-        known.update((w, before[w]) for w in asked if w in before)
-        new = [w for w in asked if w not in before]
+            self.known, self.before, self.hits = {}, self.known, {}
+        before, hits = self.before, self.hits
+        asked = set().union(*(bag.difference(self.known) for bag in bags))
+        self._keep((w, before[w]) for w in asked.intersection(before))
+        new = list(asked.difference(before))
         for i in range(0, len(new), 20_000):
             self.near(new[i : i + 20_000])
         out = []
         for text, bag in zip(low, bags, strict=True):
-            close = {w for w in bag if known.get(w) is not None}
+            close = hits.keys() & bag
             # words spelled apart may run over ends of sentences ("i. d. i."): each is a sentence of its own
             apart = {w for w in close if any(map(str.isspace, w))}
-            found = [known[w] ** POWER for w in sorted(apart)]
+            found = [hits[w] ** POWER for w in sorted(apart)]
             for sentence in SENTENCE_END.split(text) if len(close) > len(apart) else ():
                 if words := close.intersection(sentence.split()):
-                    found.append(np.sum([known[w] ** POWER for w in sorted(words)], axis=0))
+                    found.append(np.sum([hits[w] ** POWER for w in sorted(words)], axis=0))
             out.append(np.array(found, np.float32).reshape(-1, len(self.words)))
         return out
 
 
+_HELD: dict[tuple[str, ...], Landmarks] = {}
+
+
+def landmarks_of(words: list[str]) -> Landmarks:
+    """The landmarks with the words that this worker has met already, in tasks before too; those of one model at a time."""
+    key = tuple(words)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Landmarks(words)
+    return _HELD[key]
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -396,7 +416,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        marks = Landmarks(model.landmarks) if model else None
+        marks = landmarks_of(model.landmarks) if model else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             scores = model.scores(marks.sentences(texts)) if model else np.zeros(len(texts))
