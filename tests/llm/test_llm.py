@@ -757,7 +757,7 @@ def test_pipeline_and_queries(spark):
     assert abs(words(seen[3]) - words(seen[2])) <= 3 * 120 and len(seen[4]) == len(seen[3])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.queries()}
 
 
 def test_pipeline_keeps_texts_of_shared_and_null_ids(spark):
