@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions import text
+from voxloom.sources.shared import materialize
 
 BEGIN, END = "<s>", "</s>"
-BROADCAST_ROWS = 200_000
+#: Rows of a table that may be held by the driver and every executor.
+BROADCAST_ROWS = 20_000
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A table that was written, with its join: broadcast by its rows, as its compressed bytes say little of what it takes in memory."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def padded(words: Column) -> Column:
@@ -31,15 +34,15 @@ def trigrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class KneserNey:
-    """Tables of a trigram model: full counts at order three, continuation counts below."""
+    """Tables of a trigram model: full counts at order three, continuation counts below. Each is written once and read by all that need it."""
 
     def __init__(self, texts: DataFrame, text_col: str = "text", discount: float = 0.75):
         self.d = discount
-        self.three = trigrams(texts, text_col).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c3"))
-        self.two = self.three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c2"))
-        self.one = self.two.groupBy("w").agg(F.count(F.lit(1)).alias("c1"))
-        self.context3 = self.three.groupBy("u", "v").agg(F.sum("c3").alias("n3"), F.count(F.lit(1)).alias("t3"))
-        self.context2 = self.two.groupBy("v").agg(F.sum("c2").alias("n2"), F.count(F.lit(1)).alias("t2"))
+        self.three = materialize(trigrams(texts, text_col).groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("c3")), "lm-three")
+        self.two = materialize(self.three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c2")), "lm-two")
+        self.one = materialize(self.two.groupBy("w").agg(F.count(F.lit(1)).alias("c1")), "lm-one")
+        self.context3 = materialize(self.three.groupBy("u", "v").agg(F.sum("c3").alias("n3"), F.count(F.lit(1)).alias("t3")), "lm-context3")
+        self.context2 = materialize(self.two.groupBy("v").agg(F.sum("c2").alias("n2"), F.count(F.lit(1)).alias("t2")), "lm-context2")
         self.context1 = self.one.agg(F.sum("c1").alias("n1"), F.count(F.lit(1)).alias("t1"))
 
     def log10(self, grams: DataFrame) -> DataFrame:
@@ -48,14 +51,15 @@ class KneserNey:
         keys = grams.select("u", "v", "w").distinct()
         rows = keys.join(_small(self.three), ["u", "v", "w"], "left").join(_small(self.context3), ["u", "v"], "left")
         rows = rows.join(_small(self.two), ["v", "w"], "left").join(_small(self.context2), ["v"], "left").join(_small(self.one), ["w"], "left")
-        rows = rows.select("*", self.context1.select("n1").scalar().alias("n1"), self.context1.select("t1").scalar().alias("t1"))
+        whole = self.context1.first()
+        rows = rows.select("*", F.lit(whole["n1"]).cast("long").alias("n1"), F.lit(whole["t1"]).alias("t1"))
         zero = lambda c: F.coalesce(c, F.lit(0))
         p = (F.greatest(zero("c1") - d, F.lit(0.0)) + d * F.col("t1") / (F.col("t1") + 1)) / F.col("n1")
         for k in ("2", "3"):
             inner = (F.greatest(zero(f"c{k}") - d, F.lit(0.0)) + d * F.col(f"t{k}") * p) / F.col(f"n{k}")
             p = F.when(F.col(f"n{k}").isNull(), p).otherwise(inner)
         scored = rows.select("u", "v", "w", F.log10(p).alias("lp"))
-        return grams.join(scored, ["u", "v", "w"])
+        return grams.join(scored.hint("merge"), ["u", "v", "w"])
 
     def score(self, texts: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         """(key, lm): log10 of each text's probability, its end included."""
