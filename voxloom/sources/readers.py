@@ -12,10 +12,15 @@ from voxloom.sources import wav
 from voxloom.sources.shared import bounded_batches
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, line, value): lines of text files with their number in the file."""
-    whole = spark.read.text(path, wholetext=True).select(_record(F.col("_metadata.file_path")).alias("record_id"), F.split("value", "\r?\n").alias("all"))
-    return whole.select("record_id", F.posexplode("all").alias("line", "value"))
+def _lines(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """(record_id, line, value): lines of text files, or of packed documents, with their number in the file."""
+    files = read_packed(spark, path) if packed else spark.read.text(path, wholetext=True).select(_record(F.col("_metadata.file_path")).alias("record_id"), "value")
+    return files.select("record_id", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(record_id, value) of documents that ``writers.write_packed`` has written."""
+    return spark.read.schema("record_id string, value string").json(path, mode="FAILFAST")
 
 
 def _record(path: Column) -> Column:
@@ -32,13 +37,16 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get("f", 1).alias("record_id"), start.alias("start_s"), (start + size).alias("end_s"), F.get("f", 7).alias("speaker"))
 
 
-def read_soft_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of ``START END SPEAKER: text`` files; lines of another form are skipped. ``also``: speakers embedded as [HS:id."""
+def read_soft_labels(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Turns of ``START END SPEAKER: text`` files; lines of another form are skipped. ``also``: speakers embedded as [HS:id.
+
+    packed: files as write_packed has put them together; a file a record is much work for the driver beyond some thousands.
+    """
     # two numbers, then a speaker up to the first colon, then what was said
     head, said = F.split_part("value", F.lit(":"), F.lit(1)), F.regexp_replace("value", "^[^:]*:\\s*", "")
     field = F.split(F.trim(head), r"\s+", 3)
     number = lambda k: F.get(field, k).try_cast("double")
-    rows = _lines(spark, path).filter(F.col("value").contains(":") & (F.size(field) == 3) & F.get(field, 0).rlike(r"^[\d.]+$") & F.get(field, 1).rlike(r"^[\d.]+$"))
+    rows = _lines(spark, path, packed).filter(F.col("value").contains(":") & (F.size(field) == 3) & F.get(field, 0).rlike(r"^[\d.]+$") & F.get(field, 1).rlike(r"^[\d.]+$"))
     also = F.regexp_extract_all(said, F.lit(r"\[HS:([^\s\]]+)"), F.lit(1))
     return rows.select(
         "record_id", F.col("line").cast("long").alias("line"), number(0).alias("start_s"), number(1).alias("end_s"), F.trim(F.get(field, 2)).alias("speaker"), said.alias("text"), also.alias("also")
@@ -106,6 +114,7 @@ def read_meta_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_wav(spark: SparkSession, path: str) -> DataFrame:
     """(path, record_id, rate, channels, bits, duration_s) from the headers of WAV files."""
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
     return files.select("path", _record(F.col("path")).alias("record_id"), wav.probe(F.col("content")).alias("p")).select("path", "record_id", "p.*")
 
@@ -114,7 +123,6 @@ def build_manifest(spark: SparkSession, segments: str, longform: str, meta: Data
     """Segments and long recordings with their transcripts and metadata.
 
     A segment without a transcript goes; a long recording stays without one, in a split of its own. No rows: ValueError.
-    bounded_batches(spark)
     """
 
     def side(folder: str, kind: str) -> DataFrame:
