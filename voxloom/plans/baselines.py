@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import text
 from voxloom.operators import chunks, diarization, intervals, models, score, select
 from voxloom.operators.report import grade
+from voxloom.sources.shared import materialize
 
 Loader = Callable[[], Callable[[dict], str]]
 
@@ -49,11 +50,16 @@ def recognition_baseline(manifest: DataFrame, load: Loader, second: Loader | Non
         both = rows.select("segment_id", F.explode(F.array(*(F.struct(F.lit(k).alias("system"), token(c).alias("words")) for k, c in enumerate(("hyp", "hyp_second"))))).alias("x"))
         fused = chunks.fuse(both.select("segment_id", "x.system", "x.words"), key="segment_id")
         rows = rows.join(fused.select("segment_id", F.array_join("words", " ").alias("hyp_fused")), "segment_id")
-    raw, norm = (score.corpus_wer(rows, track=t) for t in ("raw", "normalized"))
-    joint = score.corpus_wer(rows.filter("hyp_fused IS NOT NULL"), hypothesis="hyp_fused")
-    summary = rows.agg(F.count(F.lit(1)).alias("records")).select(
-        "records", raw.select("wer").scalar().alias("raw_wer"), norm.select("wer").scalar().alias("normalized_wer"), joint.select("wer").scalar().alias("fused_wer")
-    )
+    # models and votes run once a clip: what they give is written, and one pass over it makes all rates
+    rows = materialize(rows, "recognized")
+    scored = rows
+    for name, said, track in (("raw", "hyp", "raw"), ("normalized", "hyp", "normalized"), ("fused", "hyp_fused", "normalized")):
+        scored = score.scored_pairs(scored, hypothesis=said, track=track).withColumnsRenamed({"errors": f"{name}_errors", "words": f"{name}_words"})
+    some = lambda c: F.when(F.col("hyp_fused").isNotNull(), F.col(c))
+    summary = scored.agg(
+        F.count(F.lit(1)).alias("records"), score.rate("raw_errors", "raw_words").alias("raw_wer"), score.rate("normalized_errors", "normalized_words").alias("normalized_wer"),
+        score.rate(some("fused_errors"), some("fused_words")).alias("fused_wer"),
+    )
     return rows, summary
 
 
