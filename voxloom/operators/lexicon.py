@@ -2,28 +2,53 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions import text
+from voxloom.sources.shared import materialize
+
+
+def appearance(docs: DataFrame, order: str, doc: Column, pos: Column) -> Column:
+    """A value that comes in the order of (doc, pos), null documents first.
+
+    Of whole numbers it is one number: the least of a pair can't be held in a hash table, so that all words would be sorted.
+    """
+    if not isinstance(docs.schema[order].dataType, T.IntegralType):
+        return F.struct(doc, pos)
+    number = F.coalesce(doc.cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(20,0)"))
+    return number * F.lit(Decimal(2**31)).cast("decimal(10,0)") + pos
+
+
+def bucket(name: str) -> Column:
+    return F.coalesce(F.when(F.col(name).cast("string") != "", F.col(name).cast("string")), F.lit("_")).alias(name)
+
+
+def word_counts(docs: DataFrame, by: list[str], text_col: str = "text", order: str = "doc_id") -> DataFrame:
+    """(by.., word, tf, df, first): occurrences, documents and first appearance of each word in each bucket, written once."""
+    base = docs.select(*map(bucket, by), F.col(order).alias("__doc"), text.word_tokens(F.col(text_col)).alias("__words"))
+    # a document's words, and then its distinct ones again: all counts come from one reading and one exchange
+    listed = F.posexplode(F.concat("__words", F.array_distinct("__words"))).alias("__pos", "word")
+    rows = base.select(*by, "__doc", F.size("__words").alias("__n"), listed)
+    said, held = F.col("__pos") < F.col("__n"), F.col("__pos") >= F.col("__n")
+    found = rows.groupBy(*by, "word").agg(
+        F.count(F.when(said, 1)).alias("tf"), F.count(F.when(held, 1)).alias("df"), F.min(F.when(said, appearance(docs, order, F.col("__doc"), F.col("__pos")))).alias("first")
+    )
+    return materialize(found, "word-counts")
 
 
-def build_lexicon(docs: DataFrame, by: list[str], text_col: str = "text", order: str = "doc_id", top_n: int = 64, min_doc_freq: int = 2) -> DataFrame:
+def build_lexicon(docs: DataFrame, by: list[str], text_col: str = "text", order: str = "doc_id", top_n: int = 64, min_doc_freq: int = 2, counts: DataFrame | None = None) -> DataFrame:
     """(by.., rank, word, score): the words of highest tf-idf in each bucket (null keys are ``_``; ties: first appearance).
 
     tf is occurrences by the bucket's documents; idf is ln((1 + documents) / (1 + occurrences in the corpus)), so it can be
-    negative. A word needs min_doc_freq documents of its bucket. Counts are pre-aggregated before every exchange.
+    negative. A word needs min_doc_freq documents of its bucket. counts: the buckets' word_counts, if they are there already.
     """
-    bucket = [F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), F.lit("_")).alias(c) for c in by]
-    words = text.word_tokens(F.col(text_col))
-    base = docs.select(*bucket, F.col(order).alias("__doc"), words.alias("__words"))
-    # a word's first place in a document stands for the document: both counts and the first appearance come from one explode
-    rows = base.select(*by, "__doc", F.posexplode("__words").alias("__pos", "word"))
-    each = rows.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("tf"), F.min(F.struct("__doc", "__pos")).alias("first"))
-    held = base.select(*by, F.explode(F.array_distinct("__words")).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("df"))
-    per = each.join(held, [*by, "word"])
+    per = word_counts(docs, by, text_col, order) if counts is None else counts
     totals = per.groupBy("word").agg(F.sum("tf").alias("everywhere"))
-    n_docs = docs.groupBy(*bucket).agg(F.count(F.lit(1)).alias("docs"))
+    n_docs = docs.groupBy(*map(bucket, by)).agg(F.count(F.lit(1)).alias("docs"))
     n_all = docs.agg(F.count(F.lit(1)).alias("n"))
     scored = per.join(totals, "word").join(n_docs, by).withColumn("__all", n_all.scalar())
     score = F.col("tf") / F.greatest(F.lit(1), F.col("docs")) * F.ln((1 + F.col("__all")) / (1 + F.col("everywhere")))
@@ -32,11 +57,19 @@ def build_lexicon(docs: DataFrame, by: list[str], text_col: str = "text", order:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top_n).select(*by, "rank", "word", "score")
 
 
-def universal_words(docs: DataFrame, text_col: str = "text", order: str = "doc_id", least: int = 50, top_n: int = 32) -> DataFrame:
-    """(rank, word, n): the most frequent words of the corpus with at least ``least`` occurrences (ties: first appearance)."""
-    each = docs.select(F.col(order).alias("__doc"), F.posexplode(text.word_tokens(F.col(text_col))).alias("__pos", "word"))
-    counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__doc", "__pos")).alias("f"))
-    top = counts.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(top_n)
+def _said(docs: DataFrame, text_col: str, order: str) -> DataFrame:
+    """(word, n, f): occurrences and first appearance of each word."""
+    rows = docs.select(F.col(order).alias("__doc"), F.posexplode(text.word_tokens(F.col(text_col))).alias("__pos", "word"))
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(appearance(docs, order, F.col("__doc"), F.col("__pos"))).alias("f"))
+
+
+def universal_words(docs: DataFrame, text_col: str = "text", order: str = "doc_id", least: int = 50, top_n: int = 32, counts: DataFrame | None = None) -> DataFrame:
+    """(rank, word, n): the most frequent words of the corpus with at least ``least`` occurrences (ties: first appearance).
+
+    counts: word_counts of any buckets, if they are there already.
+    """
+    each = _said(docs, text_col, order) if counts is None else counts.groupBy("word").agg(F.sum("tf").alias("n"), F.min("first").alias("f"))
+    top = each.filter(F.col("n") >= least).orderBy(F.col("n").desc(), "f").limit(top_n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "f"))).select("rank", "word", "n")
 
 
@@ -71,8 +104,7 @@ def substring_counts(docs: DataFrame, hints: list[str], text_col: str = "text")
 
 def most_common(docs: DataFrame, text_col: str = "text", order: str = "doc_id", top_n: int = 25) -> DataFrame:
     """(word, n): the most frequent words (ties: first appearance)."""
-    rows = docs.select(F.col(order).alias("__doc"), F.posexplode(text.word_tokens(F.col(text_col))).alias("__pos", "word"))
-    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("__doc", "__pos")).alias("f")).orderBy(F.col("n").desc(), "f").limit(top_n).select("word", "n")
+    return _said(docs, text_col, order).orderBy(F.col("n").desc(), "f").limit(top_n).select("word", "n")
 
 
 def describe(rows: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
