@@ -15,8 +15,10 @@ from voxloom.operators.components import components
 from voxloom.operators.ranks import numbered
 from voxloom.sources.shared import bounded_batches, materialize
 
-#: Vectors of a block, and of a group that one task clusters.
-BLOCK_ROWS, WHOLE_GROUP = 512, 4096
+#: Vectors of a block, of a group that one task clusters (some MB of sums), and of a product in it.
+BLOCK_ROWS, WHOLE_GROUP, NEAR_ROWS = 512, 1 << 17, 256
+#: A round of merges must take one of so many clusters.
+LITTLE = 50
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -144,20 +146,27 @@ class Plda:
         return score
 
 
-def average_linkage(x: np.ndarray, threshold: float = 0.5) -> np.ndarray:
-    """Labels from 0 (by first member) of average-linkage clusters under cosine distance, cut at the threshold.
+def _nearest(total: np.ndarray, size: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of the cluster nearest to each of ``some``, by matrix products of NEAR_ROWS at a time (ties: the first)."""
+    mean = total / size[:, None]
+    near, gap = np.empty(len(some), np.int64), np.empty(len(some))
+    for a in range(0, len(some), NEAR_ROWS):
+        mine = some[a : a + NEAR_ROWS]
+        d = 1 - mean[mine] @ mean.T
+        d[np.arange(len(mine)), mine] = np.inf
+        near[a : a + NEAR_ROWS] = found = d.argmin(axis=1)
+        gap[a : a + NEAR_ROWS] = d[np.arange(len(mine)), found]
+    return near, gap
 
-    The mean distance between two clusters of unit vectors is 1 less the product of their mean vectors, so clusters are held
-    as sums and no matrix of distances is. A chain of nearest neighbours is followed until two clusters are each other's
-    nearest; as merging brings no cluster nearer, these two are merged in any order of merges, if they are under the cut.
+
+def _chained(total: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """The cluster that each cluster goes into (itself, or one before it), by a chain of nearest neighbours.
+
+    The chain is followed until two clusters are each other's nearest, whatever ties there are; these are merged.
     """
-    n = len(x)
-    if n <= 1:
-        return np.zeros(n, int)
-    total = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    size, alive, into = np.ones(n), np.ones(n, bool), np.arange(n)
+    alive, into = np.ones(len(size), bool), np.arange(len(size))
     chain: list[int] = []
-    waiting = list(range(n))[::-1]
+    waiting = list(range(len(size)))[::-1]
     while chain or waiting:
         if not chain:
             if alive[start := waiting.pop()]:
@@ -182,6 +191,42 @@ def average_linkage(x: np.ndarray, threshold: float = 0.5) -> np.ndarray:
             waiting.append(keep)
         else:
             chain.append(near)
+    return into
+
+
+def average_linkage(x: np.ndarray, threshold: float = 0.5) -> np.ndarray:
+    """Labels from 0 (by first member) of average-linkage clusters under cosine distance, cut at the threshold.
+
+    The mean distance between two clusters of unit vectors is 1 less the product of their mean vectors, so clusters are held
+    as sums and no matrix of distances is. Merging brings no cluster nearer, so all pairs of each other's nearest may be merged
+    at once, if they are under the cut. A cluster looks again only if its nearest one has changed, and one without a neighbour
+    under the cut is done. Rounds end when they merge little (as with many copies); a chain merges what is left.
+    """
+    n = len(x)
+    if n <= 1:
+        return np.zeros(n, int)
+    total = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    size, into, ids = np.ones(n), np.arange(n), np.arange(n)  # ids: a living cluster's least member
+    near, gap = _nearest(total, size, ids)
+    while len(ids) > 1:
+        here = np.arange(len(ids))
+        keep = np.flatnonzero((near[near] == here) & (here < near) & (gap <= threshold))
+        if len(keep) * LITTLE < len(ids):
+            into[ids] = ids[_chained(total, size, threshold)]
+            break
+        gone = near[keep]
+        total[keep] += total[gone]
+        size[keep] += size[gone]
+        into[ids[gone]] = ids[keep]
+        changed = np.zeros(len(ids), bool)
+        changed[keep] = changed[gone] = True
+        alive = gap <= threshold  # others have nothing under the cut, and never will
+        alive[keep], alive[gone] = True, False
+        stale = (changed | changed[near] | ~alive[near])[alive]
+        place = np.cumsum(alive) - 1
+        near, gap, total, size, ids = place[near[alive]], gap[alive], total[alive], size[alive], ids[alive]
+        some = np.flatnonzero(stale)
+        near[some], gap[some] = _nearest(total, size, some)
     for k in range(n):  # a cluster's number is its least member's, which comes before it
         into[k] = into[into[k]]
     return np.unique(into, return_inverse=True)[1]
