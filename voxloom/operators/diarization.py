@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voxloom.sources.shared import bounded_batches
+
+SECONDS = ("miss_s", "false_alarm_s", "confusion_s", "reference_s")
 
 
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -42,10 +48,11 @@ def record_error(reference: list[tuple[float, float, str]], hypothesis: list[tup
     size = np.diff(cuts)
 
     def active(side: list[tuple[float, float, str]]) -> np.ndarray:
-        names = sorted({who for _, _, who in side})
+        names = {who: k for k, who in enumerate(sorted({who for _, _, who in side}))}
         on = np.zeros((len(names), len(size)), bool)
-        for s, e, who in side:
-            on[names.index(who), np.searchsorted(cuts, s) : np.searchsorted(cuts, e)] = True
+        first, last = (np.searchsorted(cuts, [row[k] for row in side]).tolist() for k in (0, 1))
+        for a, b, (_, _, who) in zip(first, last, side):
+            on[names[who], a:b] = True
         return on
 
     ref, hyp = active(reference), active(hypothesis)
@@ -62,22 +69,32 @@ def record_error(reference: list[tuple[float, float, str]], hypothesis: list[tup
     }
 
 
+def _segments(rows: pa.Array) -> list[list[tuple]]:
+    """Of each row its segments (start, end, speaker), from arrays of structs."""
+    flat = rows.flatten()
+    found = list(zip(*(flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("s", "e")), flat.field("w").to_pylist()))
+    ends = np.cumsum(pc.list_value_length(rows).to_numpy(zero_copy_only=False)).tolist()
+    return [found[a:b] for a, b in zip([0, *ends], ends)]
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in SECONDS]))
+def _errors_udf(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """record_error of each row: as records are small as a rule, many go to Python at once."""
+    found = [record_error(r, h) for r, h in zip(_segments(reference), _segments(hypothesis))]
+    return pa.StructArray.from_arrays([pa.array([x[n] for x in found], pa.float64()) for n in SECONDS], list(SECONDS))
+
+
 def error_by_record(reference: DataFrame, hypothesis: DataFrame, key: str = "record_id") -> DataFrame:
     """(record, miss_s, false_alarm_s, confusion_s, reference_s, der) of records that both sides have; records run in parallel."""
-    names = ["miss_s", "false_alarm_s", "confusion_s", "reference_s"]
+    bounded_batches(reference.sparkSession)
 
     def side(df: DataFrame, mark: str) -> DataFrame:
         # fresh column names: both sides may come from one table
-        return df.select(F.col(key).cast("string").alias(f"{mark}k"), F.col("start_s").alias(f"{mark}s"), F.col("end_s").alias(f"{mark}e"), F.col("speaker").cast("string").alias(f"{mark}w"))
-
-    def run(ref: pd.DataFrame, hyp: pd.DataFrame) -> pd.DataFrame:
-        if not len(ref) or not len(hyp):
-            return pd.DataFrame({"key": pd.Series(dtype=str), **{n: pd.Series(dtype=float) for n in names}})
-        found = record_error(*([tuple(row)[1:] for row in x.itertuples(index=False)] for x in (ref, hyp)))
-        return pd.DataFrame([{"key": ref.iloc[0, 0], **found}])
+        segment = F.struct(F.col("start_s").cast("double").alias("s"), F.col("end_s").cast("double").alias("e"), F.col("speaker").cast("string").alias("w"))
+        return df.select(F.col(key).cast("string").alias(f"{mark}k"), segment.alias(mark)).groupBy(f"{mark}k").agg(F.collect_list(mark).alias(mark))
 
-    left, right = side(reference, "a").groupBy("ak"), side(hypothesis, "b").groupBy("bk")
-    out = left.cogroup(right).applyInPandas(run, "key string, " + ", ".join(f"{n} double" for n in names)).withColumnRenamed("key", key)
+    both = side(reference, "a").join(side(hypothesis, "b").hint("merge"), F.col("ak").eqNullSafe(F.col("bk")))
+    out = both.select(F.col("ak").alias(key), _errors_udf("a", "b").alias("x")).select(key, "x.*")
     error = F.col("miss_s") + F.col("false_alarm_s") + F.col("confusion_s")
     return out.withColumn("der", F.when(F.col("reference_s") > 0, error / F.col("reference_s")).otherwise(0.0))
 
