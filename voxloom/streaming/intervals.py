@@ -36,19 +36,22 @@ class GapMerge(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _WAITING)
-        self.open = handle.getValueState("open", _WAITING)
+        self.open = handle.getValueState("open", f"{_WAITING}, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         added = [tuple(r) for frame in rows for r in frame[["start_s", "end_s", "speaker"]].itertuples(index=False)]
         yield self._advance(key, added, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
 
-    def _advance(self, key, added: list[tuple], watermark_ms: int) -> pd.DataFrame:
-        held = sorted([tuple(r) for r in self.waiting.get()] + [(float(a), float(b), str(c)) for a, b, c in added])
+    def _advance(self, key, added: list[tuple], watermark_ms: int, gone: int | None = None) -> pd.DataFrame:
+        """gone: the timer that has just run out. Each call to the state or the timers travels to the JVM and back."""
+        before = [tuple(r) for r in self.waiting.get()]
+        held = sorted(before + [(float(a), float(b), str(c)) for a, b, c in added])
         ready = [r for r in held if r[0] * 1000 < watermark_ms]
-        current, done = tuple(self.open.get()) if self.open.exists() else None, []
+        kept, done = self.open.get(), []
+        current, timer = (None if kept[0] is None else tuple(kept[:3]), kept[3]) if kept else (None, None)
         for start, end, speaker in ready:
             if current and current[2] == speaker and start - current[1] < self.gap_s:
                 current = (current[0], max(current[1], end), speaker)
@@ -60,13 +63,18 @@ class GapMerge(StatefulProcessor):
             done.append(current)
             current = None
         rest = held[len(ready) :]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        self.open.update(current) if current else self.open.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if rest != before:
+            self.waiting.put(rest) if rest else self.waiting.clear()
         due = [r[0] * 1000 + 1 for r in rest[:1]] + ([(current[1] + self.gap_s) * 1000 + 1] if current else [])
-        if due:
-            self.handle.registerTimer(max(int(min(due)), watermark_ms + 1))
+        due = max(int(min(due)), watermark_ms + 1) if due else None
+        if timer is not None and timer not in (due, gone):
+            self.handle.deleteTimer(timer)
+        if due is not None and due != timer:
+            self.handle.registerTimer(due)
+        if due is not None:
+            self.open.update((*(current or (None, None, None)), due))
+        elif kept:
+            self.open.clear()
         return pd.DataFrame([(*key, w, s, e) for s, e, w in done], columns=["record_id", "speaker", "start_s", "end_s"])
 
     def close(self) -> None:
